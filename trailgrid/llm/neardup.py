@@ -1,15 +1,15 @@
 """Near-duplicate detection by order MinHash, verified by banded alignment.
 
 A text is its sequence of word 5-grams (lower-cased runs of letters and digits; a text of fewer than five words is one
-shingle). Each occurrence of a shingle carries its number in the text. A sketch takes, for each of ``2 * BANDS`` hash
+shingle). Each occurrence of a shingle carries its number in the text. A sketch takes, for each of ``ROWS * BANDS`` hash
 functions, the two occurrence-labelled shingles with the smallest hashes and keeps them in text order, so texts collide
-only if they share both in the same order. Two sketches make a band. Texts that share a band are candidates of the
+only if they share both in the same order. Three sketches make a band. Texts that share a band are candidates of the
 band's leader, and a candidate is linked if a banded alignment of the two shingle sequences finds a longest common
 subsequence of l shingles with l / (m + n - l) >= 0.8.
 
 Equal texts are one text from the start. A band's texts are compared with its leader, not with each other; those that
-the leader doesn't match elect the next leader, until none is left (the last few of a band are compared pairwise). So
-a band of k texts costs about k comparisons, and no link that joins two classes is dropped by a cap. Classes are the
+it doesn't match elect the next leaders, eight times as many in each round, until none is left (the last few of a band
+are compared pairwise). So a band of k near copies costs about k comparisons, and no text is left out by a cap. Classes are the
 connected components of the links, found by hooking and pointer jumping over tables in the shared folder.
 
 Defined results: null texts and texts without a word are copies of nothing; equal texts are always of one class;
@@ -23,23 +23,24 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordTable, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS = 16
+BANDS, ROWS = 24, 3
 #: A band's unmatched texts up to this number are compared pairwise, each with at most as many others.
-PAIRWISE = 24
+PAIRWISE = 48
 _words = re.compile(r"\w+").findall
 _rng = np.random.default_rng(20240229)
-_A = (_rng.integers(1, 1 << 63, 2 * BANDS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_A = (_rng.integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(SHINGLE)], np.uint64)
 _CHUNK = 16384
 
@@ -94,8 +95,10 @@ def bands(hashes: np.ndarray) -> np.ndarray:
         one, two = places[0][0], places[1][0]
     low, high = np.minimum(one, two), np.maximum(one, two)
     sketch = _mix(x[low] * np.uint64(0x9FB21C651E98DF25) + _mix(x[high] + np.uint64(1)))
-    pair = sketch.reshape(BANDS, 2)
-    return _mix(pair[:, 0] * np.uint64(3) + _mix(pair[:, 1]) + np.arange(BANDS, dtype=np.uint64)).astype(np.int64)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for column in sketch.reshape(BANDS, ROWS).T:
+        out = _mix(out * np.uint64(3) + column)
+    return out.astype(np.int64)
 
 
 def common(a: list, b: list, width: int) -> int:
@@ -178,26 +181,32 @@ def _links(docs: DataFrame, texts: DataFrame) -> DataFrame:
     own = docs.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("fp"), F.col("doc_id").alias("id"), "text").where("text is not null")
     bodies = own.join(needed.withColumnRenamed("fp", "_fp").withColumnRenamed("id", "_id"), (F.col("fp") == F.col("_fp")) & F.col("id").eqNullSafe(F.col("_id")))
     bodies = written(bodies.select("fp", "text"), "bodies")
-    found = None
-    while True:
-        pairs = left.select("leader", "fp").distinct()
+
+    def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(bodies.withColumnRenamed("text", "body"), "fp").join(bodies.select(F.col("fp").alias("leader"), F.col("text").alias("head")), "leader")
-        judged = written(both.select("leader", "fp", "head", "body").mapInArrow(_verify, "leader binary, fp binary, near boolean"), "judged")
-        near = judged.where("near").select("leader", "fp").distinct()
-        found = near if found is None else found.unionByName(near)
-        if judged.where("not near").isEmpty():
-            return found
-        misses = left.join(judged.where("not near").select("leader", "fp").distinct(), ["leader", "fp"], "left_semi").select("key", "fp")
-        counted = misses.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("leader")).where("n > 1")
-        few, many = counted.where(F.col("n") <= PAIRWISE), counted.where(F.col("n") > PAIRWISE)
-        rest = misses.join(few.select("key"), "key")
-        last = rest.join(rest.withColumnRenamed("fp", "leader"), "key").where("leader < fp").select("leader", "fp").distinct()
-        both = last.join(bodies.withColumnRenamed("text", "body"), "fp").join(bodies.select(F.col("fp").alias("leader"), F.col("text").alias("head")), "leader")
-        near = written(both.select("leader", "fp", "head", "body").mapInArrow(_verify, "leader binary, fp binary, near boolean"), "judged")
-        found = found.unionByName(near.where("near").select("leader", "fp").distinct())
-        left = written(misses.join(many.drop("n"), "key").where("fp <> leader"), "candidates")
+        return written(both.select("leader", "fp", "head", "body").mapInArrow(_verify, "leader binary, fp binary, near boolean"), "judged")
+
+    found, leaders = [], 1
+    while True:
+        judged = verified(left.select("leader", "fp").distinct())
+        found.append(judged.where("near").select("leader", "fp"))
+        misses = left.join(judged.where("near").select("leader", "fp").distinct(), ["leader", "fp"], "left_anti").select("key", "fp").distinct()
+        if leaders > 1:  # a text goes on only if no leader of its band matched it
+            matched = left.join(judged.where("near").select("leader", "fp").distinct(), ["leader", "fp"], "left_semi").select("key", "fp").distinct()
+            misses = misses.join(matched, ["key", "fp"], "left_anti").join(left.select("key", F.col("leader").alias("fp")).distinct(), ["key", "fp"], "left_anti")
+        misses = written(misses, "misses")
+        counted = misses.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        few, many = counted.where(F.col("n") <= PAIRWISE).select("key"), counted.where(F.col("n") > PAIRWISE).select("key")
+        rest = misses.join(few, "key")
+        last = written(rest.join(rest.withColumnRenamed("fp", "leader"), "key").where("leader < fp").select("leader", "fp").distinct(), "last")
+        if not last.isEmpty():
+            found.append(verified(last).where("near").select("leader", "fp"))
+        leaders *= 8
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("fp"))
+        chosen = misses.join(many, "key").withColumn("rank", rank).where(F.col("rank") <= leaders).select("key", F.col("fp").alias("leader"))
+        left = written(misses.join(chosen, "key").where("fp <> leader"), "candidates")
         if left.isEmpty():
-            return found
+            return reduce(DataFrame.unionByName, found).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
