@@ -1,16 +1,18 @@
 """Near-duplicate detection by order MinHash, verified by banded alignment.
 
-A text is its sequence of word 5-grams (lower-cased runs of letters and digits; a text of fewer than five words is one
-shingle). Each occurrence of a shingle carries its number in the text. A sketch takes, for each of ``ROWS * BANDS`` hash
-functions, the two occurrence-labelled shingles with the smallest hashes and keeps them in text order, so texts collide
-only if they share both in the same order. Three sketches make a band. Texts that share a band are candidates of the
-band's leader, and a candidate is linked if a banded alignment of the two shingle sequences finds a longest common
-subsequence of l shingles with l / (m + n - l) >= 0.8.
-
-Equal texts are one text from the start. A band's texts are compared with its leader, not with each other; those that
-it doesn't match elect the next leaders, eight times as many in each round, until none is left (the last few of a band
-are compared pairwise). So a band of k near copies costs about k comparisons, and no text is left out by a cap. Classes are the
-connected components of the links, found by hooking and pointer jumping over tables in the shared folder.
+A text is its sequence of words (lower-cased runs of letters and digits) and of word 5-grams; a text of fewer than five
+words is one shingle. Each occurrence of a shingle carries its number in the text. A sketch takes, for each of
+``ROWS * BANDS`` hash functions, the two occurrence-labelled shingles with the smallest hashes and keeps them in text
+order, so texts collide only if they share both in the same order. Three sketches make a band. Texts that share a band
+are candidates of the band's leader, and a candidate is linked if a banded alignment of the two word sequences matches
+at least 0.88 of the longer one's words in order. An edit of k words changes k + 4 shingles, so two texts that share
+0.8 of their 5-word shingles in order always reach 0.88, and texts whose edits are spread out are found as well.
+
+Equal texts are one text from the start. A band's texts are compared with its leader, the text that meets most others
+in all its bands; those that it doesn't match elect the next leaders, twice as many in each round, until none is left
+(the last few of a band are compared pairwise). So a band of k near copies costs about k comparisons, and no text is
+left out by a cap. Classes are the connected components of the links, found by hooking and pointer jumping over tables
+in the shared folder.
 
 Defined results: null texts and texts without a word are copies of nothing; equal texts are always of one class;
 the class is named by its smallest doc_id, null ids counting as largest; very long texts are read whole; repeated rows
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import WordTable, written
 
 SHINGLE = 5
-SIMILARITY = 0.8
+SIMILARITY = 0.88
 BANDS, ROWS = 24, 3
 #: A band's unmatched texts up to this number are compared pairwise, each with at most as many others.
 PAIRWISE = 48
@@ -121,7 +123,7 @@ def common(a: list, b: list, width: int) -> int:
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """l / (m + n - l) of two shingle sequences by banded alignment; 0 if it is certainly below ``least``."""
+    """Words matched in order over the longer text's words, by banded alignment; 0 if certainly below ``least``."""
     m, n = len(a), len(b)
     if m < n:
         a, b, m, n = b, a, n, m
@@ -132,11 +134,10 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     back = a[m - n + head :][::-1] == b[head:][::-1]
     tail = len(back) if back.all() else int(back.argmin())
     x, y = a[head : m - tail].tolist(), b[head : n - tail].tolist()
-    width = int((m + n) * (1 - least) / (1 + least)) + 1
     got = head + tail
     if x and y:
-        got += common(x, y, min(width, max(len(x), len(y))))
-    return got / (m + n - got)
+        got += common(x, y, min(int(m * (1 - least)) + 1, max(len(x), len(y))))
+    return got / m
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,19 +164,23 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if text not in kept:
             if len(kept) > 64:
                 kept.clear()
-            kept[text] = shingles(word_hashes(_words(text.lower()) or [text]))
+            kept[text] = word_hashes(_words(text.lower()) or [text])
         return kept[text]
 
     for batch in batches:
-        near = [similarity(sequence(x), sequence(y)) >= SIMILARITY for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        near = [similarity(sequence(x.as_py()), sequence(y.as_py())) >= SIMILARITY for x, y in zip(batch.column(2), batch.column(3), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], ["leader", "fp", "near"])
 
 
 def _links(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """Verified links (leader, fp) between different texts; ``texts``: fp, id, bands."""
-    members = written(texts.select("fp", F.explode("bands").alias("key")), "bands")
-    shared = members.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("leader")).where("n > 1")
-    left = written(members.join(shared.drop("n"), "key").where("fp <> leader"), "candidates")
+    members = texts.select("fp", F.explode("bands").alias("key"))
+    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = written(members.join(shared, "key"), "met")
+    degree = written(met.groupBy("fp").agg((F.sum("n") - F.count("*")).alias("degree")), "degree")
+    met = written(met.select("key", "fp").join(degree, "fp"), "degrees")
+    first = met.groupBy("key").agg(F.max(F.struct("degree", "fp")).alias("first")).select("key", F.col("first.fp").alias("leader"))
+    left = written(met.select("key", "fp").join(first, "key").where("fp <> leader"), "candidates")
     needed = left.select("fp").union(left.select(F.col("leader").alias("fp"))).distinct()
     needed = needed.join(texts.select("fp", "id"), "fp")
     own = docs.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("fp"), F.col("doc_id").alias("id"), "text").where("text is not null")
@@ -201,9 +206,9 @@ def _links(docs: DataFrame, texts: DataFrame) -> DataFrame:
         last = written(rest.join(rest.withColumnRenamed("fp", "leader"), "key").where("leader < fp").select("leader", "fp").distinct(), "last")
         if not last.isEmpty():
             found.append(verified(last).where("near").select("leader", "fp"))
-        leaders *= 8
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("fp"))
-        chosen = misses.join(many, "key").withColumn("rank", rank).where(F.col("rank") <= leaders).select("key", F.col("fp").alias("leader"))
+        leaders *= 2
+        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "fp"))
+        chosen = misses.join(many, "key").join(degree, "fp").withColumn("rank", rank).where(F.col("rank") <= leaders).select("key", F.col("fp").alias("leader"))
         left = written(misses.join(chosen, "key").where("fp <> leader"), "candidates")
         if left.isEmpty():
             return reduce(DataFrame.unionByName, found).distinct()
