@@ -31,12 +31,13 @@ def shared_folder(spark: SparkSession) -> str:
 _own_folders: dict[str, str] = {}
 
 
-def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+def written(df: DataFrame, label: str, compression: str = "snappy", files: int | None = None) -> DataFrame:
     """Writes ``df`` to a new Parquet table in the shared folder and reads it: the lineage is cut, and what is
-    decided in it stays as it is if an executor is lost. The files go when the returned frame is collected."""
+    decided in it stays as it is if an executor is lost. ``files``: at most so many, for tables that are known to be
+    small. :func:`drop_written` deletes them all."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/trailgrid/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    (df.coalesce(files) if files else df).write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -172,67 +172,63 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], ["leader", "fp", "near"])
 
 
-def _links(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Verified links (leader, fp) between different texts; ``texts``: fp, id, bands."""
+def _files(rows: int) -> int:
+    """For tables of ``rows`` pairs: tasks of some seconds each."""
+    return max(12, rows // 100_000)
+
+
+def _links(docs: DataFrame, texts: DataFrame) -> tuple[DataFrame, int]:
+    """Verified links (leader, fp) between different texts, and a number of files; ``texts``: fp, id, bands."""
     members = texts.select("fp", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = written(members.join(shared, "key"), "met")
-    degree = written(met.groupBy("fp").agg((F.sum("n") - F.count("*")).alias("degree")), "degree")
-    met = written(met.select("key", "fp").join(degree, "fp"), "degrees")
-    first = met.groupBy("key").agg(F.max(F.struct("degree", "fp")).alias("first")).select("key", F.col("first.fp").alias("leader"))
-    left = written(met.select("key", "fp").join(first, "key").where("fp <> leader"), "candidates")
-    needed = left.select("fp").union(left.select(F.col("leader").alias("fp"))).distinct()
-    needed = needed.join(texts.select("fp", "id"), "fp")
+    degree = met.groupBy("fp").agg((F.sum("n") - F.count("*")).alias("degree"))
+    files = _files(met.count())
+    ranked = met.select("key", "fp").join(degree, "fp")
+    first = ranked.groupBy("key").agg(F.max(F.struct("degree", "fp")).alias("first")).select("key", F.col("first.fp").alias("leader"))
+    left = written(met.select("key", "fp").join(first, "key").where("fp <> leader"), "candidates", files=files)
+    needed = left.select("fp").union(left.select(F.col("leader").alias("fp"))).distinct().join(texts.select("fp", "id"), "fp")
     own = docs.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("fp"), F.col("doc_id").alias("id"), "text").where("text is not null")
     bodies = own.join(needed.withColumnRenamed("fp", "_fp").withColumnRenamed("id", "_id"), (F.col("fp") == F.col("_fp")) & F.col("id").eqNullSafe(F.col("_id")))
     bodies = written(bodies.select("fp", "text"), "bodies")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(bodies.withColumnRenamed("text", "body"), "fp").join(bodies.select(F.col("fp").alias("leader"), F.col("text").alias("head")), "leader")
-        return written(both.select("leader", "fp", "head", "body").mapInArrow(_verify, "leader binary, fp binary, near boolean"), "judged")
-
+    heads = bodies.select(F.col("fp").alias("leader"), F.col("text").alias("head"))
     found, leaders = [], 1
     while True:
-        judged = verified(left.select("leader", "fp").distinct())
+        # left: the texts of each band with the leaders that they have to meet
+        both = left.select("leader", "fp").distinct().join(bodies.withColumnRenamed("text", "body"), "fp").join(heads, "leader")
+        judged = written(both.select("leader", "fp", "head", "body").mapInArrow(_verify, "leader binary, fp binary, near boolean"), "judged", files=files)
         found.append(judged.where("near").select("leader", "fp"))
-        misses = left.join(judged.where("near").select("leader", "fp").distinct(), ["leader", "fp"], "left_anti").select("key", "fp").distinct()
-        if leaders > 1:  # a text goes on only if no leader of its band matched it
-            matched = left.join(judged.where("near").select("leader", "fp").distinct(), ["leader", "fp"], "left_semi").select("key", "fp").distinct()
-            misses = misses.join(matched, ["key", "fp"], "left_anti").join(left.select("key", F.col("leader").alias("fp")).distinct(), ["key", "fp"], "left_anti")
-        misses = written(misses, "misses")
+        if judged.where("not near").isEmpty():
+            break
+        # a text goes on in a band if no leader matched it there, and if it was no leader itself
+        met_leaders = left.join(judged.distinct(), ["leader", "fp"]).groupBy("key", "fp").agg(F.max("near").alias("near"))
+        were = left.select("key", F.col("leader").alias("fp")).distinct()
+        misses = met_leaders.where("not near").select("key", "fp").join(were, ["key", "fp"], "left_anti")
+        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "fp"))
         counted = misses.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        few, many = counted.where(F.col("n") <= PAIRWISE).select("key"), counted.where(F.col("n") > PAIRWISE).select("key")
-        rest = misses.join(few, "key")
-        last = written(rest.join(rest.withColumnRenamed("fp", "leader"), "key").where("leader < fp").select("leader", "fp").distinct(), "last")
-        if not last.isEmpty():
-            found.append(verified(last).where("near").select("leader", "fp"))
+        misses = written(misses.join(counted, "key").join(degree, "fp"), "misses", files=files)
         leaders *= 2
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "fp"))
-        chosen = misses.join(many, "key").join(degree, "fp").withColumn("rank", rank).where(F.col("rank") <= leaders).select("key", F.col("fp").alias("leader"))
-        left = written(misses.join(chosen, "key").where("fp <> leader"), "candidates")
+        chosen = misses.withColumn("rank", rank).where((F.col("rank") <= leaders) | (F.col("n") <= PAIRWISE)).select("key", F.col("fp").alias("leader"), "rank")
+        numbered = misses.withColumn("own", rank).select("key", "fp", "own")
+        left = written(numbered.join(chosen, "key").where("own > rank").select("key", "fp", "leader"), "candidates", files=files)
         if left.isEmpty():
-            return reduce(DataFrame.unionByName, found).distinct()
+            break
+        # bands of up to PAIRWISE texts are done after this round: all their pairs are in it
+    return reduce(DataFrame.unionByName, found).distinct(), files
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, files: int | None = None) -> DataFrame:
     """fp -> root, the smallest print that links reach, for all prints in links."""
-    edges = written(links.select(F.col("leader").alias("a"), F.col("fp").alias("b")).union(links.select("fp", "leader")).distinct(), "edges")
-    roots = written(edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("fp"), F.least("a", "b").alias("root")), "roots")
+    edges = written(links.select(F.col("leader").alias("a"), F.col("fp").alias("b")).union(links.select("fp", "leader")).distinct(), "edges", files=files)
+    roots = edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("fp"), F.least("a", "b").alias("root"))
     while True:
         offers = edges.join(roots, edges["b"] == roots["fp"]).groupBy("a").agg(F.min("root").alias("offer"))
         hooked = roots.join(offers, roots["fp"] == offers["a"]).select("fp", F.least("root", "offer").alias("root"), F.col("root").alias("was"))
-        hooked = written(hooked, "hooked")
+        hooked = written(hooked, "hooked", files=files)
+        if hooked.where("root <> was").isEmpty():
+            return hooked.select("fp", "root")
         jump = hooked.select(F.col("fp").alias("at"), F.col("root").alias("next"))
-        moved = hooked.join(jump, hooked["root"] == jump["at"]).select("fp", F.least("root", "next").alias("root"), "was")
-        moved = written(moved, "roots")
-        if moved.where("root <> was").isEmpty():
-            return moved.select("fp", "root")
-        roots = moved.select("fp", "root")
-
-
-def worded() -> F.Column:
-    """Whether a text has a letter, digit or underscore at all."""
-    return F.coalesce(F.col("text").cast("string").rlike("[\\p{L}\\p{N}_]"), F.lit(False))
+        roots = hooked.join(jump, hooked["root"] == jump["at"]).select("fp", F.least("root", "next").alias("root"))
 
 
 def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -240,9 +236,10 @@ def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(docs.withColumn("worded", worded()).mapInArrow(_sketch, "doc_id long, fp binary, bands array<bigint>"), "sketches")
     texts = written(rows.where("fp is not null").groupBy("fp", "bands").agg(F.min("doc_id").alias("id")), "texts")
-    links = written(_links(docs, texts), "links")
+    links, files = _links(docs, texts)
+    links = written(links, "links", files=files)
     degree = links.select(F.col("leader").alias("fp")).union(links.select("fp")).groupBy("fp").agg(F.count("*").alias("links"))
-    roots = components(links)
+    roots = components(links, files)
     named = texts.select("fp", "id").join(roots, "fp")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("first")
     heads = named.groupBy("root").agg(first).select("root", F.col("first.id").alias("class_id"), F.col("first.fp").alias("keep_fp"))
