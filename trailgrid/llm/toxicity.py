@@ -36,7 +36,7 @@ PER_LABEL = 1500
 BYTES_PER_LABEL = 6_000_000
 DECAY = 0.7
 SPAN = 7
-LANDMARKS = 160
+LANDMARKS = 112
 #: Words of clean sentences that a training round uses at most, besides the worst ones.
 CLEAN_WORDS = 40_000
 _CODES = 64
