@@ -4,7 +4,7 @@ A text is its sequence of words (lower-cased runs of letters and digits) and of
 words is one shingle. Each occurrence of a shingle carries its number in the text. A sketch takes, for each of
 ``ROWS * BANDS`` hash functions, the two occurrence-labelled shingles with the smallest hashes and keeps them in text
 order, so texts collide only if they share both in the same order. Three sketches make a band. Texts that share a band
-are candidates of the band's leader, and a candidate is linked if a banded alignment of the two word sequences matches
+and are of about one length are candidates of the band's leader, and a candidate is linked if a banded alignment of the two word sequences matches
 at least 0.88 of the longer one's words in order. An edit of k words changes k + 4 shingles, so two texts that share
 0.8 of their 5-word shingles in order always reach 0.88, and texts whose edits are spread out are found as well.
 
@@ -39,7 +39,7 @@ SHINGLE = 5
 SIMILARITY = 0.88
 BANDS, ROWS = 24, 3
 #: A band's unmatched texts up to this number are compared pairwise, each with at most as many others.
-PAIRWISE = 48
+PAIRWISE = 12
 _words = re.compile(r"\w+").findall
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -145,16 +145,17 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).to_pylist()
         for a in range(0, len(texts), 512):
-            prints, keys = [], []
+            prints, keys, sizes = [], [], []
             # a text that Spark finds to have a letter or digit is never without a word here, whatever the Unicode versions
             parsed = [(_words(x.lower()) or [x]) if has else [] for x, has in zip(texts[a : a + 512], batch.column(2).to_pylist()[a : a + 512], strict=True)]
             got = table.of([w for x in parsed for w in x])
             at = 0
             for text, w in zip(texts[a : a + 512], parsed, strict=True):
                 prints.append(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest() if w else None)
+                sizes.append(len(w))
                 keys.append(bands(got[at : at + len(w)]).tolist() if w else None)
                 at += len(w)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 512), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 512), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["doc_id", "fp", "bands", "words"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,10 +179,14 @@ def _files(rows: int) -> int:
 
 
 def _links(docs: DataFrame, texts: DataFrame) -> tuple[DataFrame, int]:
-    """Verified links (leader, fp) between different texts, and a number of files; ``texts``: fp, id, bands."""
-    members = texts.select("fp", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = written(members.join(shared, "key"), "met")
+    """Verified links (leader, fp) between different texts, and a number of files; ``texts``: fp, bands, words, id."""
+    members = texts.select("fp", "words", F.explode("bands").alias("key"))
+    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # two texts whose lengths allow a link are in the same or in neighbouring classes of length
+    grade = F.floor(F.log("words") / -F.log(F.lit(SIMILARITY)))
+    met = members.join(shared, "key").select("fp", F.explode(F.array(F.xxhash64("key", grade), F.xxhash64("key", grade + 1))).alias("key"))
+    met = written(met, "met")
+    met = met.join(met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
     degree = met.groupBy("fp").agg((F.sum("n") - F.count("*")).alias("degree"))
     files = _files(met.count())
     ranked = met.select("key", "fp").join(degree, "fp")
@@ -239,8 +244,8 @@ def worded() -> F.Column:
 def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, fp), and for each print with a word: class_id, the print that stays, and its number of links."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = written(docs.withColumn("worded", worded()).mapInArrow(_sketch, "doc_id long, fp binary, bands array<bigint>"), "sketches")
-    texts = written(rows.where("fp is not null").groupBy("fp", "bands").agg(F.min("doc_id").alias("id")), "texts")
+    rows = written(docs.withColumn("worded", worded()).mapInArrow(_sketch, "doc_id long, fp binary, bands array<bigint>, words long"), "sketches")
+    texts = written(rows.where("fp is not null").groupBy("fp", "bands", "words").agg(F.min("doc_id").alias("id")), "texts")
     links, files = _links(docs, texts)
     links = written(links, "links", files=files)
     degree = links.select(F.col("leader").alias("fp")).union(links.select("fp")).groupBy("fp").agg(F.count("*").alias("links"))
