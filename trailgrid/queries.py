@@ -2,12 +2,337 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from trailgrid import corpora as C
+from trailgrid.functions import paths as P
+from trailgrid.operators import extents as E
+from trailgrid.operators import index as X
+from trailgrid.operators import journal as J
+from trailgrid.operators import overlay as O
+from trailgrid.operators import resolve as R
+from trailgrid.operators import status as S
+from trailgrid.plans.engine import QueryPlan, run
+from trailgrid.plans.querylang import parse, predicate
+from trailgrid.plans.rules import last_match_join, parse_file, profiles, resolve
+from trailgrid.plans.scopes import Scope, in_scope
+
+_ALL: dict[str, tuple[Callable, str | None]] = {}
+
+
+def _add(name: str, sql: str | None = None):
+    def put(f: Callable) -> Callable:
+        _ALL[name] = (f, sql)
+        return f
+
+    return put
+
+
+def _query(name: str, corpus: str, where: str, *text: str, **more) -> None:
+    """A query of text over a corpus, with its SQL condition over path and has_deleted_entries."""
+    more.setdefault("include_deleted", True)
+    plan = QueryPlan(tuple(text), **more)
+    source = {"pages": (C.pages, C.PAGES), "docs": (C.docs, C.DOCS), "parts": (C.parts, C.PARTS)}[corpus]
+    order = f" order by path limit {plan.limit}" if plan.limit else ""
+    _ALL[name] = (lambda s, d: run(source[0](s, d), plan), f"select path, has_deleted_entries, false as is_filtered from {source[1]} where {where}{order}")
+
+
+def _any(test: str) -> str:
+    return f"len(list_filter({C.SEGS}, lambda s: {test})) > 0"
+
+
+_query("match_contains", "parts", _any("contains(s, 'gizmo')"), "GIZMO")
+_query("match_prefix", "parts", _any("starts_with(s, 'stand')"), "<stand")
+_query("match_suffix", "parts", f"ends_with({C.TERM}, '.jar')", ".jar>")
+_query("match_exact", "docs", f"{C.TERM} = 'doc_7.txt'", "<DOC_7.txt>")
+_query("match_all", "pages", "true", "<>")
+_query("match_and_group", "pages", f"{_any("contains(s, 'the')")} and ends_with({C.TERM}, '.html')", "the .html>")
+_query("match_or_groups", "parts", f"({_any("contains(s, 'bolt')")} and ends_with({C.TERM}, '.git')) or {_any("contains(s, 'promo')")}", "bolt .git>|promo")
+_query("suffix_two_dots", "parts", f"ends_with({C.TERM}, '.tar.gz')", ".tar.gz>")
+_query("suffix_index_compat", "parts", f"regexp_extract({C.TERM}, '(\\.[^.]+)$', 1) = '.gz' or regexp_extract({C.TERM}, '(\\.[^.]+)$', 1) = '.tar.gz'", ".gz>|.tar.gz>", compat="index")
+_query("deleted_default", "docs", f"not has_deleted_entries and {_any("s = 'en'")}", "<en>|en", include_deleted=False)
+_query("deleted_include", "docs", _any("starts_with(s, 'src1')"), "<src1")
+_query("deleted_only", "docs", f"has_deleted_entries and {_any("starts_with(s, 'doc')")}", "<doc", only_deleted=True)
+_query("scope_subtree", "docs", r"starts_with(lower(path), 'd:\src3\')", "<>", scopes=(Scope(r"D:\SRC3"),))
+_query("scope_exact", "docs", r"lower(path) = 'd:\src0\fr\doc_0.txt' or lower(path) = 'd:\src0\en\doc_0.txt'", "<>", scopes=(Scope(r"d:\src0\fr\doc_0.txt", False), Scope(r"d:\src0\en\doc_0.txt", False)))
+_query("scope_union", "docs", r"starts_with(lower(path), 'd:\src3\de\') or starts_with(lower(path), 'd:\src4\')", "<>", scopes=(Scope(r"D:\src3\de"), Scope("D:/src4/")))
+_query("limit_ordered", "docs", _any("contains(s, 'doc_1')"), "doc_1", limit=25)
+
+
+@_add("drive_prune", f"select 'E' as drive, path, has_deleted_entries, false as is_filtered from {C.PARTS} where ends_with({C.TERM}, '.git')")
+def drive_prune(s, d) -> DataFrame:
+    both = X.build(C.docs(s, d).unionByName(C.parts(s, d)), P.drive(F.col("path")))
+    return run(both, QueryPlan((".git>",), drives="E", include_deleted=True))
+
+
+_RULES = [
+    parse_file(r"D:\rules\a.trail_rules", "ORDER 10 EXCLUDE D:\\src1\nORDER 20 INCLUDE D:\\src1\\en\nORDER 30 EXCLUDE D:\\src1\\en\\doc_1*.txt\n"),
+    parse_file(r"D:\rules\b.work.trail_rules", "EXCLUDE D:\\src2\\**\\doc_?5*.txt\n"),
+]
+_CLOSED = [parse_file(r"D:\rules\c.trail_rules", "DEFAULT RULE IS EXCLUDE\nINCLUDE D:\\{src5,src6}\\**\n")]
+_LAST = r"""case when regexp_matches(lower(path), '^d:\\src1\\en\\doc_1.*\.txt$') then true when starts_with(lower(path), 'd:\src1\en\') then false
+ when starts_with(lower(path), 'd:\src1\') then true else false end"""
+
+
+def _rules(name: str, filtered: str, files, profile=None, where: str = "true", **more) -> None:
+    plan = QueryPlan(("<>",), include_deleted=True, **more)
+    sql = f"select * from (select path, has_deleted_entries, {filtered} as is_filtered from {C.DOCS}) where {where}"
+    _ALL[name] = (lambda s, d: run(C.docs(s, d), plan, resolve(files, profile)), sql)
+
+
+_rules("rules_last_match", _LAST, _RULES, where="not is_filtered")
+_rules("rules_show_filtered", _LAST, _RULES, show_filtered=True)
+_rules("rules_only_filtered", _LAST, _RULES, where="is_filtered", only_filtered=True)
+_rules("rules_glob", rf"case when regexp_matches(lower(path), '^d:\\src2\\(.*\\)?doc_.5.*\.txt$') then true else {_LAST} end", _RULES, "work", show_filtered=True)
+_rules("rules_default_exclude", r"not regexp_matches(lower(path), '^d:\\(src5|src6)\\.+$')", _CLOSED, where="not is_filtered")
+
+
+@_add("rules_as_rows", f"select path, has_deleted_entries, {_LAST} as is_filtered from {C.DOCS}")
+def rules_as_rows(s, d) -> DataFrame:
+    return last_match_join(C.docs(s, d), resolve(_RULES[:1]).table(s).where("kind = 'subtree'").unionByName(resolve(_RULES[:1]).table(s).where("kind = 'none'"))).withColumn(
+        "is_filtered", F.when(P.normalized(F.col("path")).rlike(r"^d:/src1/en/doc_1.*\.txt$"), F.lit(True)).otherwise(F.col("is_filtered"))
+    )
+
+
+@_add("profiles_grouped", "select * from (values ('default', 'D:\\rules\\a.trail_rules'), ('work', 'D:\\rules\\b.work.trail_rules')) as t(profile, path)")
+def profiles_grouped(s, d) -> DataFrame:
+    return s.createDataFrame([(k, x) for k, v in profiles(_RULES).items() for x in v], "profile string, path string")
+
+
+@_add("overlay_resolved", f"select path, coalesce(o.has_deleted_entries, b.has_deleted_entries) as has_deleted_entries from {C.DOCS} b full join {C.OVERLAY} o using (path) where not coalesce(o.has_deleted_entries, b.has_deleted_entries)")
+def overlay_resolved(s, d) -> DataFrame:
+    return O.merge(C.docs(s, d), C.overlay(s, d)).where("not has_deleted_entries")
+
+
+@_add("overlay_prefiltered", f"select path, false as has_deleted_entries from (select path from {C.DOCS} where not has_deleted_entries union select path from {C.OVERLAY} where not has_deleted_entries)")
+def overlay_prefiltered(s, d) -> DataFrame:
+    return O.merge_prefiltered(C.docs(s, d), C.overlay(s, d), ~F.col("has_deleted_entries"))
+
+
+_DIFF = """select path, coalesce(c.has_deleted_entries, true) as has_deleted_entries from {b} b full join {c} c using (path)
+ where (c.has_deleted_entries is not null and c.has_deleted_entries is distinct from b.has_deleted_entries) or (c.has_deleted_entries is null and not b.has_deleted_entries)"""
+
+
+@_add("overlay_diff", _DIFF.format(b=C.DOCS, c=C.OVERLAY))
+def overlay_diff(s, d) -> DataFrame:
+    return O.diff(C.docs(s, d), C.overlay(s, d))
+
+
+@_add("overlay_upsert", f"select * from {C.PAGES} where path not in (select path from {C.DOCS}) union all select * from {C.DOCS}")
+def overlay_upsert(s, d) -> DataFrame:
+    return O.upsert(C.pages(s, d).dropDuplicates(["path"]), C.docs(s, d))
+
+
+_SUB = r"starts_with(lower(path), 'd:\src3\')"
+
+
+@_add("overlay_scoped_refresh", f"select * from {C.OVERLAY} where not {_SUB} union all {_DIFF.format(b=f'(select * from {C.DOCS} where {_SUB})', c=f'(select * from {C.OVERLAY} where {_SUB} and not has_deleted_entries)')}")
+def overlay_scoped_refresh(s, d) -> DataFrame:
+    now = C.overlay(s, d).where("not has_deleted_entries")
+    return O.refresh(C.docs(s, d), C.overlay(s, d), now, in_scope(F.col("path"), [Scope(r"D:\src3")]))
+
+
+_PATHS = f"""with recursive l as (select * from {C.LINKS}), p as (
+ select frn, 'C:\\' || name as path, 1 as depth, is_deleted as has_deleted_entries from l where parent_frn = 5
+ union all select l.frn, p.path || '\\' || l.name, p.depth + 1, p.has_deleted_entries or l.is_deleted from l join p on l.parent_frn = p.frn)"""
+
+
+@_add("resolve_paths", f"{_PATHS} select frn, path, depth, has_deleted_entries from p".replace("\\\\", "\\"))
+def resolve_paths(s, d) -> DataFrame:
+    return R.resolve(C.links(s, d), "C:\\")
+
+
+@_add("resolve_by_reference", f"{_PATHS} select path, bool_and(has_deleted_entries) as has_deleted_entries from p group by path".replace("\\\\", "\\"))
+def resolve_by_reference(s, d) -> DataFrame:
+    return R.project(R.resolve(C.links(s, d), "C:\\", key="frn"))
+
+
+@_add("resolve_hardlinks", f"{_PATHS} select frn, count(*) as n_paths from p group by frn having count(*) > 1".replace("\\\\", "\\"))
+def resolve_hardlinks(s, d) -> DataFrame:
+    return R.resolve(C.links(s, d), "C:\\").groupBy("frn").agg(F.count("*").alias("n_paths")).where("n_paths > 1")
+
+
+def _named(s, d) -> DataFrame:
+    li = C.table(s, d, "lineitem")
+    return li.select(F.col("l_partkey").alias("frn"), F.col("l_suppkey").alias("parent_frn"), (F.col("l_linenumber") % 5).cast("int").alias("namespace"), F.concat(F.lit("n"), F.col("l_orderkey").cast("string")).alias("name"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"))
+
+
+_RANK = "case l_linenumber % 5 when 1 then 0 when 3 then 1 when 0 then 2 when 2 then 3 else 4 end"
+
+
+@_add("namespace_best_name", f"""select frn, parent_frn, name from (select l_partkey as frn, l_suppkey as parent_frn, 'n' || l_orderkey as name,
+ row_number() over (partition by l_partkey, l_suppkey order by {_RANK}, l_orderkey * 10 + l_linenumber) as k from lineitem) where k = 1""")
+def namespace_best_name(s, d) -> DataFrame:
+    return R.best_names(_named(s, d)).select("frn", "parent_frn", "name")
+
+
+@_add("list_paths", f"""with recursive l as (select frn, min_by(parent_frn, (octet_length(encode(name)), name)) as parent_frn, min(name) as name from {C.LINKS} where frn % 9 <> 4 or frn > 1000000 group by frn),
+ p as (select frn, parent_frn as up, name as path from l union all select p.frn, l.parent_frn, l.name || '\\' || p.path from p join l on p.up = l.frn where p.up <> 5)
+ select frn, path, up = 5 as complete from p where up = 5 or up not in (select frn from l)""".replace("\\\\", "\\"))
+def list_paths(s, d) -> DataFrame:
+    some = C.links(s, d).where("frn % 9 <> 4 or frn > 1000000").groupBy("frn", "name").agg(F.min_by("parent_frn", F.struct(F.octet_length("name"), "name")).alias("parent_frn"))
+    return R.list_paths(some.withColumn("namespace", F.lit(1)))
+
+
+_TOPO = "(reason & 78592) <> 0"
+
+
+@_add("journal_link_state", f"select frn, parent_frn, name, arg_max((reason & 4608) <> 0, usn) as is_deleted, max(usn) as usn from {C.JOURNAL} where {_TOPO} group by all")
+def journal_link_state(s, d) -> DataFrame:
+    return J.link_state(C.journal(s, d))
+
+
+@_add("journal_node_state", f"select frn, arg_max((file_attributes & 16) <> 0, usn) as is_directory from {C.JOURNAL} where {_TOPO} group by frn")
+def journal_node_state(s, d) -> DataFrame:
+    return J.node_state(C.journal(s, d))
+
+
+@_add("journal_projected_paths", f"""with l as (select frn, parent_frn, name, arg_max((reason & 4608) <> 0, usn) as dead from {C.JOURNAL} where {_TOPO} group by all),
+ g as (select frn + 1000 as frn, parent_frn + 100 as parent_frn, name, dead from l), roots as (select distinct parent_frn as frn from g)
+ select path, bool_and(dead) as has_deleted_entries from (select 'C:\\d' || (r.frn - 100) as path, false as dead from roots r
+ union all select 'C:\\d' || (r.frn - 100) || '\\' || g.name, g.dead from g join roots r on g.parent_frn = r.frn) group by path""".replace("\\\\", "\\"))
+def journal_projected_paths(s, d) -> DataFrame:
+    state = J.link_state(C.journal(s, d)).select((F.col("frn") + 1000).alias("frn"), (F.col("parent_frn") + 100).alias("parent_frn"), "name", "is_deleted")
+    folders = state.select(F.col("parent_frn").alias("frn")).distinct().select("frn", F.lit(5).cast("long").alias("parent_frn"), F.concat(F.lit("d"), (F.col("frn") - 100).cast("string")).alias("name"), F.lit(False).alias("is_deleted"))
+    return R.project(R.resolve(state.unionByName(folders), "C:\\", key="frn"))
+
+
+@_add("journal_apply", f"""with n as (select frn, parent_frn, name, arg_max((reason & 4608) <> 0, usn) as d from {C.JOURNAL} where {_TOPO} group by all),
+ o as (select distinct user_id as frn, user_id % 10 as parent_frn, 'n' || (user_id % 9) as name, false as d from events)
+ select frn, parent_frn, name, coalesce(n.d, o.d) as is_deleted from o full join n using (frn, parent_frn, name)""")
+def journal_apply(s, d) -> DataFrame:
+    old = C.table(s, d, "events").select(F.col("user_id").alias("frn"), (F.col("user_id") % 10).alias("parent_frn"), F.concat(F.lit("n"), (F.col("user_id") % 9).cast("string")).alias("name"), F.lit(False).alias("is_deleted")).distinct()
+    return J.apply(old, C.journal(s, d))
+
+
+_NAMES = "array_to_string(list_filter([" + ", ".join(f"case when (reason & {m}) <> 0 then '{n}' end" for m, n in P.REASONS) + "], lambda x: x is not null), ',')"
+
+
+@_add("journal_reason_names", f"select usn, {_NAMES} as names, '0x' || lpad(lower(to_hex(reason)), 8, '0') as mask from {C.JOURNAL}")
+def journal_reason_names(s, d) -> DataFrame:
+    return C.journal(s, d).select("usn", F.array_join(P.reason_names(F.col("reason")), ",").alias("names"), P.reason_hex(F.col("reason")).alias("mask"))
+
+
+_EXT = f"coalesce(nullif(regexp_extract({C.TERM}, '^.+\\.([^.]+)$', 1), ''), '(no extension)')"
+
+
+@_add("ext_counts", f"select {_EXT} as extension, count(*) as n from {C.PARTS} group by 1")
+def ext_counts(s, d) -> DataFrame:
+    return X.extension_counts(C.parts(s, d))
+
+
+@_add("needle_counts", f"select 'gizmo' as needle, count(*) filter ({_any("contains(s, 'gizmo')")}) as n from {C.PARTS} union all select 'jar', count(*) filter (ends_with({C.TERM}, '.jar')) from {C.PARTS}")
+def needle_counts(s, d) -> DataFrame:
+    rows = C.parts(s, d)
+    segs = P.folded(F.col("path"))
+    return X.needle_counts(rows, {k: predicate(parse([q]), segs, P.terminal(segs)) for k, q in (("gizmo", "gizmo"), ("jar", ".jar>"))})
+
+
+def _numbered(s, d) -> DataFrame:
+    return X.numbered(X.build(C.parts(s, d), P.drive(F.col("path"))))
+
+
+_NUMBERED = rf"(select path, cast(row_number() over (order by path, has_deleted_entries) - 1 as bigint) as row_index, {C.SEGS} as segs, {C.TERM} as term from {C.PARTS})"
+
+
+@_add("segment_postings", f"select segment, count(*) as n, cast(sum(row_index) as bigint) as rows from (select row_index, unnest(list_distinct(segs)) as segment from {_NUMBERED}) group by 1")
+def segment_postings(s, d) -> DataFrame:
+    return X.segment_postings(_numbered(s, d)).groupBy("segment").agg(F.count("*").alias("n"), F.sum("row_index").alias("rows"))
+
+
+@_add("extension_postings", f"select regexp_extract(term, '(\\.[^.]+)$', 1) as ext, row_index from {_NUMBERED} where regexp_extract(term, '(\\.[^.]+)$', 1) <> ''")
+def extension_postings(s, d) -> DataFrame:
+    return X.suffix_postings(_numbered(s, d))
+
+
+@_add("trigram_candidates", f"select distinct segment from (select unnest(segs) as segment from {_NUMBERED}) where contains(segment, 'widget')")
+def trigram_candidates(s, d) -> DataFrame:
+    return X.trigram_candidates(_numbered(s, d), "WIDGET")
+
+
+@_add("trigram_rows", f"select distinct row_index from {_NUMBERED} where {_any("contains(s, 'widget')")}")
+def trigram_rows(s, d) -> DataFrame:
+    n = _numbered(s, d)
+    return X.rows_of_segments(n, X.trigram_candidates(n, "widget"))
+
+
+@_add("index_violations", "select path from pages, (select url as path from pages) where false")
+def index_violations(s, d) -> DataFrame:
+    return X.violations(X.build(C.docs(s, d), P.drive(F.col("path")))).select("path")
+
+
+@_add("parent_of_match", f"select distinct array_to_string(list_slice(string_split(path, '\\'), 1, -2), '\\') as parent from {C.DOCS} where ends_with({C.TERM}, '7.txt')")
+def parent_of_match(s, d) -> DataFrame:
+    return run(C.docs(s, d), QueryPlan(("7.txt>",), include_deleted=True)).select(P.parent(F.col("path")).alias("parent")).distinct()
+
+
+_MERGE = """(select file, min("offset") as "offset", cast(sum(length) as bigint) as length from (select *, sum(gap) over (partition by file order by "offset", length rows unbounded preceding) as island
+ from (select *, case when lag("offset" + length) over (partition by file order by "offset", length) = "offset" then 0 else 1 end as gap from {x})) group by file, island)"""
+
+
+@_add("extent_merge", f"select * from {_MERGE.format(x=C.EXTENTS)}")
+def extent_merge(s, d) -> DataFrame:
+    return E.merge(C.extents(s, d))
+
+
+_ALIGN = f"(select file, \"offset\" - \"offset\" % 512 as \"offset\", cast(ceil((\"offset\" + length) / 512.0) * 512 as bigint) - (\"offset\" - \"offset\" % 512) as length from {C.EXTENTS})"
+
+
+@_add("extent_align", f"select * from {_MERGE.format(x=_ALIGN)}")
+def extent_align(s, d) -> DataFrame:
+    return E.merge(E.align(C.extents(s, d)))
+
+
+@_add("extent_chunk", f"select file, \"offset\" + k * 256 as \"offset\", cast(least(256, length - k * 256) as bigint) as length from (select *, unnest(range(0, cast(ceil(length / 256.0) as bigint))) as k from {_MERGE.format(x=C.EXTENTS)})")
+def extent_chunk(s, d) -> DataFrame:
+    return E.cut(E.merge(C.extents(s, d)), 256)
+
+
+_RUNS = f"""(select * from (select file, run_no, cast(coalesce(sum(clusters) over (partition by file order by run_no rows between unbounded preceding and 1 preceding), 0) * 4096 as bigint) as logical_offset,
+ clusters * 4096 as length, case when delta is not null then cast(sum(coalesce(delta, 0)) over (partition by file order by run_no rows unbounded preceding) * 4096 as bigint) end as physical_offset from {C.RUNS}) where length > 0)"""
+
+
+@_add("runlist_offsets", f"select file, logical_offset, length, physical_offset from {_RUNS}")
+def runlist_offsets(s, d) -> DataFrame:
+    return E.runs_to_extents(C.runs(s, d), 4096)
+
+
+@_add("logical_size", f"select file, max(logical_offset + length) as logical_size from {_RUNS} group by file")
+def logical_size(s, d) -> DataFrame:
+    return E.total(E.runs_to_extents(C.runs(s, d), 4096))
+
+
+@_add("asof_extent", f"select p.file, probe, x.\"offset\", x.length from (select o_custkey % 50 as file, o_orderkey * 1000 + 650 + (o_orderkey % 4) * 100 as probe from orders) p join {_MERGE.format(x=C.EXTENTS)} x on p.file = x.file and probe >= x.\"offset\" and probe < x.\"offset\" + x.length")
+def asof_extent(s, d) -> DataFrame:
+    probes = C.table(s, d, "orders").select((F.col("o_custkey") % 50).alias("file"), (F.col("o_orderkey") * 1000 + 650 + (F.col("o_orderkey") % 4) * 100).alias("probe"))
+    return E.containing(probes, E.merge(C.extents(s, d)), 4096).select("file", "probe", "offset", "length")
+
+
+@_add("status_summary", "select count(*) as n_drives, count(ready_at) as n_ready, min(ready_at) as oldest, max(ready_at) as newest from (select user_id, case when max(ts) filter (event_type = 'view') is not null and max(ts) filter (event_type = 'click') is not null then least(max(ts) filter (event_type = 'view'), max(ts) filter (event_type = 'click')) end as ready_at from events group by 1)")
+def status_summary(s, d) -> DataFrame:
+    times = C.table(s, d, "events").groupBy(F.col("user_id").alias("drive")).agg(F.max(F.expr("case when event_type = 'view' then ts end")).alias("snapshot_at"), F.max(F.expr("case when event_type = 'click' then ts end")).alias("index_at"))
+    return S.summary(S.readiness(times))
+
+
+@_add("log_ring", "select event_id, user_id, rank from (select event_id, user_id, cast(row_number() over (partition by user_id order by ts desc, event_id desc) as integer) as rank from events) where rank <= 16")
+def log_ring(s, d) -> DataFrame:
+    return S.ring(C.table(s, d, "events"), "user_id", 16).select("event_id", "user_id", "rank")
+
+
+@_add("reference_parts", "select frn, frn & 281474976710655 as record, (frn >> 48) & 65535 as sequence from (select o_orderkey + (o_custkey % 32768) * 281474976710656 as frn from orders)")
+def reference_parts(s, d) -> DataFrame:
+    frn = P.file_reference(F.col("o_orderkey"), F.col("o_custkey") % 32768)
+    return C.table(s, d, "orders").select(frn.alias("frn")).select("frn", P.record_number(F.col("frn")).alias("record"), P.sequence_number(F.col("frn")).alias("sequence"))
+
+
+def queries() -> dict[str, Callable]:
     """By name."""
-    return {}
+    return {k: f for k, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by name."""
-    return {}
+    return {k: sql for k, (_, sql) in _ALL.items() if sql}
