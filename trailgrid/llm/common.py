@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,13 +70,30 @@ def crc32_id(column) -> F.Column:
     return F.crc32(column.cast("string").cast("binary"))
 
 
+#: Caches that outlive a task in a reused worker; a task of another kind empties them.
+CACHES: list[dict] = []
+
+
+def tidy(keep: dict | None = None) -> None:
+    """Gives memory of earlier tasks in this worker back to the system: caches but ``keep``, and freed pages."""
+    for cache in CACHES:
+        if cache is not keep:
+            cache.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class WordTable:
     """Word -> row number, with rows that ``compute`` fills for the new words of a batch at once.
 
     The cache is bounded: beyond ``most`` words it starts anew, which changes speed, never results.
     """
 
-    def __init__(self, compute: Callable[[list[str]], np.ndarray], most: int = 300_000):
+    def __init__(self, compute: Callable[[list[str]], np.ndarray], most: int = 150_000):
         self.compute, self.most = compute, most
         self.rows: dict[str, int] = {}
         self.values: np.ndarray | None = None

@@ -9,7 +9,7 @@ at least 0.88 of the longer one's words in order. An edit of k words changes k +
 0.8 of their 5-word shingles in order always reach 0.88, and texts whose edits are spread out are found as well.
 
 Equal texts are one text from the start. A band's texts are compared with its leader, the text that meets most others
-in all its bands; those that it doesn't match elect the next leaders, twice as many in each round, until none is left
+in all its bands; those that it doesn't match elect the next leaders, four times as many in each round, until none is left
 (the last few of a band are compared pairwise). So a band of k near copies costs about k comparisons, and no text is
 left out by a cap. Classes are the connected components of the links, found by hooking and pointer jumping over tables
 in the shared folder.
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordTable, written
+from .common import WordTable, tidy, written
 
 SHINGLE = 5
 SIMILARITY = 0.88
@@ -141,6 +141,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tidy()
     table = WordTable(word_hashes)
     for batch in batches:
         texts = batch.column(1).to_pylist()
@@ -159,6 +160,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tidy()
     kept: dict[str, np.ndarray] = {}
 
     def sequence(text: str) -> np.ndarray:
@@ -181,10 +183,12 @@ def _files(rows: int) -> int:
 def _links(docs: DataFrame, texts: DataFrame) -> tuple[DataFrame, int]:
     """Verified links (leader, fp) between different texts, and a number of files; ``texts``: fp, bands, words, id."""
     members = texts.select("fp", "words", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    # two texts whose lengths allow a link are in the same or in neighbouring classes of length
+    shared = members.groupBy("key").agg(F.count("*").alias("n"), F.min("words").alias("least"), F.max("words").alias("most")).where("n > 1")
+    # two texts whose lengths allow a link are in the same or in neighbouring classes of length; a band whose lengths
+    # all allow it is one class
     grade = F.floor(F.log("words") / -F.log(F.lit(SIMILARITY)))
-    met = members.join(shared, "key").select("fp", F.explode(F.array(F.xxhash64("key", grade), F.xxhash64("key", grade + 1))).alias("key"))
+    classes = F.when(F.col("least") >= F.col("most") * SIMILARITY, F.array("key")).otherwise(F.array(F.xxhash64("key", grade), F.xxhash64("key", grade + 1)))
+    met = members.join(shared, "key").select("fp", F.explode(classes).alias("key"))
     met = written(met, "met")
     met = met.join(met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
     degree = met.groupBy("fp").agg((F.sum("n") - F.count("*")).alias("degree"))
@@ -206,13 +210,13 @@ def _links(docs: DataFrame, texts: DataFrame) -> tuple[DataFrame, int]:
         if judged.where("not near").isEmpty():
             break
         # a text goes on in a band if no leader matched it there, and if it was no leader itself
-        met_leaders = left.join(judged.distinct(), ["leader", "fp"]).groupBy("key", "fp").agg(F.max("near").alias("near"))
+        verdicts = written(left.join(judged.distinct(), ["leader", "fp"]).groupBy("key", "fp").agg(F.max("near").alias("near")), "verdicts", files=files)
         were = left.select("key", F.col("leader").alias("fp")).distinct()
-        misses = met_leaders.where("not near").select("key", "fp").join(were, ["key", "fp"], "left_anti")
+        misses = written(verdicts.where("not near").select("key", "fp").join(were, ["key", "fp"], "left_anti"), "misses", files=files)
         rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "fp"))
         counted = misses.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        misses = written(misses.join(counted, "key").join(degree, "fp"), "misses", files=files)
-        leaders *= 2
+        misses = written(misses.join(counted, "key").join(degree, "fp"), "left", files=files)
+        leaders *= 4
         chosen = misses.withColumn("rank", rank).where((F.col("rank") <= leaders) | (F.col("n") <= PAIRWISE)).select("key", F.col("fp").alias("leader"), "rank")
         numbered = misses.withColumn("own", rank).select("key", "fp", "own")
         left = written(numbered.join(chosen, "key").where("own > rank").select("key", "fp", "leader"), "candidates", files=files)

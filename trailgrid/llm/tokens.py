@@ -13,6 +13,8 @@ import os
 import re
 from array import array
 
+from .common import CACHES, tidy
+
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 _NUMBER = "0-9²³¹¼-¾"
 _PLAIN = re.compile("[\t\n\r\x20-\x7e¡-ÿ]*")
@@ -76,10 +78,12 @@ def tokenizer_path(name: str) -> str:
 
 
 _encoders: dict[str, Encoder] = {}
+CACHES.append(_encoders)
 
 
 def encoder(path: str) -> Encoder:
     """One encoder for each file and worker process."""
     if path not in _encoders:
+        tidy()
         _encoders[path] = Encoder(path)
     return _encoders[path]
