@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, code_points, crc32_id
+from .common import WordTable, code_points, crc32_id, tidy
 from .samples import labelled_sample
 
 PER_LABEL = 1200
@@ -99,7 +99,8 @@ def _averages(model: Model, table: WordTable, texts: list[list[str]]) -> np.ndar
 def train(sample: list[tuple[str, str]], dim: int = 12, epochs: int = 4, batch: int = 64, examples: int = 14_000, seed: int = 11) -> Model | None:
     """Stochastic gradient descent over windows of the sampled texts; calibration on every fifth text."""
     rng = np.random.default_rng(seed)
-    parsed = [(label, w) for label, text in sample if (w := words(text))]
+    pool: dict[str, str] = {}  # each word is held once
+    parsed = [(label, [pool.setdefault(x, x) for x in w]) for label, text in sample if (w := words(text))]
     labels = sorted({label for label, _ in parsed})
     if not labels:
         return None
@@ -168,6 +169,7 @@ def fit(documents: DataFrame) -> Model | None:
 
 def _predict(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         table = WordTable(model.word_rows) if model else None
         for batch in batches:
             label, score, reject = [], [], []
@@ -200,6 +202,7 @@ def accepted(documents: DataFrame) -> DataFrame:
     schema = documents.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             (judged,) = run(iter([pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("text"))], ["text"])]))
             yield batch.filter(pa.array([not x for x in judged.column(2).to_pylist()], pa.bool_()))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, code_points, crc32_id
+from .common import WordTable, code_points, crc32_id, tidy
 from .samples import labelled_sample
 
 PER_LABEL = 1500
@@ -72,8 +72,9 @@ def triples(names: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
             yield (codes[at] * _CODES + codes[at + mid]) * _CODES + codes[at + last], owner[at], DECAY ** (last - 2)
 
 
-def project(names: list[str], table: np.ndarray) -> np.ndarray:
-    """Sums of a table over the triples of each word, divided by the length of the word's own vector."""
+def project(names: list[str], table: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+    """Sums of a table over the triples of each word, divided by the length of the word's own vector. ``place``: the
+    table's row for each triple, if the table holds but some."""
     out = np.zeros((len(names), table.shape[1]), np.float64)
     for first in range(0, len(names), 4000):
         part = names[first : first + 4000]
@@ -83,18 +84,27 @@ def project(names: list[str], table: np.ndarray) -> np.ndarray:
             if table.shape[1] == 1:
                 sums[:, 0] += weight * np.bincount(owner, table[code, 0], len(part))
             elif len(owner):
+                at = place[code]
+                known = at > 0
+                at, owner = at[known], owner[known]
                 starts = np.flatnonzero(np.diff(owner, prepend=-1))
-                sums[owner[starts]] += weight * np.add.reduceat(table[code], starts, axis=0)
+                if len(starts):
+                    sums[owner[starts]] += weight * np.add.reduceat(table[at], starts, axis=0)
         sums /= np.sqrt(np.maximum(norm, 1e-12))[:, None]
     return out
 
 
-def vectors(names: list[str]) -> np.ndarray:
-    """Unit vectors over all triples; for landmarks only."""
-    out = np.zeros((_CODES**3, len(names)), np.float32)
-    for code, owner, weight in triples(names):
-        np.add.at(out, (code, owner), weight)
-    return out / np.maximum(np.linalg.norm(out, axis=0), 1e-12)
+def vectors(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of landmarks, a column each, over the triples that they have, and each triple's row; row 0 is
+    for all others."""
+    found = list(triples(names))
+    codes = np.unique(np.concatenate([code for code, _, _ in found]))
+    place = np.zeros(_CODES**3, np.int32)
+    place[codes] = np.arange(1, len(codes) + 1)
+    out = np.zeros((len(codes) + 1, len(names)), np.float32)
+    for code, owner, weight in found:
+        np.add.at(out, (place[code], owner), weight)
+    return out / np.maximum(np.linalg.norm(out, axis=0), 1e-12), place
 
 
 @dataclass
@@ -141,7 +151,8 @@ def _margins(model: Model, distinct: list[str]) -> dict[str, float]:
 
 def train(sample: list[tuple[int, str]], rounds: int = 3) -> Model | None:
     """Rounds of choosing witnesses and fitting the machine; the logistic scale comes from every fourth text."""
-    parsed = [(label, sorted(set(words(text)))) for label, text in sample]
+    pool: dict[str, str] = {}  # each word is held once
+    parsed = [(label, sorted({pool.setdefault(x, x) for x in words(text)})) for label, text in sample]
     held = [x for i, x in enumerate(parsed) if i % 4 == 0]
     taught = [x for i, x in enumerate(parsed) if i % 4]
     toxic, fine = [w for label, w in taught if label and w], [w for label, w in taught if not label]
@@ -154,7 +165,7 @@ def train(sample: list[tuple[int, str]], rounds: int = 3) -> Model | None:
     landmarks = list(dict.fromkeys(x for x in (*ranked[: LANDMARKS * 3 // 4], *usual[: LANDMARKS // 4]) if sum(map(str.isalpha, x)) >= 3))
     if not landmarks:
         return None
-    basis = vectors(landmarks)
+    basis, place = vectors(landmarks)
     value, vector = np.linalg.eigh((basis.T @ basis).astype(np.float64))
     kept = value > 1e-6 * value.max()
     root = vector[:, kept] / np.sqrt(value[kept])
@@ -170,11 +181,11 @@ def train(sample: list[tuple[int, str]], rounds: int = 3) -> Model | None:
             of_clean = model.margins(clean)
             hard = list(dict.fromkeys(hard + [clean[i] for i in np.argsort(-of_clean, kind="stable")[:3000]]))
         names = [*witness, *hard]
-        x = project(names, basis) @ root
+        x = project(names, basis, place) @ root
         y = np.array([1.0] * len(witness) + [-1.0] * len(hard))
         cost = np.array([20.0 * n / len(toxic) * 100 for n in witness.values()] + [1.0] * len(hard))
         w = _machine(x, y, cost)
-        model = Model((basis @ (root @ w[:-1])).astype(np.float64), float(w[-1]))
+        model = Model((basis @ (root @ w[:-1]))[place].astype(np.float64), float(w[-1]))
     held = held if {bool(label) for label, _ in held} == {True, False} else parsed
     distinct = sorted({x for _, w in held for x in w})
     at = _worst([w for _, w in held], _margins(model, distinct), model.bias)
@@ -231,6 +242,7 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     judge = _judge(fit(documents, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         table: list[WordTable] = []
         for batch in batches:
             found = judge(batch.column(2).to_pylist(), table)
@@ -247,6 +259,7 @@ def clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
     judge = _judge(fit(documents, labels))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         table: list[WordTable] = []
         for batch in batches:
             found = judge(batch.column(batch.schema.get_field_index("text")).to_pylist(), table)
