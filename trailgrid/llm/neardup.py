@@ -1,7 +1,8 @@
 """Near-duplicate detection by order MinHash, verified by banded alignment.
 
 A text is its sequence of words (lower-cased runs of letters and digits) and of word 5-grams; a text of fewer than five
-words is one shingle. Each occurrence of a shingle carries its number in the text. A sketch takes, for each of
+words is one shingle. Each occurrence of a shingle carries its number in the text, on a
+logarithmic scale. A sketch takes, for each of
 ``ROWS * BANDS`` hash functions, the two occurrence-labelled shingles with the smallest hashes and keeps them in text
 order, so texts collide only if they share both in the same order. Three sketches make a band. Texts that share a band
 and are of about one length are candidates of the band's leader, and a candidate is linked if a banded alignment of the two word sequences matches
@@ -68,15 +69,19 @@ def shingles(hashes: np.ndarray) -> np.ndarray:
 
 
 def labelled(x: np.ndarray) -> np.ndarray:
-    """Each hash with the number of its occurrence in the text mixed in."""
+    """Each hash with the number of its occurrence in the text mixed in, in text order. Numbers are kept on a
+    logarithmic scale: the first, second, fourth, eighth ... occurrence of a shingle stand for all, so that a line
+    repeated hundreds of times weighs like a few shingles and does not make all texts that have it alike."""
     order = np.argsort(x, kind="stable")
     ordered = x[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     if len(first) == len(x):
         return x
     number = np.empty(len(x), np.uint64)
-    number[order] = np.arange(len(x)) - np.repeat(first, np.diff(first, append=len(x)))
-    return np.where(number > 0, _mix(x + number * np.uint64(0xD6E8FEB86659FD93)), x)
+    number[order] = np.arange(1, len(x) + 1) - np.repeat(first, np.diff(first, append=len(x)))
+    kept = (number & (number - np.uint64(1))) == 0
+    x, number = x[kept], number[kept]
+    return np.where(number > 1, _mix(x + number * np.uint64(0xD6E8FEB86659FD93)), x)
 
 
 def bands(hashes: np.ndarray) -> np.ndarray:
