@@ -122,6 +122,8 @@ class WordTable:
         except OverflowError:
             self.rows, self.values, self.used = {}, None, 0
             self.see(words)
+        if self.values is None:  # no word yet, and none asked for
+            self.see(["a"])
         return self.values[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))]
 
 

@@ -23,15 +23,20 @@ SLOTS = 4096
 
 @dataclass
 class SlotMap:
-    """Versions of the map; ``edits[v]`` holds the slots that version v + 1 moved, as (slot, from, to)."""
+    """Versions of the map; ``edits[v]`` holds the slots that version v + 1 moved, as (slot, from, to). ``first``: the
+    number of shards in version 0."""
 
     shards: int
     slots: int = SLOTS
     edits: list[list[tuple[int, int, int]]] = field(default_factory=list)
+    first: int = 0
+
+    def __post_init__(self):
+        self.first = self.first or self.shards
 
     def at(self, version: int | None = None) -> np.ndarray:
         """Slot -> shard in a version; the newest by default."""
-        out = np.arange(self.slots) % self.shards
+        out = np.arange(self.slots) % self.first
         for edit in self.edits[:version]:
             for slot, _, to in edit:
                 out[slot] = to
