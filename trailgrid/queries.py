@@ -169,11 +169,11 @@ def namespace_best_name(s, d) -> DataFrame:
     return R.best_names(_named(s, d)).select("frn", "parent_frn", "name")
 
 
-@_add("list_paths", f"""with recursive l as (select frn, min_by(parent_frn, (octet_length(encode(name)), name)) as parent_frn, min(name) as name from {C.LINKS} where frn % 9 <> 4 or frn > 1000000 group by frn),
+@_add("list_paths", f"""with recursive l as (select frn, min(parent_frn) as parent_frn, min(name) as name from {C.LINKS} where frn % 9 <> 4 or frn > 1000000 group by frn),
  p as (select frn, parent_frn as up, name as path from l union all select p.frn, l.parent_frn, l.name || '\\' || p.path from p join l on p.up = l.frn where p.up <> 5)
  select frn, path, up = 5 as complete from p where up = 5 or up not in (select frn from l)""".replace("\\\\", "\\"))
 def list_paths(s, d) -> DataFrame:
-    some = C.links(s, d).where("frn % 9 <> 4 or frn > 1000000").groupBy("frn", "name").agg(F.min_by("parent_frn", F.struct(F.octet_length("name"), "name")).alias("parent_frn"))
+    some = C.links(s, d).where("frn % 9 <> 4 or frn > 1000000").groupBy("frn", "name").agg(F.min("parent_frn").alias("parent_frn"))
     return R.list_paths(some.withColumn("namespace", F.lit(1)))
 
 
