@@ -200,3 +200,29 @@ def test_languages():
 
     (out,) = run(iter([pa.RecordBatch.from_arrays([pa.array(["Tor wel!", "xol gry zuq", "123", None])], ["text"])]))
     assert out.column("lang_pred").to_pylist() == ["aa", "bb", "und", "und"] and out.column("rejected").to_pylist()[2:] == [True, True]
+
+
+def test_toxicity_stands_put_in_letters_and_finds_every_insult():
+    rng = random.Random(3)
+    common = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(400)]
+    insults = ["stupid", "loser", "moron", "trash", "pathetic", "worthless"]
+    sample = []
+    for i in range(600):
+        text = rng.choices(common, k=30)
+        if i % 4 == 0:
+            text[rng.randrange(30)] = insults[i // 4 % 6]
+        sample.append((int(i % 4 == 0), " ".join(text)))
+    rng.shuffle(sample)
+    judge = toxicity._judge(toxicity.train(sample))
+    around = " ".join(rng.choices(common, k=20))
+    for x in insults:
+        for form in (x, x[:2] + x[1] + x[2:], x[0] * 2 + x[1:], ".".join(x)):
+            assert judge([f"{around} {form}"], [])[0] >= 0.5, form
+    assert (judge([" ".join(rng.choices(common, k=25)) for _ in range(50)], []) < 0.5).all()
+
+
+def test_covering_words_leave_filler():
+    copies = [["bad", *(f"filler{i}" for i in range(9))]] * 30
+    texts = copies + [["bad", f"a{i}"] for i in range(20)] + [["worse", f"b{i}"] for i in range(20)]
+    ratio = {x: 5.0 for w in texts for x in w}
+    assert sorted(toxicity.covering(texts, ratio)) == ["bad", "worse"]

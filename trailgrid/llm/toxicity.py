@@ -4,9 +4,10 @@ The kernel compares two words by the triples of letters that they share in order
 character that it skips, up to ``SPAN`` characters; characters that are no letters are skipped at the same price. So
 ``i.d-i_o t`` stays near ``idiot``. Landmarks are a bounded number of words, the kernel to them gives each word a
 short vector, and a linear machine with squared hinge loss separates words that make a sentence toxic from those that
-do not. Labels belong to documents: a sentence of a clean document is clean throughout, and a toxic document's witness
-is the word in its sentences that the machine finds worst, chosen anew in each round. A text scores as its worst
-sentence, a sentence as its worst word, put on the scale 0 to 1 by a logistic fit on texts kept from training.
+do not. Labels belong to documents: a clean document is clean throughout, and a toxic document's witness is the word
+that the machine finds worst, chosen anew in each round; beside these stand the words that cover the toxic documents,
+with variants that have a letter doubled or a foreign one put in. A text scores by its three worst different words, put
+on the scale 0 to 1 by a logistic fit on texts kept from training: one word may be enough, or three that are bad alike.
 
 As the machine is linear in the kernel, landmarks and weights are folded into one table over letter triples.
 
@@ -22,7 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,17 @@ SPAN = 7
 LANDMARKS = 112
 #: Words of clean sentences that a training round uses at most, besides the worst ones.
 CLEAN_WORDS = 40_000
+#: Least logarithm of how much oftener a covering word is in toxic texts.
+MIN_RATIO = 3.0
+#: Texts that a covering word must tell, and covering words after which a text no longer counts.
+MIN_TEXTS = 4
+COVERS = 3
+#: Words by which a text scores.
+WORST = 3
+#: Likelihood of a label under which its text takes no part in the scale.
+MISLABELLED = 0.05
+#: Weight of a covering word's variants together, as a part of the word's own.
+VARIANTS = 1.0
 _CODES = 64
 _spelled = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 
@@ -113,16 +125,16 @@ class Model:
 
     table: np.ndarray
     bias: float
-    slope: float = 1.0
+    slope: np.ndarray = field(default_factory=lambda: np.zeros(WORST))
     shift: float = 0.0
 
     def margins(self, names: list[str]) -> np.ndarray:
         """The machine's value for each word."""
         return (project(names, self.table[:, None])[:, 0] + self.bias).astype(np.float32)
 
-    def score(self, margin: np.ndarray) -> np.ndarray:
-        """0 to 1."""
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
+    def score(self, worst: np.ndarray) -> np.ndarray:
+        """0 to 1, from the margins of each text's worst words."""
+        return 1 / (1 + np.exp(-np.clip(worst @ self.slope + self.shift, -40, 40)))
 
 
 def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 25) -> np.ndarray:
@@ -141,14 +153,45 @@ def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 25) -
     return w
 
 
-def _worst(texts: list[list[str]], margin: dict[str, float], empty: float) -> np.ndarray:
-    return np.array([max(map(margin.__getitem__, w), default=empty) for w in texts])
+def _worst(margins: np.ndarray, empty: float) -> np.ndarray:
+    """The ``WORST`` greatest margins of a text's different words, greatest first."""
+    if len(margins) < WORST:
+        margins = np.concatenate([margins, np.full(WORST - len(margins), empty)])
+    return -np.sort(np.partition(-margins, WORST - 1)[:WORST])
 
 
 def _margins(model: Model, distinct: list[str]) -> dict[str, float]:
     return dict(zip(distinct, model.margins(distinct).tolist(), strict=True))
 
 
+def covering(toxic: list[list[str]], ratio: dict[str, float]) -> list[str]:
+    """Words that tell toxic texts, each the best for at least ``MIN_TEXTS`` texts that fewer than ``COVERS`` words before
+    it are in. Equal texts count once and a text leaves when it is covered, so its filler is not among them."""
+    left = [(set(w), 0) for w in sorted({tuple(w) for w in toxic})]
+    out: list[str] = []
+    n = Counter(x for w, _ in left for x in w if ratio[x] >= MIN_RATIO)
+    while n:
+        best = max(n, key=lambda x: (ratio[x] * n[x] ** 0.5, x))
+        if n.pop(best) < MIN_TEXTS:
+            break
+        out.append(best)
+        rest = []
+        for w, k in left:
+            if best in w and k + 1 == COVERS:
+                n.subtract(x for x in w if x in n)
+            else:
+                rest.append((w, k + (best in w)))
+        left = rest
+    return out
+
+
+def variants(word: str) -> list[str]:
+    """The word with each letter doubled or trebled, and with one foreign letter in each place between two."""
+    n, foreign = len(word), "exzu"
+    more = [word[:k] + word[k] * m + word[k:] for k in range(n) for m in (1, 2)]
+    return more + [word[:k] + foreign[(k + j) % 4] + word[k:] for k in range(1, n) for j in (0, 1)]
+
+
 def train(sample: list[tuple[int, str]], rounds: int = 3) -> Model | None:
     """Rounds of choosing witnesses and fitting the machine; the logistic scale comes from every fourth text."""
     pool: dict[str, str] = {}  # each word is held once
@@ -170,6 +213,8 @@ def train(sample: list[tuple[int, str]], rounds: int = 3) -> Model | None:
     kept = value > 1e-6 * value.max()
     root = vector[:, kept] / np.sqrt(value[kept])
     clean = sorted(good)
+    cover = covering(toxic, ratio)
+    forms = {x: [y for y in variants(x) if y not in good] for x in cover}
     model = None
     hard: list[str] = clean[:: max(1, len(clean) // CLEAN_WORDS)]
     for _ in range(rounds):
@@ -180,29 +225,51 @@ def train(sample: list[tuple[int, str]], rounds: int = 3) -> Model | None:
             witness = Counter(max(w, key=lambda x: (margin[x], x)) for w in toxic)
             of_clean = model.margins(clean)
             hard = list(dict.fromkeys(hard + [clean[i] for i in np.argsort(-of_clean, kind="stable")[:3000]]))
-        names = [*witness, *hard]
+        for word in cover:
+            witness[word] = max(witness[word], bad[word])
+        bent = Counter({y: VARIANTS * witness[word] / len(forms[word]) for word in cover for y in forms[word]})
+        names = [*witness, *bent, *hard]
         x = project(names, basis, place) @ root
-        y = np.array([1.0] * len(witness) + [-1.0] * len(hard))
-        cost = np.array([20.0 * n / len(toxic) * 100 for n in witness.values()] + [1.0] * len(hard))
+        y = np.array([1.0] * (len(witness) + len(bent)) + [-1.0] * len(hard))
+        cost = np.array([20.0 * n / len(toxic) * 100 for n in (*witness.values(), *bent.values())] + [1.0] * len(hard))
         w = _machine(x, y, cost)
         model = Model((basis @ (root @ w[:-1]))[place].astype(np.float64), float(w[-1]))
     held = held if {bool(label) for label, _ in held} == {True, False} else parsed
-    distinct = sorted({x for _, w in held for x in w})
-    at = _worst([w for _, w in held], _margins(model, distinct), model.bias)
+    margin = _margins(model, sorted({x for _, w in held for x in w}))
+    at = np.array([_worst(np.array([margin[x] for x in w]), model.bias) for _, w in held])
     return _scale(model, at, np.array([bool(label) for label, _ in held]))
 
 
-def _scale(model: Model, at: np.ndarray, label: np.ndarray) -> Model:
-    """A logistic curve through held-out margins, with smoothed goals, so that separable ones keep it finite."""
-    goal = np.where(label, (label.sum() + 1) / (label.sum() + 2), 1 / ((~label).sum() + 2))
-    z = np.stack([at, np.ones_like(at)], axis=1)
-    w = np.array([1.0, 0.0])
+def _logistic(z: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """Weights of a logistic curve, by damped Newton steps."""
+    w = np.zeros(z.shape[1])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-6 * np.eye(2), z.T @ (p - goal) + 1e-6 * w)
-        step *= min(1.0, 2 / max(1e-9, np.abs(step).max()))
-        w = w - step
-    model.slope, model.shift = float(max(w[0], 1e-3)), float(w[1])
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(len(w)), z.T @ (p - goal) + 1e-3 * w)
+        w = w - step * min(1.0, 2 / max(1e-9, np.abs(step).max()))
+    return w
+
+
+def _scale(model: Model, at: np.ndarray, label: np.ndarray) -> Model:
+    """A logistic curve through held-out margins, with smoothed goals, so that separable ones keep it finite. Texts
+    whose label a first curve finds less likely than ``MISLABELLED`` do not flatten the next ones, as long as nine in
+    ten of their label stay; a margin whose weight would be negative is left out."""
+    goal = np.where(label, (label.sum() + 1) / (label.sum() + 2), 1 / ((~label).sum() + 2))
+    used, kept = np.arange(WORST), np.ones(len(at), bool)
+    for _ in range(3):
+        while True:
+            z = np.column_stack([at[:, used], np.ones(len(at))])
+            w = _logistic(z[kept], goal[kept])
+            if (w[:-1] >= 0).all():
+                break
+            used = used[w[:-1] >= 0]
+        own = 1 / (1 + np.exp(np.clip(np.where(label, -1, 1) * (z @ w), -40, 40)))
+        kept = np.ones(len(at), bool)
+        for y in (True, False):
+            odd = np.flatnonzero((label == y) & (own < MISLABELLED))
+            kept[odd[np.argsort(own[odd], kind="stable")[: int((label == y).sum()) // 10]]] = False
+    model.slope = np.zeros(WORST)
+    model.slope[used], model.shift = w[:-1], float(w[-1])
     return model
 
 
@@ -223,14 +290,14 @@ def _judge(model: Model | None):
             return np.zeros(len(texts))
         if not table:
             table.append(WordTable(model.margins))
-        out = np.full(len(texts), model.bias)
+        out = np.full((len(texts), WORST), model.bias)
         for a in range(0, len(texts), 256):
-            parsed = [words(x) for x in texts[a : a + 256]]
+            parsed = [list(set(words(x))) for x in texts[a : a + 256]]
             got = table[0].of([w for x in parsed for w in x])
             at = 0
             for i, w in enumerate(parsed):
                 if w:
-                    out[a + i] = got[at : at + len(w)].max()
+                    out[a + i] = _worst(got[at : at + len(w)], model.bias)
                     at += len(w)
         return np.round(model.score(out), 6)
 
