@@ -7,7 +7,8 @@ short vector, and a linear machine with squared hinge loss separates words that
 do not. Labels belong to documents: a clean document is clean throughout, and a toxic document's witness is the word
 that the machine finds worst, chosen anew in each round; beside these stand the words that cover the toxic documents,
 with variants that have a letter doubled or a foreign one put in. A text scores by its three worst different words, put
-on the scale 0 to 1 by a logistic fit on texts kept from training: one word may be enough, or three that are bad alike.
+on the scale 0 to 1 by a logistic fit on texts kept from training, toxic ones also with a foreign letter put into their
+worst words: one word may be enough, or three that are bad alike.
 
 As the machine is linear in the kernel, landmarks and weights are folded into one table over letter triples.
 
@@ -35,7 +36,7 @@ from .samples import labelled_sample
 
 PER_LABEL = 1500
 BYTES_PER_LABEL = 6_000_000
-DECAY = 0.7
+DECAY = 0.9
 SPAN = 7
 LANDMARKS = 112
 #: Words of clean sentences that a training round uses at most, besides the worst ones.
@@ -51,6 +52,8 @@ WORST = 3
 MISLABELLED = 0.05
 #: Weight of a covering word's variants together, as a part of the word's own.
 VARIANTS = 1.0
+#: Letters put into words by training.
+FOREIGN = "exzu"
 _CODES = 64
 _spelled = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 
@@ -187,9 +190,15 @@ def covering(toxic: list[list[str]], ratio: dict[str, float]) -> list[str]:
 
 def variants(word: str) -> list[str]:
     """The word with each letter doubled or trebled, and with one foreign letter in each place between two."""
-    n, foreign = len(word), "exzu"
+    n = len(word)
     more = [word[:k] + word[k] * m + word[k:] for k in range(n) for m in (1, 2)]
-    return more + [word[:k] + foreign[(k + j) % 4] + word[k:] for k in range(1, n) for j in (0, 1)]
+    return more + [word[:k] + FOREIGN[(k + j) % len(FOREIGN)] + word[k:] for k in range(1, n) for j in (0, 1)]
+
+
+def bend(text: list[str], margin: dict[str, float], turn: int) -> list[str]:
+    """A text's words with a foreign letter put into the ``WORST`` worst ones; ``turn`` chooses the place and the letter."""
+    worst = set(sorted(text, key=lambda x: (-margin[x], x))[:WORST])
+    return [x if x not in worst or len(x) < 2 else x[: 1 + turn % (len(x) - 1)] + FOREIGN[turn % len(FOREIGN)] + x[1 + turn % (len(x) - 1) :] for x in text]
 
 
 def train(sample: list[tuple[int, str]], rounds: int = 3) -> Model | None:
@@ -236,8 +245,13 @@ def train(sample: list[tuple[int, str]], rounds: int = 3) -> Model | None:
         model = Model((basis @ (root @ w[:-1]))[place].astype(np.float64), float(w[-1]))
     held = held if {bool(label) for label, _ in held} == {True, False} else parsed
     margin = _margins(model, sorted({x for _, w in held for x in w}))
-    at = np.array([_worst(np.array([margin[x] for x in w]), model.bias) for _, w in held])
-    return _scale(model, at, np.array([bool(label) for label, _ in held]))
+    at = [_worst(np.array([margin[x] for x in w]), model.bias) for _, w in held]
+    label = [bool(y) for y, _ in held]
+    for i, (y, w) in enumerate(held):
+        if y and w and at[i][0] > 0:
+            at.append(_worst(model.margins(bend(w, margin, i)), model.bias))
+            label.append(True)
+    return _scale(model, np.array(at), np.array(label))
 
 
 def _logistic(z: np.ndarray, goal: np.ndarray) -> np.ndarray:
@@ -253,12 +267,15 @@ def _logistic(z: np.ndarray, goal: np.ndarray) -> np.ndarray:
 def _scale(model: Model, at: np.ndarray, label: np.ndarray) -> Model:
     """A logistic curve through held-out margins, with smoothed goals, so that separable ones keep it finite. Texts
     whose label a first curve finds less likely than ``MISLABELLED`` do not flatten the next ones, as long as nine in
-    ten of their label stay; a margin whose weight would be negative is left out."""
+    ten of their label stay. The curve is over the means of the one, two and three greatest margins, and a mean whose
+    weight would be negative is left out, so a worse word never weighs less than a better one."""
     goal = np.where(label, (label.sum() + 1) / (label.sum() + 2), 1 / ((~label).sum() + 2))
+    share = np.tril(np.ones((WORST, WORST))) / np.arange(1, WORST + 1)[:, None]
+    means = at @ share.T
     used, kept = np.arange(WORST), np.ones(len(at), bool)
     for _ in range(3):
         while True:
-            z = np.column_stack([at[:, used], np.ones(len(at))])
+            z = np.column_stack([means[:, used], np.ones(len(at))])
             w = _logistic(z[kept], goal[kept])
             if (w[:-1] >= 0).all():
                 break
@@ -268,8 +285,7 @@ def _scale(model: Model, at: np.ndarray, label: np.ndarray) -> Model:
         for y in (True, False):
             odd = np.flatnonzero((label == y) & (own < MISLABELLED))
             kept[odd[np.argsort(own[odd], kind="stable")[: int((label == y).sum()) // 10]]] = False
-    model.slope = np.zeros(WORST)
-    model.slope[used], model.shift = w[:-1], float(w[-1])
+    model.slope, model.shift = w[:-1] @ share[used], float(w[-1])
     return model
 
 
