@@ -39,8 +39,11 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        """By the library alone."""
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """By the library alone, a slice at a time: its own results are many times the size of the ids."""
+        out: list[bytes] = []
+        for a in range(0, len(texts), 8192):
+            out += [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts[a : a + 8192], add_special_tokens=False)]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; the batch is worked through in runs of bounded size."""
@@ -49,7 +52,7 @@ class Encoder:
         for text in texts:
             run.append(text)
             size += len(text)
-            if size >= 4_000_000:
+            if size >= 1_000_000:
                 out += self._run(run)
                 run, size = [], 0
         return out + self._run(run)
