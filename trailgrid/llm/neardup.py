@@ -5,9 +5,10 @@ words is one shingle. Each occurrence of a shingle carries its number in the tex
 logarithmic scale. A sketch takes, for each of
 ``ROWS * BANDS`` hash functions, the two occurrence-labelled shingles with the smallest hashes and keeps them in text
 order, so texts collide only if they share both in the same order. Three sketches make a band. Texts that share a band
-and are of about one length are candidates of the band's leader, and a candidate is linked if a banded alignment of the two word sequences matches
-at least 0.88 of the longer one's words in order. An edit of k words changes k + 4 shingles, so two texts that share
-0.8 of their 5-word shingles in order always reach 0.88, and texts whose edits are spread out are found as well.
+and are of about one length are candidates of the band's leader, and a candidate is linked if a banded alignment of the two shingle sequences
+finds a longest common subsequence of l shingles with l / (m + n - l) >= 0.8, or one of the two word sequences matches
+at least 0.88 of the longer one's words in order. The first finds copies with a part cut, appended or put in, the second
+copies whose edits are spread out. Lengths that allow neither are never compared.
 
 Equal texts are one text from the start. A band's texts are compared with its leader, the text that meets most others
 in all its bands; those that it doesn't match elect the next leaders, four times as many in each round, until none is left
@@ -37,7 +38,8 @@ from pyspark.sql import functions as F
 from .common import WordTable, tidy, written
 
 SHINGLE = 5
-SIMILARITY = 0.88
+#: The least share of words and of shingles in order, either of which links two texts.
+SIMILARITY, SHINGLED = 0.88, 0.8
 BANDS, ROWS = 24, 3
 #: A band's unmatched texts up to this number are compared pairwise, each with at most as many others.
 PAIRWISE = 12
@@ -68,6 +70,18 @@ def shingles(hashes: np.ndarray) -> np.ndarray:
     return _mix(out)
 
 
+def occurrences(x: np.ndarray) -> np.ndarray:
+    """Each hash with the number of its occurrence in the text mixed in."""
+    order = np.argsort(x, kind="stable")
+    ordered = x[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    if len(first) == len(x):
+        return x
+    number = np.empty(len(x), np.uint64)
+    number[order] = np.arange(len(x)) - np.repeat(first, np.diff(first, append=len(x)))
+    return np.where(number > 0, _mix(x + number * np.uint64(0xD6E8FEB86659FD93)), x)
+
+
 def labelled(x: np.ndarray) -> np.ndarray:
     """Each hash with the number of its occurrence in the text mixed in, in text order. Numbers are kept on a
     logarithmic scale: the first, second, fourth, eighth ... occurrence of a shingle stand for all, so that a line
@@ -127,22 +141,54 @@ def common(a: list, b: list, width: int) -> int:
     return found + size - row.bit_count()
 
 
-def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """Words matched in order over the longer text's words, by banded alignment; 0 if certainly below ``least``."""
+def in_order(a: np.ndarray, b: np.ndarray, width: int) -> int:
+    """Elements that match in order along the diagonals -width .. width; ``a`` is no shorter than ``b``."""
     m, n = len(a), len(b)
-    if m < n:
-        a, b, m, n = b, a, n, m
-    if n < least * m:
-        return 0.0
     same = a[:n] == b
     head = n if same.all() else int(same.argmin())
     back = a[m - n + head :][::-1] == b[head:][::-1]
     tail = len(back) if back.all() else int(back.argmin())
     x, y = a[head : m - tail].tolist(), b[head : n - tail].tolist()
-    got = head + tail
-    if x and y:
-        got += common(x, y, min(int(m * (1 - least)) + 1, max(len(x), len(y))))
-    return got / m
+    return head + tail + (common(x, y, min(width, max(len(x), len(y)))) if x and y else 0)
+
+
+def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
+    """Words matched in order over the longer text's words, by banded alignment; 0 if certainly below ``least``."""
+    if len(a) < len(b):
+        a, b = b, a
+    m, n = len(a), len(b)
+    return in_order(a, b, int(m * (1 - least)) + 1) / m if n >= least * m else 0.0
+
+
+def overlap(a: np.ndarray, b: np.ndarray, least: float = SHINGLED) -> float:
+    """l / (m + n - l) of two shingle sequences by banded alignment; 0 if certainly below ``least``."""
+    if len(a) < len(b):
+        a, b = b, a
+    m, n = len(a), len(b)
+    if n < least * m:
+        return 0.0
+    got = in_order(a, b, int((m + n) * (1 - least) / (1 + least)) + 1)
+    return got / (m + n - got)
+
+
+class Sequence:
+    """A text's words and shingles, and both as sorted bags, whose intersections bound what can match in order."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.shingles = words, shingles(words)
+        self.bag, self.shingle_bag = np.sort(occurrences(self.words)), np.sort(occurrences(self.shingles))
+
+
+def _both(x: np.ndarray, y: np.ndarray) -> int:
+    return len(np.intersect1d(x, y, assume_unique=True))
+
+
+def near(x: Sequence, y: Sequence) -> bool:
+    """Whether two texts are linked: by their words or by their shingles."""
+    if _both(x.bag, y.bag) >= SIMILARITY * max(len(x.words), len(y.words)) and similarity(x.words, y.words) >= SIMILARITY:
+        return True
+    m, n, most = len(x.shingles), len(y.shingles), _both(x.shingle_bag, y.shingle_bag)
+    return most >= SHINGLED * (m + n - most) and overlap(x.shingles, y.shingles) >= SHINGLED
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,18 +212,18 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tidy()
-    kept: dict[str, np.ndarray] = {}
+    kept: dict[str, Sequence] = {}
 
-    def sequence(text: str) -> np.ndarray:
+    def sequence(text: str) -> Sequence:
         if text not in kept:
             if len(kept) > 64:
                 kept.clear()
-            kept[text] = word_hashes(_words(text.lower()) or [text])
+            kept[text] = Sequence(word_hashes(_words(text.lower()) or [text]))
         return kept[text]
 
     for batch in batches:
-        near = [similarity(sequence(x.as_py()), sequence(y.as_py())) >= SIMILARITY for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], ["leader", "fp", "near"])
+        linked = [near(sequence(x.as_py()), sequence(y.as_py())) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["leader", "fp", "near"])
 
 
 def _files(rows: int) -> int:
@@ -187,12 +233,14 @@ def _files(rows: int) -> int:
 
 def _links(docs: DataFrame, texts: DataFrame) -> tuple[DataFrame, int]:
     """Verified links (leader, fp) between different texts, and a number of files; ``texts``: fp, bands, words, id."""
-    members = texts.select("fp", "words", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("n"), F.min("words").alias("least"), F.max("words").alias("most")).where("n > 1")
-    # two texts whose lengths allow a link are in the same or in neighbouring classes of length; a band whose lengths
-    # all allow it is one class
-    grade = F.floor(F.log("words") / -F.log(F.lit(SIMILARITY)))
-    classes = F.when(F.col("least") >= F.col("most") * SIMILARITY, F.array("key")).otherwise(F.array(F.xxhash64("key", grade), F.xxhash64("key", grade + 1)))
+    # lengths in shingles: what allows a link by words allows one by shingles too
+    length = F.greatest(F.col("words") - (SHINGLE - 1), F.lit(1)).alias("length")
+    members = texts.select("fp", length, F.explode("bands").alias("key"))
+    shared = members.groupBy("key").agg(F.count("*").alias("n"), F.min("length").alias("least"), F.max("length").alias("most")).where("n > 1")
+    # two texts whose lengths allow a link are in the same or in neighbouring classes of length, a little wider than
+    # need be; a band whose lengths all allow it is one class
+    grade = F.floor(F.log("length") / -F.log(F.lit(SHINGLED - 0.01)))
+    classes = F.when(F.col("least") >= F.col("most") * SHINGLED, F.array("key")).otherwise(F.array(F.xxhash64("key", grade), F.xxhash64("key", grade + 1)))
     met = members.join(shared, "key").select("fp", F.explode(classes).alias("key"))
     met = written(met, "met")
     met = met.join(met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
