@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 
@@ -242,3 +243,32 @@ def test_near_duplicates_cut_appended_and_put_in(spark):
     texts = [a, a[:168], b, b[:100] + words("new", 34) + b[100:], c, c + words("end", 38), d, d[:158]]
     # shingles in order 0.837, 0.821, 0.838; the last pair has 0.786 and 0.79 of the words: no link
     assert classes_of(spark, map(" ".join, texts)) == [0, 0, 2, 2, 4, 4, 6, 7]
+
+
+def test_matched_texts_meet_the_rest_of_their_band(spark):
+    w = [[f"{k}{i}" for i in range(200)] for k in "abcd"]
+    texts = [" ".join(x) for x in (w[0], w[1][:20] + w[0][20:], w[1][:20] + w[0][20:180] + w[2][:20], w[3])]
+    # the first leads, as it meets the last in another band; it matches the second only, and the second the third
+    rows = [(hashlib.md5(x.encode()).digest(), [1, 2] if i == 0 else [2] if i == 3 else [1], 200, i) for i, x in enumerate(texts)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    links, _ = neardup._links(docs, spark.createDataFrame(rows, "fp binary, bands array<bigint>, words long, id long"))
+    number = {bytes(r[0]): r[3] for r in rows}
+    assert {frozenset((number[bytes(r["leader"])], number[bytes(r["fp"])])) for r in links.collect()} == {frozenset((0, 1)), frozenset((1, 2))}
+
+
+def test_drifting_copies_lose_no_link(spark):
+    rng = random.Random(4)
+    texts = []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for k in range(40):  # a walk away from random earlier copies
+            base = list(rng.choice(texts[40 * g :]) if k else base)
+            at = rng.randrange(110)
+            base[at : at + 9] = [f"g{g}k{k}n{i}" for i in range(9)]
+            texts.append(base)
+    got = classes_of(spark, map(" ".join, texts))
+    seen = [neardup.Sequence(neardup.word_hashes(x)) for x in texts]
+    keys = [set(neardup.bands(x.words).tolist()) for x in seen]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if keys[a] & keys[b] and neardup.near(seen[a], seen[b])]
+    lost = [p for p in pairs if got[p[0]] != got[p[1]]]
+    assert len(pairs) > 200 and not lost, (len(lost), len(pairs))

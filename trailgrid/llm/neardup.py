@@ -11,10 +11,12 @@ at least 0.88 of the longer one's words in order. The first finds copies with a
 copies whose edits are spread out. Lengths that allow neither are never compared.
 
 Equal texts are one text from the start. A band's texts are compared with its leader, the text that meets most others
-in all its bands; those that it doesn't match elect the next leaders, four times as many in each round, until none is left
-(the last few of a band are compared pairwise). So a band of k near copies costs about k comparisons, and no text is
-left out by a cap. Classes are the connected components of the links, found by hooking and pointer jumping over tables
-in the shared folder.
+in all its bands. What links have joined so far is a class; while a band's other texts are of several classes, it elects
+the next leaders from its smallest ones, four times as many in each round, which meet all the band's texts of other classes, linked
+or not (small bands are compared pairwise between classes). So a band of k near copies costs about k comparisons, and of
+every two texts that share a band either the alignment is tested or they are of one class already: no text or link is
+left out. Classes are the connected components of the links, found by hooking and pointer jumping over tables in the
+shared folder.
 
 Defined results: null texts and texts without a word are copies of nothing; equal texts are always of one class;
 the class is named by its smallest doc_id, null ids counting as largest; very long texts are read whole; repeated rows
@@ -41,7 +43,7 @@ SHINGLE = 5
 #: The least share of words and of shingles in order, either of which links two texts.
 SIMILARITY, SHINGLED = 0.88, 0.8
 BANDS, ROWS = 24, 3
-#: A band's unmatched texts up to this number are compared pairwise, each with at most as many others.
+#: A band that still has several classes is compared pairwise if it has up to this number of texts.
 PAIRWISE = 12
 _words = re.compile(r"\w+").findall
 _rng = np.random.default_rng(20240229)
@@ -254,29 +256,33 @@ def _links(docs: DataFrame, texts: DataFrame) -> tuple[DataFrame, int]:
     bodies = own.join(needed.withColumnRenamed("fp", "_fp").withColumnRenamed("id", "_id"), (F.col("fp") == F.col("_fp")) & F.col("id").eqNullSafe(F.col("_id")))
     bodies = written(bodies.select("fp", "text"), "bodies")
     heads = bodies.select(F.col("fp").alias("leader"), F.col("text").alias("head"))
-    found, leaders = [], 1
+    judged, leaders = [], 1
+    pairs, rest = left.select("leader", "fp").distinct(), left.select("key", "fp").join(degree, "fp")
     while True:
-        # left: the texts of each band with the leaders that they have to meet
-        both = left.select("leader", "fp").distinct().join(bodies.withColumnRenamed("text", "body"), "fp").join(heads, "leader")
-        judged = written(both.select("leader", "fp", "head", "body").mapInArrow(_verify, "leader binary, fp binary, near boolean"), "judged", files=files)
-        found.append(judged.where("near").select("leader", "fp"))
-        if judged.where("not near").isEmpty():
-            break
-        # a text goes on in a band if no leader matched it there, and if it was no leader itself
-        verdicts = written(left.join(judged.distinct(), ["leader", "fp"]).groupBy("key", "fp").agg(F.max("near").alias("near")), "verdicts", files=files)
-        were = left.select("key", F.col("leader").alias("fp")).distinct()
-        misses = written(verdicts.where("not near").select("key", "fp").join(were, ["key", "fp"], "left_anti"), "misses", files=files)
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "fp"))
-        counted = misses.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        misses = written(misses.join(counted, "key").join(degree, "fp"), "left", files=files)
+        # pairs: what has to be compared; rest: the texts of each band that were no leaders there, so that all pairs
+        # of the band but theirs are compared or of one class
+        both = pairs.join(bodies.withColumnRenamed("text", "body"), "fp").join(heads, "leader")
+        judged.append(written(both.select("leader", "fp", "head", "body").mapInArrow(_verify, "leader binary, fp binary, near boolean"), "judged", files=files))
+        tested = reduce(DataFrame.unionByName, judged)
+        links = tested.where("near").select("leader", "fp")
+        now = rest.join(components(links, files), "fp", "left").select("key", "fp", "degree", F.coalesce("root", "fp").alias("root"))
+        sizes = now.groupBy("key", "root").agg(F.count("*").alias("size"))
+        mixed = sizes.groupBy("key").agg(F.count("*").alias("classes"), F.sum("size").alias("n")).where("classes > 1")
+        now = written(now.join(mixed, "key").join(sizes, ["key", "root"]), "left", files=files)
+        if now.isEmpty():
+            return links, files
+        # the next leaders are of the band's smallest classes, so that its largest one is met, not led; bands of up to
+        # PAIRWISE texts are done after this round: all their pairs between classes are in it
         leaders *= 4
-        chosen = misses.withColumn("rank", rank).where((F.col("rank") <= leaders) | (F.col("n") <= PAIRWISE)).select("key", F.col("fp").alias("leader"), "rank")
-        numbered = misses.withColumn("own", rank).select("key", "fp", "own")
-        left = written(numbered.join(chosen, "key").where("own > rank").select("key", "fp", "leader"), "candidates", files=files)
-        if left.isEmpty():
-            break
-        # bands of up to PAIRWISE texts are done after this round: all their pairs are in it
-    return reduce(DataFrame.unionByName, found).distinct(), files
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("size", F.desc("degree"), "fp"))
+        ranked = written(now.withColumn("rank", rank).withColumn("leads", (F.col("rank") <= leaders) | (F.col("n") <= PAIRWISE)), "ranked", files=files)
+        chosen = ranked.where("leads").select("key", *[F.col(c).alias(f"_{c}") for c in ("fp", "degree", "root", "rank")])
+        met = ranked.join(chosen, "key").where("rank > _rank and root <> _root")
+        # a pair is written in one way, whichever of its two texts leads, and compared once
+        own, other = F.struct("degree", "fp"), F.struct(F.col("_degree").alias("degree"), F.col("_fp").alias("fp"))
+        met = met.select(F.greatest(own, other)["fp"].alias("leader"), F.least(own, other)["fp"].alias("fp")).distinct()
+        pairs = written(met.join(tested, ["leader", "fp"], "left_anti"), "candidates", files=files)
+        rest = ranked.where("not leads").select("key", "fp", "degree")
 
 
 def components(links: DataFrame, files: int | None = None) -> DataFrame:
