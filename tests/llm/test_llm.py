@@ -272,3 +272,26 @@ def test_drifting_copies_lose_no_link(spark):
     pairs = [(a, b) for a in range(len(texts)) for b in range(a) if keys[a] & keys[b] and neardup.near(seen[a], seen[b])]
     lost = [p for p in pairs if got[p[0]] != got[p[1]]]
     assert len(pairs) > 200 and not lost, (len(lost), len(pairs))
+
+
+def test_repeated_lines_count_in_full(spark):
+    line = [f"line{i}" for i in range(10)]
+    for repeats, own, changed in ((300, 150, 120), (50, 80, 60)):
+        texts = [line * repeats + [f"w{i}" if i >= changed else f"t{k}w{i}" for i in range(own)] for k in range(2)]
+        assert classes_of(spark, map(" ".join, texts)) == [0, 0]
+
+
+def test_large_bands_are_split_without_loss(spark):
+    """Texts that share most of their words and one band, too many for pairs; some are copies of each other."""
+    rng = random.Random(12)
+    body = [f"b{i}" for i in range(100)]
+    texts = [body + [f"t{k}w{i}" for i in range(60)] for k in range(100)]
+    texts += [[x if rng.random() > 0.04 else "new" for x in t] for t in texts[:30]] + [t[: len(t) - 12] for t in texts[30:60]]
+    rows = [(hashlib.md5(" ".join(x).encode()).digest(), [1], len(x), i) for i, x in enumerate(texts)]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    links, files = neardup._links(docs, spark.createDataFrame(rows, "fp binary, bands array<bigint>, words long, id long"))
+    root = {bytes(r["fp"]): r["root"] for r in neardup.components(links, files).collect()}
+    seen = [neardup.Sequence(neardup.word_hashes(x)) for x in texts]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if neardup.near(seen[a], seen[b])]
+    lost = [(a, b) for a, b in pairs if rows[a][0] != rows[b][0] and (rows[a][0] not in root or root[rows[a][0]] != root.get(rows[b][0]))]
+    assert len(pairs) >= 50 and not lost, (len(lost), len(pairs))

@@ -1,8 +1,7 @@
 """Near-duplicate detection by order MinHash, verified by banded alignment.
 
 A text is its sequence of words (lower-cased runs of letters and digits) and of word 5-grams; a text of fewer than five
-words is one shingle. Each occurrence of a shingle carries its number in the text, on a
-logarithmic scale. A sketch takes, for each of
+words is one shingle. Each occurrence of a shingle carries its number in the text. A sketch takes, for each of
 ``ROWS * BANDS`` hash functions, the two occurrence-labelled shingles with the smallest hashes and keeps them in text
 order, so texts collide only if they share both in the same order. Three sketches make a band. Texts that share a band
 and are of about one length are candidates of the band's leader, and a candidate is linked if a banded alignment of the two shingle sequences
@@ -15,7 +14,8 @@ in all its bands. What links have joined so far is a class; while a band's other
 the next leaders from its smallest ones, four times as many in each round, which meet all the band's texts of other classes, linked
 or not (small bands are compared pairwise between classes). So a band of k near copies costs about k comparisons, and of
 every two texts that share a band either the alignment is tested or they are of one class already: no text or link is
-left out. Classes are the connected components of the links, found by hooking and pointer jumping over tables in the
+left out. A large band that its first leader does not join is split by rare words and shingles: a text keeps so many of its
+rarest ones that every text it can be linked to keeps one of them too. Classes are the connected components of the links, found by hooking and pointer jumping over tables in the
 shared folder.
 
 Defined results: null texts and texts without a word are copies of nothing; equal texts are always of one class;
@@ -45,6 +45,8 @@ SIMILARITY, SHINGLED = 0.88, 0.8
 BANDS, ROWS = 24, 3
 #: A band that still has several classes is compared pairwise if it has up to this number of texts.
 PAIRWISE = 12
+#: A band with more texts than this that still has several classes is split.
+LARGE = 64
 _words = re.compile(r"\w+").findall
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -73,7 +75,7 @@ def shingles(hashes: np.ndarray) -> np.ndarray:
 
 
 def occurrences(x: np.ndarray) -> np.ndarray:
-    """Each hash with the number of its occurrence in the text mixed in."""
+    """Each hash with the number of its occurrence in the text mixed in, in text order."""
     order = np.argsort(x, kind="stable")
     ordered = x[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
@@ -84,25 +86,9 @@ def occurrences(x: np.ndarray) -> np.ndarray:
     return np.where(number > 0, _mix(x + number * np.uint64(0xD6E8FEB86659FD93)), x)
 
 
-def labelled(x: np.ndarray) -> np.ndarray:
-    """Each hash with the number of its occurrence in the text mixed in, in text order. Numbers are kept on a
-    logarithmic scale: the first, second, fourth, eighth ... occurrence of a shingle stand for all, so that a line
-    repeated hundreds of times weighs like a few shingles and does not make all texts that have it alike."""
-    order = np.argsort(x, kind="stable")
-    ordered = x[order]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    if len(first) == len(x):
-        return x
-    number = np.empty(len(x), np.uint64)
-    number[order] = np.arange(1, len(x) + 1) - np.repeat(first, np.diff(first, append=len(x)))
-    kept = (number & (number - np.uint64(1))) == 0
-    x, number = x[kept], number[kept]
-    return np.where(number > 1, _mix(x + number * np.uint64(0xD6E8FEB86659FD93)), x)
-
-
 def bands(hashes: np.ndarray) -> np.ndarray:
     """The band keys of a text's word hashes."""
-    x = labelled(shingles(hashes))
+    x = occurrences(shingles(hashes))
     places = [[], []]
     for a in range(0, len(x), _CHUNK):  # the two smallest of each run of bounded size
         v = _A[:, None] * x[None, a : a + _CHUNK]
@@ -228,6 +214,32 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["leader", "fp", "near"])
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tidy()
+    for batch in batches:
+        for fp, text in zip(batch.column(0), batch.column(1), strict=True):
+            x = Sequence(word_hashes(_words(text.as_py().lower()) or [text.as_py()]))
+            bags, kept = [x.bag, _mix(x.shingle_bag)], [SIMILARITY, SHINGLED]
+            for kind, (bag, share) in enumerate(zip(bags, kept, strict=True)):
+                # of two linked texts, each has at least this share of its words or shingles in common with the other
+                prefix = len(bag) - int(np.ceil(share * len(bag) - 1e-6)) + 1
+                columns = [pa.array([v] * len(bag), t) for v, t in ((fp.as_py(), pa.binary()), (kind, pa.int32()), (prefix, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(bag.astype(np.int64))], ["fp", "kind", "prefix", "key"])
+
+
+def _split(large: DataFrame, bodies: DataFrame, files: int) -> DataFrame:
+    """The rows of ``large`` bands with keys of another kind: each text's rarest words and shingles. Two texts that can
+    be linked share one of them, as both count their rarest ones in one order."""
+    texts = written(large.select("fp", "degree", "length").distinct(), "large", files=files)
+    tokens = bodies.join(texts.select("fp"), "fp").select("fp", "text").mapInArrow(_tokens, "fp binary, kind int, prefix long, key long")
+    tokens = written(tokens, "tokens")
+    common = tokens.groupBy("key").agg(F.count("*").alias("n"))
+    # what only one text has makes no pair, but it takes its place among the rarest
+    place = F.row_number().over(Window.partitionBy("fp", "kind").orderBy("n", "key"))
+    rare = tokens.join(common, "key").withColumn("place", place).where("place <= prefix and n > 1").select("key", "fp").distinct()
+    return written(rare.join(texts, "fp").select("key", "fp", "degree", "length"), "rare")
+
+
 def _files(rows: int) -> int:
     """For tables of ``rows`` pairs: tasks of some seconds each."""
     return max(12, rows // 100_000)
@@ -243,10 +255,10 @@ def _links(docs: DataFrame, texts: DataFrame) -> tuple[DataFrame, int]:
     # need be; a band whose lengths all allow it is one class
     grade = F.floor(F.log("length") / -F.log(F.lit(SHINGLED - 0.01)))
     classes = F.when(F.col("least") >= F.col("most") * SHINGLED, F.array("key")).otherwise(F.array(F.xxhash64("key", grade), F.xxhash64("key", grade + 1)))
-    met = members.join(shared, "key").select("fp", F.explode(classes).alias("key"))
+    met = members.join(shared, "key").select("fp", "length", F.explode(classes).alias("key"))
     met = written(met, "met")
     met = met.join(met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
-    degree = met.groupBy("fp").agg((F.sum("n") - F.count("*")).alias("degree"))
+    degree = met.groupBy("fp").agg((F.sum("n") - F.count("*")).alias("degree"), F.max("length").alias("length"))
     files = _files(met.count())
     ranked = met.select("key", "fp").join(degree, "fp")
     first = ranked.groupBy("key").agg(F.max(F.struct("degree", "fp")).alias("first")).select("key", F.col("first.fp").alias("leader"))
@@ -256,7 +268,7 @@ def _links(docs: DataFrame, texts: DataFrame) -> tuple[DataFrame, int]:
     bodies = own.join(needed.withColumnRenamed("fp", "_fp").withColumnRenamed("id", "_id"), (F.col("fp") == F.col("_fp")) & F.col("id").eqNullSafe(F.col("_id")))
     bodies = written(bodies.select("fp", "text"), "bodies")
     heads = bodies.select(F.col("fp").alias("leader"), F.col("text").alias("head"))
-    judged, leaders = [], 1
+    judged, leaders, split = [], 1, False
     pairs, rest = left.select("leader", "fp").distinct(), left.select("key", "fp").join(degree, "fp")
     while True:
         # pairs: what has to be compared; rest: the texts of each band that were no leaders there, so that all pairs
@@ -265,24 +277,32 @@ def _links(docs: DataFrame, texts: DataFrame) -> tuple[DataFrame, int]:
         judged.append(written(both.select("leader", "fp", "head", "body").mapInArrow(_verify, "leader binary, fp binary, near boolean"), "judged", files=files))
         tested = reduce(DataFrame.unionByName, judged)
         links = tested.where("near").select("leader", "fp")
-        now = rest.join(components(links, files), "fp", "left").select("key", "fp", "degree", F.coalesce("root", "fp").alias("root"))
+        now = rest.join(components(links, files), "fp", "left").select("key", "fp", "degree", "length", F.coalesce("root", "fp").alias("root"))
         sizes = now.groupBy("key", "root").agg(F.count("*").alias("size"))
         mixed = sizes.groupBy("key").agg(F.count("*").alias("classes"), F.sum("size").alias("n")).where("classes > 1")
         now = written(now.join(mixed, "key").join(sizes, ["key", "root"]), "left", files=files)
         if now.isEmpty():
             return links, files
+        apart = None
+        if not split:
+            split, large = True, now.where(F.col("n") > LARGE)
+            apart = None if large.isEmpty() else _split(large, bodies, files)
+            now = now.where(F.col("n") <= LARGE)
         # the next leaders are of the band's smallest classes, so that its largest one is met, not led; bands of up to
         # PAIRWISE texts are done after this round: all their pairs between classes are in it
         leaders *= 4
         rank = F.row_number().over(Window.partitionBy("key").orderBy("size", F.desc("degree"), "fp"))
         ranked = written(now.withColumn("rank", rank).withColumn("leads", (F.col("rank") <= leaders) | (F.col("n") <= PAIRWISE)), "ranked", files=files)
-        chosen = ranked.where("leads").select("key", *[F.col(c).alias(f"_{c}") for c in ("fp", "degree", "root", "rank")])
-        met = ranked.join(chosen, "key").where("rank > _rank and root <> _root")
+        chosen = ranked.where("leads").select("key", *[F.col(c).alias(f"_{c}") for c in ("fp", "degree", "length", "root", "rank")])
+        fits = F.least("length", "_length") >= F.greatest("length", "_length") * (SHINGLED - 1e-6)
+        met = ranked.join(chosen, "key").where("rank > _rank and root <> _root").where(fits)
         # a pair is written in one way, whichever of its two texts leads, and compared once
         own, other = F.struct("degree", "fp"), F.struct(F.col("_degree").alias("degree"), F.col("_fp").alias("fp"))
         met = met.select(F.greatest(own, other)["fp"].alias("leader"), F.least(own, other)["fp"].alias("fp")).distinct()
         pairs = written(met.join(tested, ["leader", "fp"], "left_anti"), "candidates", files=files)
-        rest = ranked.where("not leads").select("key", "fp", "degree")
+        rest = ranked.where("not leads").select("key", "fp", "degree", "length")
+        if apart is not None:  # their leaders are elected from the next round on
+            rest = rest.unionByName(apart)
 
 
 def components(links: DataFrame, files: int | None = None) -> DataFrame:
