@@ -295,3 +295,10 @@ def test_large_bands_are_split_without_loss(spark):
     pairs = [(a, b) for a in range(len(texts)) for b in range(a) if neardup.near(seen[a], seen[b])]
     lost = [(a, b) for a, b in pairs if rows[a][0] != rows[b][0] and (rows[a][0] not in root or root[rows[a][0]] != root.get(rows[b][0]))]
     assert len(pairs) >= 50 and not lost, (len(lost), len(pairs))
+
+
+def test_equal_texts_without_a_word_are_one_class(spark):
+    texts = ["?!", "?!", "?! ", "", "", "\U0001f600", "\U0001f600"]
+    assert classes_of(spark, texts) == [0, 0, 2, 3, 4, 5, 5]
+    docs = spark.createDataFrame([*enumerate(texts), (7, None)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in neardup.deduplicated(docs).collect()) == [0, 2, 3, 4, 5, 7]

@@ -18,7 +18,8 @@ left out. A large band that its first leader does not join is split by rare word
 rarest ones that every text it can be linked to keeps one of them too. Classes are the connected components of the links, found by hooking and pointer jumping over tables in the
 shared folder.
 
-Defined results: null texts and texts without a word are copies of nothing; equal texts are always of one class;
+Defined results: null and empty texts are copies of nothing; equal texts are always of one class, texts without a word
+(punctuation, emoji) are copies of equal ones only;
 the class is named by its smallest doc_id, null ids counting as largest; very long texts are read whole; repeated rows
 are of one class; an empty table gives an empty result; extra columns are kept by :func:`deduplicated` and ignored
 elsewhere.
@@ -191,7 +192,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got = table.of([w for x in parsed for w in x])
             at = 0
             for text, w in zip(texts[a : a + 512], parsed, strict=True):
-                prints.append(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest() if w else None)
+                prints.append(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest() if text else None)
                 sizes.append(len(w))
                 keys.append(bands(got[at : at + len(w)]).tolist() if w else None)
                 at += len(w)
@@ -325,7 +326,7 @@ def worded() -> F.Column:
 
 
 def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, fp), and for each print with a word: class_id, the print that stays, and its number of links."""
+    """Rows (doc_id, fp), and for each print: class_id, the print that stays, and its number of links."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(docs.withColumn("worded", worded()).mapInArrow(_sketch, "doc_id long, fp binary, bands array<bigint>, words long"), "sketches")
     texts = written(rows.where("fp is not null").groupBy("fp", "bands", "words").agg(F.min("doc_id").alias("id")), "texts")
@@ -344,12 +345,12 @@ def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, class_id and the number of links of its text, for every document."""
     rows, classes = _classes(documents)
-    worded = rows.where("fp is not null").join(classes, "fp").select("doc_id", "class_id", "links")
-    return worded.unionByName(rows.where("fp is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links")))
+    printed = rows.where("fp is not null").join(classes, "fp").select("doc_id", "class_id", "links")
+    return printed.unionByName(rows.where("fp is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links")))
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
-    """One document of each class, the one that names it, and every document without a word."""
+    """One document of each class, the one that names it, and every document without a text."""
     rows, classes = _classes(documents)
     stay = classes.where("fp = keep_fp").select(F.col("fp").alias("_fp"), F.col("class_id").alias("_id"))
     print_of = F.unhex(F.md5(F.col("text").cast("string").cast("binary")))
@@ -357,7 +358,7 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     kept = own.join(stay, (F.col("_own") == F.col("_fp")) & F.col("_doc").eqNullSafe(F.col("_id")))
     # rows repeated with id and text alike are one document
     once = kept.groupBy("_own").agg(F.first("row").alias("row")).select("row.*") if _repeats(rows, classes) else kept.select("row.*")
-    return once.unionByName(documents.where(~worded()))
+    return once.unionByName(documents.where(F.coalesce(F.col("text").cast("string") == "", F.lit(True))))
 
 
 def _repeats(rows: DataFrame, classes: DataFrame) -> bool:
