@@ -1,28 +1,27 @@
 """Near-duplicate detection by order MinHash, verified by banded alignment.
 
 A text is its sequence of words (lower-cased runs of letters and digits) and of word 5-grams; a text of fewer than five
-words is one shingle. Each occurrence of a shingle carries its number in the text. A sketch takes, for each of
-``ROWS * BANDS`` hash functions, the two occurrence-labelled shingles with the smallest hashes and keeps them in text
-order, so texts collide only if they share both in the same order. Three sketches make a band. Texts that share a band
-and are of about one length are candidates of the band's leader, and a candidate is linked if a banded alignment of the two shingle sequences
-finds a longest common subsequence of l shingles with l / (m + n - l) >= 0.8, or one of the two word sequences matches
-at least 0.88 of the longer one's words in order. The first finds copies with a part cut, appended or put in, the second
-copies whose edits are spread out. Lengths that allow neither are never compared.
-
-Equal texts are one text from the start. A band's texts are compared with its leader, the text that meets most others
-in all its bands. What links have joined so far is a class; while a band's other texts are of several classes, it elects
-the next leaders from its smallest ones, four times as many in each round, which meet all the band's texts of other classes, linked
-or not (small bands are compared pairwise between classes). So a band of k near copies costs about k comparisons, and of
-every two texts that share a band either the alignment is tested or they are of one class already: no text or link is
-left out. A large band that its first leader does not join is split by rare words and shingles: a text keeps so many of its
-rarest ones that every text it can be linked to keeps one of them too. Classes are the connected components of the links, found by hooking and pointer jumping over tables in the
-shared folder.
+words is one shingle. Each occurrence of a shingle carries its number in the text. A sketch takes, for each of ``BANDS``
+hash functions, the two occurrence-labelled shingles with the smallest hashes and keeps them in text order, so two
+texts share a band only if they have both in the same order. Texts that share a band are candidates, and candidates are
+linked if a banded alignment of the two shingle sequences finds a longest common subsequence of l shingles with
+l / (m + n - l) >= 0.8, or one of the two word sequences matches at least 0.88 of the longer one's words in order. The
+first finds copies with a part cut, appended or put in, the second copies whose edits are spread out.
+
+Equal texts are one text from the start. First a band's texts meet its leader, the text that is in most shared bands;
+what links join is a class. In a band that then has several classes, every text outside its largest class meets every
+text of another class. A meeting costs an alignment only where it can link: the numbers of words in 256 ranges of the
+word hash bound from above how many words two texts can have in common, so a pair that fails the bound cannot be
+linked. So of every two texts that share a band either a test has been made or they are of one class already; no text
+is left out, whatever the size of a band. Meetings are held by blocks of a band's texts, so a band of any size is many
+tasks; those of a band of k texts that are no copies cost k * k comparisons of 256 bytes. Classes are the connected
+components of the links, found by hooking and pointer jumping over tables in the shared folder.
 
 Defined results: null and empty texts are copies of nothing; equal texts are always of one class, texts without a word
 (punctuation, emoji) are copies of equal ones only;
 the class is named by its smallest doc_id, null ids counting as largest; very long texts are read whole; repeated rows
-are of one class; an empty table gives an empty result; extra columns are kept by :func:`deduplicated` and ignored
-elsewhere.
+are of one class, and of rows alike in id and text the least by its other columns stays; an empty table gives an empty
+result; extra columns are kept by :func:`deduplicated` and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -30,12 +29,11 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordTable, tidy, written
@@ -43,14 +41,14 @@ from .common import WordTable, tidy, written
 SHINGLE = 5
 #: The least share of words and of shingles in order, either of which links two texts.
 SIMILARITY, SHINGLED = 0.88, 0.8
-BANDS, ROWS = 24, 3
-#: A band that still has several classes is compared pairwise if it has up to this number of texts.
-PAIRWISE = 12
-#: A band with more texts than this that still has several classes is split.
-LARGE = 64
+BANDS = 24
+#: Ranges of the word hash whose numbers of words bound what two texts have in common.
+RANGES = 256
+#: Texts of a band that meet as many others in one place.
+BLOCK = 512
 _words = re.compile(r"\w+").findall
 _rng = np.random.default_rng(20240229)
-_A = (_rng.integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_A = (_rng.integers(1, 1 << 63, BANDS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(SHINGLE)], np.uint64)
 _CHUNK = 16384
 
@@ -105,10 +103,22 @@ def bands(hashes: np.ndarray) -> np.ndarray:
         one, two = places[0][0], places[1][0]
     low, high = np.minimum(one, two), np.maximum(one, two)
     sketch = _mix(x[low] * np.uint64(0x9FB21C651E98DF25) + _mix(x[high] + np.uint64(1)))
-    out = np.arange(BANDS, dtype=np.uint64)
-    for column in sketch.reshape(BANDS, ROWS).T:
-        out = _mix(out * np.uint64(3) + column)
-    return out.astype(np.int64)
+    return _mix(sketch * np.uint64(3) + np.arange(BANDS, dtype=np.uint64)).astype(np.int64)
+
+
+def ranges(hashes: np.ndarray) -> bytes:
+    """Numbers of words by range of their hash, each up to 255."""
+    return np.minimum(np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes()
+
+
+def possible(m: np.ndarray, x: np.ndarray, n: int | np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether texts of ``m`` words with the numbers ``x`` (one row a text) can be linked to ones of ``n`` words with the
+    numbers ``y``. What differs in the numbers is not in common, and two texts that match l shingles in order match l + 4
+    words at least, if they have whole shingles."""
+    shared = (m + n - np.abs(x - y).sum(axis=1)) // 2
+    least = SHINGLED / (1 + SHINGLED) * (np.maximum(m - SHINGLE + 1, 1) + np.maximum(n - SHINGLE + 1, 1)) - 1e-6
+    beside = np.where(np.minimum(m, n) >= SHINGLE, SHINGLE - 1, 0)
+    return (shared >= SIMILARITY * np.maximum(m, n) - 1e-6) | (shared - beside >= least)
 
 
 def common(a: list, b: list, width: int) -> int:
@@ -186,7 +196,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).to_pylist()
         for a in range(0, len(texts), 512):
-            prints, keys, sizes = [], [], []
+            prints, keys, sizes, numbers = [], [], [], []
             # a text that Spark finds to have a letter or digit is never without a word here, whatever the Unicode versions
             parsed = [(_words(x.lower()) or [x]) if has else [] for x, has in zip(texts[a : a + 512], batch.column(2).to_pylist()[a : a + 512], strict=True)]
             got = table.of([w for x in parsed for w in x])
@@ -195,8 +205,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 prints.append(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest() if text else None)
                 sizes.append(len(w))
                 keys.append(bands(got[at : at + len(w)]).tolist() if w else None)
+                numbers.append(ranges(got[at : at + len(w)]) if w else None)
                 at += len(w)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 512), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["doc_id", "fp", "bands", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 512), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(numbers, pa.binary())], ["doc_id", "fp", "bands", "words", "ranges"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,109 +226,120 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["leader", "fp", "near"])
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tidy()
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (leader, fp) that can be linked, of rows leader, fp, and the words and ranges of both."""
+    for batch in batches:
+        m, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns[2:4])
+        x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int16) for c in batch.columns[4:6])
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(possible(m, x, n, y))) for c in batch.columns[:2]], ["leader", "fp"])
+
+
+_PLACED = ("key", "a", "b", "asks", "fp", "root", "words", "keys", "ranges")
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that can be linked, of rows in the order of the place (key, a, b) where texts meet. Those that ask meet
+    those that do not, if they are of another class and have not met in an earlier band."""
+    kinds = (np.int64, np.int64, np.int64, bool, object, object, np.int64, object, object)
+    held: list[np.ndarray] | None = None
     for batch in batches:
-        for fp, text in zip(batch.column(0), batch.column(1), strict=True):
-            x = Sequence(word_hashes(_words(text.as_py().lower()) or [text.as_py()]))
-            bags, kept = [x.bag, _mix(x.shingle_bag)], [SIMILARITY, SHINGLED]
-            for kind, (bag, share) in enumerate(zip(bags, kept, strict=True)):
-                # of two linked texts, each has at least this share of its words or shingles in common with the other
-                prefix = len(bag) - int(np.ceil(share * len(bag) - 1e-6)) + 1
-                columns = [pa.array([v] * len(bag), t) for v, t in ((fp.as_py(), pa.binary()), (kind, pa.int32()), (prefix, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(bag.astype(np.int64))], ["fp", "kind", "prefix", "key"])
-
-
-def _split(large: DataFrame, bodies: DataFrame, files: int) -> DataFrame:
-    """The rows of ``large`` bands with keys of another kind: each text's rarest words and shingles. Two texts that can
-    be linked share one of them, as both count their rarest ones in one order."""
-    texts = written(large.select("fp", "degree", "length").distinct(), "large", files=files)
-    tokens = bodies.join(texts.select("fp"), "fp").select("fp", "text").mapInArrow(_tokens, "fp binary, kind int, prefix long, key long")
-    tokens = written(tokens, "tokens")
-    common = tokens.groupBy("key").agg(F.count("*").alias("n"))
-    # what only one text has makes no pair, but it takes its place among the rarest
-    place = F.row_number().over(Window.partitionBy("fp", "kind").orderBy("n", "key"))
-    rare = tokens.join(common, "key").withColumn("place", place).where("place <= prefix and n > 1").select("key", "fp").distinct()
-    return written(rare.join(texts, "fp").select("key", "fp", "degree", "length"), "rare")
-
-
-def _files(rows: int) -> int:
-    """For tables of ``rows`` pairs: tasks of some seconds each."""
-    return max(12, rows // 100_000)
-
-
-def _links(docs: DataFrame, texts: DataFrame) -> tuple[DataFrame, int]:
-    """Verified links (leader, fp) between different texts, and a number of files; ``texts``: fp, bands, words, id."""
-    # lengths in shingles: what allows a link by words allows one by shingles too
-    length = F.greatest(F.col("words") - (SHINGLE - 1), F.lit(1)).alias("length")
-    members = texts.select("fp", length, F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("n"), F.min("length").alias("least"), F.max("length").alias("most")).where("n > 1")
-    # two texts whose lengths allow a link are in the same or in neighbouring classes of length, a little wider than
-    # need be; a band whose lengths all allow it is one class
-    grade = F.floor(F.log("length") / -F.log(F.lit(SHINGLED - 0.01)))
-    classes = F.when(F.col("least") >= F.col("most") * SHINGLED, F.array("key")).otherwise(F.array(F.xxhash64("key", grade), F.xxhash64("key", grade + 1)))
-    met = members.join(shared, "key").select("fp", "length", F.explode(classes).alias("key"))
-    met = written(met, "met")
-    met = met.join(met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
-    degree = met.groupBy("fp").agg((F.sum("n") - F.count("*")).alias("degree"), F.max("length").alias("length"))
-    files = _files(met.count())
-    ranked = met.select("key", "fp").join(degree, "fp")
-    first = ranked.groupBy("key").agg(F.max(F.struct("degree", "fp")).alias("first")).select("key", F.col("first.fp").alias("leader"))
-    left = written(met.select("key", "fp").join(first, "key").where("fp <> leader"), "candidates", files=files)
-    needed = left.select("fp").union(left.select(F.col("leader").alias("fp"))).distinct().join(texts.select("fp", "id"), "fp")
+        own = [np.array(c.to_pylist(), k) for c, k in zip(batch.columns, kinds, strict=True)]
+        held = own if held is None else [np.concatenate(x) for x in zip(held, own, strict=True)]
+        place = np.stack(held[:3])
+        ends = np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1  # the last place may go on in the next batch
+        yield from _meet(held, ends)
+        if len(ends):
+            held = [x[ends[-1] :] for x in held]
+    if held is not None and len(held[0]):
+        yield from _meet(held, np.array([len(held[0])]))
+
+
+def _meet(rows: list[np.ndarray], ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+    key, _, _, asks, fp, root, words, keys, numbers = rows
+    one, other = [], []
+    for first, last in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True) if len(ends) else ():
+        asking, met = (np.flatnonzero(asks[first:last] == v) + first for v in (True, False))
+        if not len(met):
+            continue
+        outside = {fp[i] for i in asking}  # two that both ask meet once
+        x = np.frombuffer(b"".join(numbers[met]), np.uint8).reshape(-1, RANGES).astype(np.int16)
+        for i in asking.tolist():
+            apart = root[met] != root[i]
+            fits = met[apart][possible(words[met][apart], x[apart], words[i], np.frombuffer(numbers[i], np.uint8).astype(np.int16))]
+            for j in fits.tolist():
+                if fp[j] in outside and fp[j] < fp[i]:
+                    continue
+                own = np.frombuffer(keys[i], ">i8")
+                if own[(own == np.frombuffer(keys[j], ">i8")).argmax()] == key[first]:  # the first band that they share
+                    one.append(max(fp[i], fp[j]))
+                    other.append(min(fp[i], fp[j]))
+    if one:
+        yield pa.RecordBatch.from_arrays([pa.array(one, pa.binary()), pa.array(other, pa.binary())], ["leader", "fp"])
+
+
+def _pairs(asking: DataFrame, met: DataFrame) -> DataFrame:
+    """Pairs (leader, fp) of what asks and what is met in the same band, each pair once. Both have n_asking and n_met, the
+    numbers of either in the band. Each side is cut into blocks, and every block of one side meets every block of the
+    other."""
+    blocks_a, blocks_b = F.ceil(F.col("n_asking") / BLOCK), F.ceil(F.col("n_met") / BLOCK)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
+    of = lambda n: F.pmod(F.xxhash64("fp"), n.cast("long"))
+    columns = _PLACED[4:]
+    left = asking.select("key", of(blocks_a).alias("a"), every(blocks_b).alias("b"), F.lit(True).alias("asks"), *columns)
+    right = met.select("key", every(blocks_a).alias("a"), of(blocks_b).alias("b"), F.lit(False).alias("asks"), *columns)
+    placed = left.unionByName(right).repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+    return placed.select(*_PLACED).mapInArrow(_meetings, "leader binary, fp binary")
+
+
+def _links(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Verified links (leader, fp) between different texts; ``texts``: fp, bands, words, ranges, id."""
+    members = texts.select("fp", F.explode("bands").alias("key"))
+    shared = written(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    keys = members.join(shared, "key").groupBy("fp").agg(F.collect_list("key").alias("keys"))  # up to BANDS of each text
+    seen = written(keys.join(texts, "fp"), "seen")
     own = docs.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("fp"), F.col("doc_id").alias("id"), "text").where("text is not null")
-    bodies = own.join(needed.withColumnRenamed("fp", "_fp").withColumnRenamed("id", "_id"), (F.col("fp") == F.col("_fp")) & F.col("id").eqNullSafe(F.col("_id")))
-    bodies = written(bodies.select("fp", "text"), "bodies")
+    needed = seen.select(F.col("fp").alias("_fp"), F.col("id").alias("_id"))
+    bodies = own.join(needed, (F.col("fp") == F.col("_fp")) & F.col("id").eqNullSafe(F.col("_id"))).select("fp", "text")
+    bodies = written(bodies.dropDuplicates(["fp"]), "bodies")  # rows repeated with the same id
     heads = bodies.select(F.col("fp").alias("leader"), F.col("text").alias("head"))
-    judged, leaders, split = [], 1, False
-    pairs, rest = left.select("leader", "fp").distinct(), left.select("key", "fp").join(degree, "fp")
-    while True:
-        # pairs: what has to be compared; rest: the texts of each band that were no leaders there, so that all pairs
-        # of the band but theirs are compared or of one class
+
+    def judged(pairs: DataFrame) -> DataFrame:
         both = pairs.join(bodies.withColumnRenamed("text", "body"), "fp").join(heads, "leader")
-        judged.append(written(both.select("leader", "fp", "head", "body").mapInArrow(_verify, "leader binary, fp binary, near boolean"), "judged", files=files))
-        tested = reduce(DataFrame.unionByName, judged)
-        links = tested.where("near").select("leader", "fp")
-        now = rest.join(components(links, files), "fp", "left").select("key", "fp", "degree", "length", F.coalesce("root", "fp").alias("root"))
-        sizes = now.groupBy("key", "root").agg(F.count("*").alias("size"))
-        mixed = sizes.groupBy("key").agg(F.count("*").alias("classes"), F.sum("size").alias("n")).where("classes > 1")
-        now = written(now.join(mixed, "key").join(sizes, ["key", "root"]), "left", files=files)
-        if now.isEmpty():
-            return links, files
-        apart = None
-        if not split:
-            split, large = True, now.where(F.col("n") > LARGE)
-            apart = None if large.isEmpty() else _split(large, bodies, files)
-            now = now.where(F.col("n") <= LARGE)
-        # the next leaders are of the band's smallest classes, so that its largest one is met, not led; bands of up to
-        # PAIRWISE texts are done after this round: all their pairs between classes are in it
-        leaders *= 4
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("size", F.desc("degree"), "fp"))
-        ranked = written(now.withColumn("rank", rank).withColumn("leads", (F.col("rank") <= leaders) | (F.col("n") <= PAIRWISE)), "ranked", files=files)
-        chosen = ranked.where("leads").select("key", *[F.col(c).alias(f"_{c}") for c in ("fp", "degree", "length", "root", "rank")])
-        fits = F.least("length", "_length") >= F.greatest("length", "_length") * (SHINGLED - 1e-6)
-        met = ranked.join(chosen, "key").where("rank > _rank and root <> _root").where(fits)
-        # a pair is written in one way, whichever of its two texts leads, and compared once
-        own, other = F.struct("degree", "fp"), F.struct(F.col("_degree").alias("degree"), F.col("_fp").alias("fp"))
-        met = met.select(F.greatest(own, other)["fp"].alias("leader"), F.least(own, other)["fp"].alias("fp")).distinct()
-        pairs = written(met.join(tested, ["leader", "fp"], "left_anti"), "candidates", files=files)
-        rest = ranked.where("not leads").select("key", "fp", "degree", "length")
-        if apart is not None:  # their leaders are elected from the next round on
-            rest = rest.unionByName(apart)
-
-
-def components(links: DataFrame, files: int | None = None) -> DataFrame:
+        return written(both.select("leader", "fp", "head", "body").mapInArrow(_verify, "leader binary, fp binary, near boolean"), "judged")
+
+    # the leader of a band is its text that is in most shared bands
+    placed = seen.select("fp", F.size("keys").alias("degree"), F.explode("keys").alias("key"))
+    leaders = written(placed.groupBy("key").agg(F.max(F.struct("degree", "fp")).alias("first")).select("key", F.col("first.fp").alias("leader")), "leaders")
+    led = placed.join(leaders, "key").where("fp <> leader").select("leader", "fp").distinct()
+    led = led.join(seen.select("fp", "words", "ranges"), "fp").join(seen.select(F.col("fp").alias("leader"), F.col("words").alias("m"), F.col("ranges").alias("x")), "leader")
+    led = led.select("leader", "fp", F.col("m"), "words", "x", "ranges").mapInArrow(_bounded, "leader binary, fp binary")
+    tested = judged(written(led, "led"))
+    links = tested.where("near").select("leader", "fp")
+    # then, in the bands that are not of one class yet, all but the largest class meet all others
+    rooted = seen.join(components(links), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = written(rooted.select("fp", "root", "words", F.unhex(F.array_join(F.transform("bands", lambda k: F.lpad(F.hex(k), 16, "0")), "")).alias("bands"), "ranges", "keys"), "rooted")
+    now = rooted.select("fp", "root", F.explode("keys").alias("key"))
+    sizes = now.groupBy("key", "root").agg(F.count("*").alias("size"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("largest"), F.count("*").alias("classes"), F.sum("size").alias("n_met")).where("classes > 1")
+    mixed = written(mixed.select("key", F.col("largest.root").alias("largest"), (F.col("n_met") - F.col("largest.size")).alias("n_asking"), "n_met"), "mixed")
+    rest = now.join(mixed, "key").join(rooted.select("fp", "words", F.col("bands").alias("keys"), "ranges"), "fp")
+    met = written(_pairs(rest.where("root <> largest"), rest), "pairs")
+    return links.unionByName(judged(met.join(tested, ["leader", "fp"], "left_anti")).where("near").select("leader", "fp"))
+
+
+def components(links: DataFrame) -> DataFrame:
     """fp -> root, the smallest print that links reach, for all prints in links."""
-    edges = written(links.select(F.col("leader").alias("a"), F.col("fp").alias("b")).union(links.select("fp", "leader")).distinct(), "edges", files=files)
-    roots = edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("fp"), F.least("a", "b").alias("root"))
+    edges = written(links.select(F.col("leader").alias("a"), F.col("fp").alias("b")).union(links.select("fp", "leader")).distinct(), "edges")
+    # what is joined is a table on both sides, so that Spark can split the rows of a text with very many links
+    roots = written(edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("fp"), F.least("a", "b").alias("root")), "roots")
     while True:
         offers = edges.join(roots, edges["b"] == roots["fp"]).groupBy("a").agg(F.min("root").alias("offer"))
         hooked = roots.join(offers, roots["fp"] == offers["a"]).select("fp", F.least("root", "offer").alias("root"), F.col("root").alias("was"))
-        hooked = written(hooked, "hooked", files=files)
+        hooked = written(hooked, "hooked")
         if hooked.where("root <> was").isEmpty():
             return hooked.select("fp", "root")
         jump = hooked.select(F.col("fp").alias("at"), F.col("root").alias("next"))
-        roots = hooked.join(jump, hooked["root"] == jump["at"]).select("fp", F.least("root", "next").alias("root"))
+        roots = written(hooked.join(jump, hooked["root"] == jump["at"]).select("fp", F.least("root", "next").alias("root")), "roots")
 
 
 def worded() -> F.Column:
@@ -328,12 +350,12 @@ def worded() -> F.Column:
 def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, fp), and for each print: class_id, the print that stays, and its number of links."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = written(docs.withColumn("worded", worded()).mapInArrow(_sketch, "doc_id long, fp binary, bands array<bigint>, words long"), "sketches")
-    texts = written(rows.where("fp is not null").groupBy("fp", "bands", "words").agg(F.min("doc_id").alias("id")), "texts")
-    links, files = _links(docs, texts)
-    links = written(links, "links", files=files)
+    rows = written(docs.withColumn("worded", worded()).mapInArrow(_sketch, "doc_id long, fp binary, bands array<bigint>, words long, ranges binary"), "sketches")
+    alike = F.first(F.struct("bands", "words", "ranges")).alias("x")  # equal texts have equal sketches
+    texts = written(rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("id"), alike).select("fp", "id", "x.*"), "texts")
+    links = written(_links(docs, texts), "links")
     degree = links.select(F.col("leader").alias("fp")).union(links.select("fp")).groupBy("fp").agg(F.count("*").alias("links"))
-    roots = components(links, files)
+    roots = components(links)
     named = texts.select("fp", "id").join(roots, "fp")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("first")
     heads = named.groupBy("root").agg(first).select("root", F.col("first.id").alias("class_id"), F.col("first.fp").alias("keep_fp"))
@@ -357,7 +379,7 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     own = documents.select(print_of.alias("_own"), F.col("doc_id").cast("long").alias("_doc"), F.struct([F.col(c) for c in documents.columns]).alias("row"))
     kept = own.join(stay, (F.col("_own") == F.col("_fp")) & F.col("_doc").eqNullSafe(F.col("_id")))
     # rows repeated with id and text alike are one document
-    once = kept.groupBy("_own").agg(F.first("row").alias("row")).select("row.*") if _repeats(rows, classes) else kept.select("row.*")
+    once = kept.groupBy("_own").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*") if _repeats(rows, classes) else kept.select("row.*")
     return once.unionByName(documents.where(F.coalesce(F.col("text").cast("string") == "", F.lit(True))))
 
 
