@@ -3,14 +3,17 @@
 Each source has a target in words. The rates r of its documents, 0 to 2 copies, are those of least entropy that meet
 the target: r = min(2, exp(lambda * size / mean size)). The convex dual has one lambda a source and is solved by
 Newton iterations; each iteration is one aggregation of a table of distinct (source, size) pairs for all sources at
-once. Rates become whole copies by a hash of the document, and one threshold a source is moved, by a distributed
-radix search, to where the words taken come nearest to the target.
+once. Rates become whole copies by a hash of the row, and one threshold a source is moved, by a distributed radix
+search, to where the words taken come nearest to the target. Rows that are alike in every column are numbered apart, so
+each draws a hash of its own.
 
 Sums that decide anything are sums of integers, so reruns agree whatever the order of the rows.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last in order; documents of size 0
-are taken at rate 1; repeated rows draw the same hash and are taken alike; an empty table gives an empty result; extra
-columns are ignored, or kept by :func:`mixed`.
+are taken at rate 1; repeated rows are documents of their own, taken as often together as the target needs; an empty
+table gives an empty result; extra columns are kept by :func:`mixed`, and tell rows apart.
+
+The driver holds a few numbers for each source.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -27,7 +30,9 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 CAP = 2.0
 #: Rates and hashes are integers of this unit.
-UNIT = 1 << 30
+UNIT = 1 << 40
+#: Steps of the radix search for an edge: 2048 ranges of keys each.
+STEPS = (1 << 30, 1 << 19, 1 << 8, 1)
 #: Sources up to this number are sent to the executors with their parameters; beyond it the join shuffles.
 BROADCAST_SOURCES = 20_000
 _WORDS = "[^\\x20\\x09-\\x0D]+"
@@ -83,7 +88,7 @@ def solve(pairs: DataFrame, stats: dict, goal: dict, rounds: int = 60) -> dict:
         words = (F.col("n") * F.col("size")).cast("decimal(20,0)")
         scaled = asked.withColumn("r", rate())
         slope = F.when(F.col("r") < int(CAP * UNIT), F.round(F.col("r") * F.col("size") / F.col("mean"))).otherwise(0).cast("long")
-        sums = scaled.groupBy("source").agg(F.sum(words * F.col("r").cast("decimal(12,0)")).alias("got"), F.sum(words * slope.cast("decimal(18,0)")).alias("slope"))
+        sums = scaled.groupBy("source").agg(F.sum(words * F.col("r").cast("decimal(13,0)")).alias("got"), F.sum(words * slope.cast("decimal(17,0)")).alias("slope"))
         for r in sums.collect():  # one row a source
             s, off, slope_at = r["source"], int(r["got"]) / UNIT - goal[r["source"]], int(r["slope"]) / UNIT
             if abs(off) <= max(0.25, 1e-7 * goal[s]):
@@ -115,26 +120,25 @@ def _rounding(df: DataFrame) -> DataFrame:
 
 
 def edges(rows: DataFrame, goal: dict) -> dict:
-    """For each source the edge up to which the words taken stay within its goal, by three rounds of sums in at most
-    2048 ranges of keys a source, and the key of one more document that brings them nearest to it."""
+    """For each source the edge up to which the words taken stay within its goal, by rounds of sums in ranges of keys,
+    and the key of one more document that brings them nearest to it."""
     need = {r["source"]: goal[r["source"]] - int(r["words"]) for r in rows.groupBy("source").agg(F.sum((F.col("base") * F.col("size")).cast("decimal(20,0)")).alias("words")).collect()}
     start = dict.fromkeys(need, 0)
-    for width in (1 << 21, 1 << 10, 1):
-        span = 1 << 31 if width == 1 << 21 else (1 << 21 if width == 1 << 10 else 1 << 10)
-        asked = _with(rows, ((s, start[s]) for s in need), "source string, from_key long").where((F.col("key") >= F.col("from_key")) & (F.col("key") < F.col("from_key") + span))
-        sums: dict = {}
-        for r in asked.groupBy("source", F.floor((F.col("key") - F.col("from_key")) / width).alias("bin")).agg(F.sum(F.col("size").cast("decimal(20,0)")).alias("words")).collect():
-            sums.setdefault(r["source"], {})[r["bin"]] = int(r["words"])
-        for s in need:
-            past = 0
-            for b, words in sorted(sums.get(s, {}).items()):
-                if past + words > need[s]:
-                    start[s] += b * width
-                    break
-                past += words
-            else:
-                start[s] += span
-            need[s] -= past
+    span = 2 * UNIT
+    past = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # up to 2048 rows a source
+    for width in STEPS:
+        asked = _with(rows, ((s, start[s], float(need[s])) for s in need), "source string, from_key long, need double").where((F.col("key") >= F.col("from_key")) & (F.col("key") < F.col("from_key") + span))
+        sums = asked.groupBy("source", "need", F.floor((F.col("key") - F.col("from_key")) / width).alias("bin")).agg(F.sum(F.col("size").cast("decimal(20,0)")).alias("words"))
+        run = sums.withColumn("past", F.coalesce(F.sum("words").over(past), F.lit(0).cast("decimal(30,0)")))
+        over = F.col("past") + F.col("words") > F.col("need")
+        first = F.min(F.when(over, F.struct("bin", "past")))
+        crossed = run.groupBy("source").agg(first.alias("at"), F.sum("words").alias("all")).collect()
+        for r in crossed:
+            start[r["source"]] += r["at"]["bin"] * width if r["at"] else span
+            need[r["source"]] -= int(r["at"]["past"] if r["at"] else r["all"])
+        for s in need.keys() - {r["source"] for r in crossed}:
+            start[s] += span
+        span = width
     # what is still missing is less than the next document: one document of about that size makes up for it
     left = _with(rows, ((s, start[s], float(need[s])) for s in need), "source string, edge long, need double").where((F.col("key") >= F.col("edge")) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("need")))
     nearest = left.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("need")).alias("off"), "key")).alias("best")).collect()
@@ -142,49 +146,73 @@ def edges(rows: DataFrame, goal: dict) -> dict:
     return {s: (start[s], one.get(s, -1)) for s in start}
 
 
-def plan(documents: DataFrame, weights=WEIGHTS, share: float = SHARE) -> tuple[DataFrame, list[tuple]]:
-    """The narrow rows (doc_id, source, size, u) and the parameters of each source: (source, source_size, target,
-    lambda, mean, edge, one)."""
-    rows = written(sized(documents).select("doc_id", "source", "size", "u"), "mixing")
+def _hash(documents: DataFrame) -> F.Column:
+    """A hash of all columns of a row."""
+    return F.xxhash64(F.lit("mixing"), *(F.to_json(c) if "map<" in kind else F.col(c) for c, kind in documents.dtypes))
+
+
+def numbered(rows: DataFrame, repeats: DataFrame | None) -> DataFrame:
+    """Adds u, a draw in 0 .. UNIT. Rows with a ``hash`` that is in ``repeats`` are alike and are numbered: those of a
+    partition become one row with their number, the partitions' numbers are strung together, and the rows come back with
+    a draw each."""
+
+    def drawn(df: DataFrame, number: F.Column) -> DataFrame:
+        return df.withColumn("u", F.shiftrightunsigned(F.xxhash64("hash", number), 24))
+
+    if repeats is None:
+        return drawn(rows, F.lit(0).cast("long"))
+    once = drawn(rows.join(repeats, "hash", "left_anti"), F.lit(0).cast("long"))
+    many = rows.join(repeats, "hash", "left_semi").withColumn("part", F.spark_partition_id())
+    alike = many.groupBy("hash", "part").agg(F.count("*").alias("n"), F.first(F.struct(*rows.columns)).alias("row"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("hash").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    apart = alike.withColumn("before", before).select("row.*", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)).alias("number"))
+    return once.unionByName(drawn(apart, F.col("number")).drop("number"))
+
+
+def plan(documents: DataFrame, weights=WEIGHTS, share: float = SHARE) -> tuple[DataFrame, list[tuple], DataFrame | None]:
+    """The narrow rows (doc_id, source, size, hash, u), the parameters of each source: (source, source_size, target,
+    lambda, mean, edge, one), and the hashes of repeated rows, if there are any."""
+    narrow = written(sized(documents.withColumn("hash", _hash(documents))).select("doc_id", "source", "size", "hash"), "narrow")
+    repeats = written(narrow.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "repeats")
+    repeats = None if repeats.isEmpty() else repeats
+    rows = written(numbered(narrow, repeats), "mixing")
     pairs = written(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "sizes")
     found = pairs.groupBy("source").agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("size")).cast("decimal(20,0)")).alias("words")).collect()
     stats = {r["source"]: (r["n"], int(r["words"])) for r in found}
     goal = targets([(s, words) for s, (_, words) in stats.items()], weights, share)
     solved = solve(pairs, stats, goal)
     if not stats:
-        return rows, []
+        return rows, [], None
     rated = _rounding(_with(rows, ((s, *x) for s, x in solved.items()), "source string, lambda double, mean double").withColumn("r", rate()))
     edge = edges(rated, goal)
-    return rows, [(s, words, float(goal[s]), *solved[s], *edge[s]) for s, (_, words) in stats.items()]
+    return rows, [(s, words, float(goal[s]), *solved[s], *edge[s]) for s, (_, words) in stats.items()], repeats
 
 
 _PARAMETERS = "source string, source_size long, target double, lambda double, mean double, edge long, one long"
 
 
 def sized(documents: DataFrame) -> DataFrame:
-    """Adds the number of words and the hash that rounds the document."""
+    """Adds the number of words."""
     text = F.col("text").cast("string")
     return documents.withColumns(
         {
             "doc_id": F.col("doc_id").cast("long"),
             "source": F.col("source").cast("string"),
             "size": F.coalesce(F.regexp_count(text, F.lit(_WORDS)), F.lit(0)).cast("long"),
-            "u": F.shiftrightunsigned(F.xxhash64(F.lit("mixing"), "doc_id", "source", F.octet_length(text)), 34),
         }
     )
 
 
 def mix(documents: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies and source of every document."""
-    rows, parameters = plan(documents, weights, share)
+    rows, parameters, _ = plan(documents, weights, share)
     rated = _rounding(_with(rows, parameters, _PARAMETERS).withColumn("r", rate())).withColumn("copies", copies())
     return rated.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source")
 
 
 def mixed(documents: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
     """The documents themselves, each as many times as the mix takes it, with the columns that they have."""
-    _, parameters = plan(documents, weights, share)
-    own = {"doc_id", "source", "text"}
-    kept = documents.select(*own, F.struct([F.col(c) for c in documents.columns]).alias("row"))
-    rated = _rounding(_with(sized(kept), parameters, _PARAMETERS).withColumn("r", rate())).withColumn("copies", copies())
+    _, parameters, repeats = plan(documents, weights, share)
+    kept = documents.select("doc_id", "source", "text", F.struct([F.col(c) for c in documents.columns]).alias("row"), _hash(documents).alias("hash"))
+    rated = _rounding(_with(numbered(sized(kept), repeats), parameters, _PARAMETERS).withColumn("r", rate())).withColumn("copies", copies())
     return rated.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")).select("row.*")
