@@ -3,7 +3,8 @@
 Both byte-level vocabularies split a text by a pattern and then merge inside each piece, so a piece has the same ids
 wherever it stands. Pieces repeat, so each distinct piece is encoded once and the ids are joined as bytes. Texts with
 characters outside tab, line feed, carriage return, printable ASCII and printable Latin-1 go through the library whole,
-where classes of characters could differ between pattern engines.
+where classes of characters could differ between pattern engines, and so do texts that hold an added token of the
+vocabulary, which the library cuts out before it splits.
 """
 
 from __future__ import annotations
@@ -31,9 +32,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             self.lower = json.load(f)["normalizer"] is not None
+        added = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(sorted(added, key=len, reverse=True)) or "(?!)", re.IGNORECASE if self.lower else 0)
         self.split = (_WORD_LEVEL if self.lower else _BYTE_LEVEL).findall
         self.most = most
         self.known: dict[str, bytes] = {}
@@ -58,8 +60,9 @@ class Encoder:
         return out + self._run(run)
 
     def _run(self, texts: list[str]) -> list[bytes]:
-        plain = [_PLAIN.fullmatch(x) is not None for x in texts]
+        plain = [_PLAIN.fullmatch(x) is not None and self.added.search(x) is None for x in texts]
         pieces = [self.split(x.lower() if self.lower else x) if p else None for x, p in zip(texts, plain, strict=True)]
+        # a piece never holds an added token, as its text would
         new: set[str] = set()
         for x in pieces:
             if x:
