@@ -5,10 +5,11 @@ character that it skips, up to ``SPAN`` characters; characters that are no lette
 ``i.d-i_o t`` stays near ``idiot``. Landmarks are a bounded number of words, the kernel to them gives each word a
 short vector, and a linear machine with squared hinge loss separates words that make a sentence toxic from those that
 do not. Labels belong to documents: a clean document is clean throughout, and a toxic document's witness is the word
-that the machine finds worst, chosen anew in each round; beside these stand the words that cover the toxic documents,
-with variants that have a letter doubled or a foreign one put in. A text scores by its three worst different words, put
-on the scale 0 to 1 by a logistic fit on texts kept from training, toxic ones also with a foreign letter put into their
-worst words: one word may be enough, or three that are bad alike.
+that the machine finds worst, chosen anew in each round; beside these stand plain insults, words that cover the toxic
+documents and have no clean words as near as their own bent forms, and those forms: with any one letter put in anywhere,
+with letters doubled or trebled, or dots between all of them. A text scores by its three worst different words, put on
+the scale 0 to 1 by a logistic fit on texts kept from training, beside them clean ones with one insult or bent form put
+in: one word is enough, or three that are bad alike.
 
 As the machine is linear in the kernel, landmarks and weights are folded into one table over letter triples.
 
@@ -38,22 +39,25 @@ PER_LABEL = 1500
 BYTES_PER_LABEL = 6_000_000
 DECAY = 0.9
 SPAN = 7
-LANDMARKS = 112
-#: Words of clean sentences that a training round uses at most, besides the worst ones.
+LANDMARKS = 192
+#: Words of clean sentences that a training round uses at most, besides the worst ones, and texts that count for one.
 CLEAN_WORDS = 40_000
+CLEAN_TEXTS = 30
 #: Least logarithm of how much oftener a covering word is in toxic texts.
 MIN_RATIO = 3.0
 #: Texts that a covering word must tell, and covering words after which a text no longer counts.
 MIN_TEXTS = 4
-COVERS = 3
+COVERS = 8
+#: A plain insult is in this share of the toxic texts, and so many times likelier there than words near it in clean ones.
+INSULT_SHARE, INSULT_RATIO = 0.05, 8.0
+#: Covering words that may be plain insults, letters put into them, and bent forms of all of them together.
+INSULTS, ALPHABET, BENT = 64, 40, 6000
 #: Words by which a text scores.
 WORST = 3
 #: Likelihood of a label under which its text takes no part in the scale.
 MISLABELLED = 0.05
-#: Weight of a covering word's variants together, as a part of the word's own.
-VARIANTS = 1.0
-#: Letters put into words by training.
-FOREIGN = "exzu"
+#: Weight of an insult's bent forms together, as a part of the word's own.
+BENDING = 3.0
 _CODES = 64
 _spelled = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 
@@ -89,14 +93,14 @@ def triples(names: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
 
 def project(names: list[str], table: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
     """Sums of a table over the triples of each word, divided by the length of the word's own vector. ``place``: the
-    table's row for each triple, if the table holds but some."""
+    table's row for each triple, if the table holds but some; a table of all triples has one column."""
     out = np.zeros((len(names), table.shape[1]), np.float64)
     for first in range(0, len(names), 4000):
         part = names[first : first + 4000]
         sums, norm = out[first : first + len(part)], np.zeros(len(part))
         for code, owner, weight in triples(part):
             norm += weight**2 * np.bincount(owner, minlength=len(part))
-            if table.shape[1] == 1:
+            if place is None:
                 sums[:, 0] += weight * np.bincount(owner, table[code, 0], len(part))
             elif len(owner):
                 at = place[code]
@@ -140,16 +144,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(worst @ self.slope + self.shift, -40, 40)))
 
 
+_ROWS = 4096
+
+
 def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Linear machine with squared hinge loss, by Newton steps; the last weight is the bias."""
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    w = np.zeros(x.shape[1])
+    """Linear machine with squared hinge loss, by Newton steps over blocks of rows; the last weight is the bias."""
+    w = np.zeros(x.shape[1] + 1)
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-3
     for _ in range(rounds):
-        inside = y * (x @ w) < 1
-        a, c = x[inside], cost[inside]
-        new = np.linalg.solve(ridge + (a * c[:, None]).T @ a, a.T @ (c * y[inside]))
+        left, right = ridge.copy(), np.zeros(len(w))
+        for first in range(0, len(x), _ROWS):
+            a = np.concatenate([x[first : first + _ROWS], np.ones((len(x[first : first + _ROWS]), 1))], axis=1, dtype=np.float64)
+            goal, c = y[first : first + _ROWS], cost[first : first + _ROWS]
+            c = np.where(goal * (a @ w) < 1, c, 0.0)
+            left += (a * c[:, None]).T @ a
+            right += a.T @ (c * goal)
+        new = np.linalg.solve(left, right)
         if np.abs(new - w).max() < 1e-8:
             break
         w = new
@@ -188,17 +199,28 @@ def covering(toxic: list[list[str]], ratio: dict[str, float]) -> list[str]:
     return out
 
 
-def variants(word: str) -> list[str]:
-    """The word with each letter doubled or trebled, and with one foreign letter in each place between two."""
+def bent(word: str, alphabet: str) -> list[str]:
+    """The word with dots between its letters, with each letter doubled or trebled, and with one letter put in between
+    any two."""
     n = len(word)
-    more = [word[:k] + word[k] * m + word[k:] for k in range(n) for m in (1, 2)]
-    return more + [word[:k] + FOREIGN[(k + j) % len(FOREIGN)] + word[k:] for k in range(1, n) for j in (0, 1)]
+    more = [".".join(word), *(word[:k] + word[k] * m + word[k:] for k in range(n) for m in (1, 2))]
+    return list(dict.fromkeys(more + [word[:k] + c + word[k:] for c in alphabet for k in range(1, n)]))
 
 
-def bend(text: list[str], margin: dict[str, float], turn: int) -> list[str]:
-    """A text's words with a foreign letter put into the ``WORST`` worst ones; ``turn`` chooses the place and the letter."""
-    worst = set(sorted(text, key=lambda x: (-margin[x], x))[:WORST])
-    return [x if x not in worst or len(x) < 2 else x[: 1 + turn % (len(x) - 1)] + FOREIGN[turn % len(FOREIGN)] + x[1 + turn % (len(x) - 1) :] for x in text]
+def insults(cover: list[str], bad: Counter, n_toxic: int, good: Counter, n_fine: int) -> list[str]:
+    """The covering words that are frequent enough and have hardly a clean word as near as nine in ten of their own bent
+    forms."""
+    cover = sorted((x for x in cover if bad[x] >= INSULT_SHARE * n_toxic and len(x) > 2), key=lambda x: (-bad[x], x))[:INSULTS]
+    cover = [x for x in cover if sum(map(str.isalpha, x)) >= 3]
+    if not cover:
+        return []
+    basis, place = vectors(cover)
+    edge = [np.quantile(project(bent(x, "aeinrst"), basis[:, [j]], place), 0.1) for j, x in enumerate(cover)]
+    clean, crowd = sorted(good), np.zeros(len(cover))
+    for first in range(0, len(clean), _ROWS):
+        names = clean[first : first + _ROWS]
+        crowd += np.array([good[x] for x in names]) @ (project(names, basis, place) > edge)
+    return [x for x, n in zip(cover, crowd, strict=True) if bad[x] / n_toxic * n_fine >= INSULT_RATIO * (n + 0.5)]
 
 
 def train(sample: list[tuple[int, str]], rounds: int = 3) -> Model | None:
@@ -222,8 +244,13 @@ def train(sample: list[tuple[int, str]], rounds: int = 3) -> Model | None:
     kept = value > 1e-6 * value.max()
     root = vector[:, kept] / np.sqrt(value[kept])
     clean = sorted(good)
-    cover = covering(toxic, ratio)
-    forms = {x: [y for y in variants(x) if y not in good] for x in cover}
+    plain = insults(covering(toxic, ratio), bad, len(toxic), good, len(fine))
+    letters = Counter(c for x in clean for c in x if c.isalpha())
+    alphabet = "".join(sorted(letters, key=lambda c: (-letters[c], c))[:ALPHABET])
+    forms = {}
+    for word in plain:
+        every = [y for y in bent(word, alphabet) if y not in good]
+        forms[word] = every[:: max(1, -(-len(every) * len(plain) // BENT))]
     model = None
     hard: list[str] = clean[:: max(1, len(clean) // CLEAN_WORDS)]
     for _ in range(rounds):
@@ -234,23 +261,25 @@ def train(sample: list[tuple[int, str]], rounds: int = 3) -> Model | None:
             witness = Counter(max(w, key=lambda x: (margin[x], x)) for w in toxic)
             of_clean = model.margins(clean)
             hard = list(dict.fromkeys(hard + [clean[i] for i in np.argsort(-of_clean, kind="stable")[:3000]]))
-        for word in cover:
+        for word in plain:
             witness[word] = max(witness[word], bad[word])
-        bent = Counter({y: VARIANTS * witness[word] / len(forms[word]) for word in cover for y in forms[word]})
-        names = [*witness, *bent, *hard]
-        x = project(names, basis, place) @ root
-        y = np.array([1.0] * (len(witness) + len(bent)) + [-1.0] * len(hard))
-        cost = np.array([20.0 * n / len(toxic) * 100 for n in (*witness.values(), *bent.values())] + [1.0] * len(hard))
+        put_in = Counter({y: BENDING * witness[word] / len(forms[word]) for word in plain for y in forms[word]})
+        names = [*witness, *put_in, *hard]
+        x = np.concatenate([(project(names[a : a + _ROWS], basis, place) @ root).astype(np.float32) for a in range(0, len(names), _ROWS)])
+        y = np.array([1.0] * (len(witness) + len(put_in)) + [-1.0] * len(hard))
+        cost = np.array([20.0 * n / len(toxic) * 100 for n in (*witness.values(), *put_in.values())] + [float(min(good[x], CLEAN_TEXTS)) for x in hard])
         w = _machine(x, y, cost)
         model = Model((basis @ (root @ w[:-1]))[place].astype(np.float64), float(w[-1]))
     held = held if {bool(label) for label, _ in held} == {True, False} else parsed
     margin = _margins(model, sorted({x for _, w in held for x in w}))
     at = [_worst(np.array([margin[x] for x in w]), model.bias) for _, w in held]
     label = [bool(y) for y, _ in held]
-    for i, (y, w) in enumerate(held):
-        if y and w and at[i][0] > 0:
-            at.append(_worst(model.margins(bend(w, margin, i)), model.bias))
-            label.append(True)
+    # clean texts with one insult or bent form, as many as there are toxic ones
+    whole, harmless = [model.margins([x, *forms[x]]) for x in plain], [a for a, y in zip(at, label, strict=True) if not y]
+    for i in range(sum(label) if plain else 0):
+        own = whole[i % len(whole)]
+        at.append(-np.sort(-np.append(harmless[i * 104729 % len(harmless)], own[i * 7919 % len(own)]))[:WORST])
+        label.append(True)
     return _scale(model, np.array(at), np.array(label))
 
 
