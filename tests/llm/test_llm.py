@@ -1,10 +1,13 @@
 import hashlib
+import itertools
+import math
 import random
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from trailgrid.llm import audio, fixity, langid, mixing, neardup, packing, queries, sharding, token_file, topk, toxicity
 from trailgrid.llm.tokens import Encoder, tokenizer_path
@@ -51,9 +54,13 @@ def test_odd_documents(spark, odd):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_words_are_encoded_as_whole_texts(name):
+    """Against the library as it loads the file."""
+    plain = Tokenizer.from_file(tokenizer_path(name))
     rng, e = random.Random(1), Encoder(tokenizer_path(name))
     texts = ["".join(rng.choice("ab cd'sreST .,!?\n\t  01²éÀß İΣ<|endoftext|>") for _ in range(rng.randint(0, 40))) for _ in range(2000)]
-    assert e.encode(texts) == e.whole(texts)
+    marks = [x.content for x in plain.get_added_tokens_decoder().values()] + ["<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "</w>", "!"]
+    texts += [rng.choice(["", "a ", "b", "\n", "é"]) + rng.choice(marks) + rng.choice(["", " c", "d", "İ", "<|"]) for _ in range(300)]
+    assert e.encode(texts) == [np.array(plain.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
 
 
 def test_codes_are_addressable():
@@ -67,15 +74,18 @@ def test_codes_are_addressable():
 def test_token_file_and_packing_keep_every_id(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    e, at = Encoder(tokenizer_path("word_bpe_49k.json")), 0
+    def ids_of(name, text, end):
+        return np.array(name.encode(text, add_special_tokens=False).ids + [end], "<u4").tobytes()
+
+    e, at = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json")), 0
     got = sorted(queries.op10_token_file(spark, SF).collect())
     for r in got:
-        ids = e.whole([texts[r["doc_id"]]])[0] + (2).to_bytes(4, "little")
+        ids = ids_of(e, texts[r["doc_id"]], 2)
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids) // 4, zlib.crc32(ids))
         at += len(ids) // 4
     assert len(got) == len(texts)
-    e = Encoder(tokenizer_path("byte_bpe_50k.json"))
-    ids = {i: e.whole([t])[0] + (1).to_bytes(4, "little") for i, t in texts.items()}
+    e = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    ids = {i: ids_of(e, t, 1) for i, t in texts.items()}
     pieces = queries.op2_packing(spark, SF).collect()
     assert sum(r["length"] for r in pieces) == sum(len(x) // 4 for x in ids.values())
     fill: dict[int, int] = {}
@@ -94,6 +104,28 @@ def test_least_sum_of_squares():
         p.place(size, (None, 0, size))
 
 
+def test_checksums_of_runs_are_joined():
+    rng = random.Random(4)
+    for ids in (1, 63, 64, 65, 128, 700, 2047):
+        raw = rng.randbytes(4 * ids)
+        runs = [zlib.crc32(raw[a : a + 4 * packing.STEP]) for a in range(0, len(raw), 4 * packing.STEP)]
+        assert packing.joined(runs, ids - (len(runs) - 1) * packing.STEP) == zlib.crc32(raw)
+
+
+def test_pouring_loses_no_id_and_leaves_little():
+    rng = random.Random(6)
+    items = [rng.randint(1, 2047) for _ in range(300)]
+    windows = sorted([[(i, 0, n)] for i, n in enumerate(items)], key=lambda w: w[0][2])
+    got = list(packing.pour(windows))
+    fill = [sum(x[2] for x in w) for w in got]
+    assert all(2048 - packing.STEP < f <= 2048 for f in fill[:-1])
+    seen = {}
+    for i, start, n in sorted(x for w in got for x in w):
+        assert start == seen.get(i, 0) and start % packing.STEP == 0
+        seen[i] = start + n
+    assert seen == dict(enumerate(items))
+
+
 def test_mix_meets_targets(spark):
     rows = queries.op4_mixing(spark, SF).collect()
     assert rows and sorted(map(repr, rows)) == sorted(map(repr, queries.op4_mixing(spark, SF).collect()))
@@ -104,6 +136,49 @@ def test_mix_meets_targets(spark):
     assert mixing.targets([("b", 10), ("a", 100), (None, 0)]) == {"a": 145.0, "b": 20.0, None: 0.0}
 
 
+def test_mix_with_repeated_rows(spark):
+    """Rows alike in every column are taken as often together as the target needs, within one document of it."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, hash string"
+    same = [(1, "ten words are in this text that is here forty", "en", "b", 1, "x")] * 40
+    other = [(i, "w " * (i % 9 + 1), "en", "ab"[i % 2], 1, None) for i in range(2, 60)] + [(None, None, None, None, None, None)] * 3
+    for rows in (same, same + other, other + same * 25):
+        docs = spark.createDataFrame(rows, schema).repartition(5)
+        got = mixing.mix(docs).collect()
+        assert len(got) == len(rows) and all(r["taken"] <= 2 * r["size"] for r in got)
+        assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(docs.repartition(3)).collect()))
+        for s in {r["source"] for r in got}:
+            own = [r for r in got if r["source"] == s]
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own) / 2 + 1
+        kept = mixing.mixed(docs)
+        assert kept.columns == docs.columns
+        words = {s: sum(len((r["text"] or "").split()) for r in kept.collect() if r["source"] == s) for s in {r["source"] for r in got}}
+        assert words == {s: sum(r["taken"] for r in got if r["source"] == s) for s in words}
+
+
+def test_mix_against_the_dual_by_bisection(spark):
+    """The rates are those of least entropy, and every document is rounded to one of its two neighbours."""
+    rng = random.Random(21)
+    sizes = {s: [rng.randint(1, 400) for _ in range(300)] for s in ("a", "b", "c", "d")}
+    sizes["d"] = sizes["d"][:20]
+    rows = [(1000 * k + i, "w " * n, "en", s, 1) for k, (s, own) in enumerate(sizes.items()) for i, n in enumerate(own)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    goal = mixing.targets([(s, sum(x)) for s, x in sizes.items()])
+    assert {r["source"]: r["target"] for r in got} == goal
+    for s, own in sizes.items():
+        mean, low, high = sum(own) / len(own), -50.0, 50.0
+        rates = lambda lam: [min(2.0, math.exp(min(lam * n / mean, 1.0))) for n in own]  # noqa: B023, E731
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(n * r for n, r in zip(own, rates(mid))) < goal[s] else (low, mid)
+        if goal[s] == 2 * sum(own):
+            high = 1e9
+        want = rates(high)
+        taken = {r["doc_id"]: r["taken"] // r["size"] for r in got if r["source"] == s}
+        off = [taken[i] - r for i, r in zip(sorted(taken), want)]
+        assert all(-1 < x < 1 for x in off), s
+        assert abs(sum(x * n for x, n in zip(off, own))) <= max(own)
+
+
 def test_slots_move_only_where_needed():
     weight = np.random.default_rng(3).integers(1, 100, 4096).astype(float)
     m = sharding.SlotMap(16)
@@ -160,9 +235,44 @@ def test_top_k_with_ties_and_bad_vectors(spark):
 
 
 def test_top_k_skips_blocks():
-    x = np.sort(np.random.default_rng(7).integers(0, 1000, 2048))[:, None]
-    *_, scored = topk.search_run(np.array([[3]]), np.array([-1]), x, np.arange(2048), 20)
-    assert scored <= 2
+    x = np.sort(np.random.default_rng(7).integers(0, 1000, 2048))[:, None].astype(float)
+    best = topk.Best(np.array([[3.0]]), np.array([-1]), 20, np.full(1, -np.inf))
+    best.meet(x, np.arange(2048), np.arange(2048))
+    best.meet(x[:1024], np.arange(1024) + 5000, np.arange(1024) + 5000)  # the k-th score is known by now
+    assert best.scored <= 2
+    assert best.settle()[1].tolist() == (3 * np.sort(x[:, 0])[::-1][:20]).tolist()
+
+
+def test_top_k_is_exact_at_any_size(spark):
+    rows = [(20, [3e10, -1.0]), (1, [1.0, 0.0]), (2, [1.0, 0.5, 2.0]), (40, [-1e-3]), (3, []), (4, [1e25])]
+    double = spark.createDataFrame(rows + [(60, [1.5e308, 1.0]), (5, [-1.5e308])], "vec_id long, embedding array<double>")
+    for frame in (spark.createDataFrame(rows, "vec_id long, embedding array<float>"), double, spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>")):
+        kept = [(r["vec_id"], [math.floor(x * 64) if abs(x) < 1e100 else int(x) * 64 for x in r["embedding"]]) for r in frame.collect()]
+        want = []
+        for i, q in kept:
+            if i % 20 == 0:
+                best = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in kept if j != i)
+                want += [(i, r + 1, j, -s if -(2**63) <= -s < 2**63 else None) for r, (s, j) in enumerate(best)]
+        got = topk.top_k(frame.withColumn("row", F.lit("x")).withColumn("centre", F.lit(1)), F.col("vec_id") % 20 == 0)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_top_k_in_many_chunks(spark, monkeypatch):
+    """Clustered rows, some of them repeated, in chunks, groups and pages that are far smaller than usual."""
+    for name, value in (("CHUNK", 16), ("GROUP", 4), ("BLOCK", 4), ("PAGE", 3)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(9)
+    heart = rng.normal(0, 1, (12, 8))
+    rows = [(i % 380, [float(np.float32(x)) for x in heart[i % 12] + rng.normal(0, 0.1, 8)]) for i in range(400)]
+    rows += rows[20:30]
+    ok = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    want = []
+    for a, (i, v) in enumerate(ok):
+        if i % 20 == 0:
+            best = sorted((-sum(map(int.__mul__, v, w)), j) for b, (j, w) in enumerate(ok) if b != a)[:7]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3), F.col("vec_id") % 20 == 0, k=7)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
 def test_audit_finds_what_changed(spark):
@@ -219,9 +329,39 @@ def test_toxicity_stands_put_in_letters_and_finds_every_insult():
     for x in insults:
         for form in (x, x[:2] + x[1] + x[2:], x[0] * 2 + x[1:], ".".join(x)):
             assert judge([f"{around} {form}"], [])[0] >= 0.5, form
+        forms = [x[:k] + c + x[k:] for k in range(1, len(x)) for c in "abcdefghijklmnopqrstuvwxyz.-_*'"]
+        found = judge([f"{' '.join(rng.choices(common, k=60))} {form}" for form in forms], []) >= 0.5
+        assert found.mean() >= 0.95, x
     assert (judge([" ".join(rng.choices(common, k=25)) for _ in range(50)], []) < 0.5).all()
 
 
+def test_kernel_against_brute_force():
+    """The weights of all triples of letters of a word, found by three loops."""
+    for word in ("idiot", "i.d-iot", "aab", "ab", "..", "straße", "x" * 12):
+        want = {}
+        for i, j, k in itertools.combinations(range(len(word)), 3):
+            if k - i < toxicity.SPAN and all(word[n].isalpha() for n in (i, j, k)):
+                code = tuple(toxicity.letter_codes(np.array([ord(word[n])], np.uint32))[0] for n in (i, j, k))
+                key = (code[0] * 64 + code[1]) * 64 + code[2]
+                want[key] = want.get(key, 0) + toxicity.DECAY ** (k - i - 2)
+        got = {}
+        for code, _, weight in toxicity.triples([word]):
+            for c in code.tolist():
+                got[c] = got.get(c, 0) + weight
+        assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-12 for c in want)
+
+
+def test_machine_by_blocks_meets_its_conditions(monkeypatch):
+    """At the least of half the squared weights plus squared hinge losses, the gradient is zero."""
+    rng = np.random.default_rng(5)
+    x, y, cost = rng.normal(size=(300, 4)), np.sign(rng.normal(size=300)), rng.uniform(0.1, 3, 300)
+    monkeypatch.setattr(toxicity, "_ROWS", 37)
+    w = toxicity._machine(x, y, cost, rounds=100)
+    a = np.concatenate([x, np.ones((300, 1))], axis=1)
+    slack = np.maximum(0, 1 - y * (a @ w))
+    assert np.abs(w * [1, 1, 1, 1, 1e-3] - a.T @ (cost * y * slack)).max() < 1e-6
+
+
 def test_covering_words_leave_filler():
     copies = [["bad", *(f"filler{i}" for i in range(9))]] * 30
     texts = copies + [["bad", f"a{i}"] for i in range(20)] + [["worse", f"b{i}"] for i in range(20)]
@@ -245,14 +385,21 @@ def test_near_duplicates_cut_appended_and_put_in(spark):
     assert classes_of(spark, map(" ".join, texts)) == [0, 0, 2, 2, 4, 4, 6, 7]
 
 
+TEXTS = "fp binary, bands array<bigint>, words long, ranges binary, id long"
+
+
+def ranges_of(words):
+    return neardup.ranges(neardup.word_hashes(words))
+
+
 def test_matched_texts_meet_the_rest_of_their_band(spark):
     w = [[f"{k}{i}" for i in range(200)] for k in "abcd"]
     texts = [" ".join(x) for x in (w[0], w[1][:20] + w[0][20:], w[1][:20] + w[0][20:180] + w[2][:20], w[3])]
     # the first leads, as it meets the last in another band; it matches the second only, and the second the third
-    rows = [(hashlib.md5(x.encode()).digest(), [1, 2] if i == 0 else [2] if i == 3 else [1], 200, i) for i, x in enumerate(texts)]
+    rows = [(hashlib.md5(x.encode()).digest(), [1, 2] if i == 0 else [2] if i == 3 else [1], 200, ranges_of(x.split()), i) for i, x in enumerate(texts)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    links, _ = neardup._links(docs, spark.createDataFrame(rows, "fp binary, bands array<bigint>, words long, id long"))
-    number = {bytes(r[0]): r[3] for r in rows}
+    links = neardup._links(docs, spark.createDataFrame(rows, TEXTS))
+    number = {bytes(r[0]): r[4] for r in rows}
     assert {frozenset((number[bytes(r["leader"])], number[bytes(r["fp"])])) for r in links.collect()} == {frozenset((0, 1)), frozenset((1, 2))}
 
 
@@ -281,16 +428,56 @@ def test_repeated_lines_count_in_full(spark):
         assert classes_of(spark, map(" ".join, texts)) == [0, 0]
 
 
-def test_large_bands_are_split_without_loss(spark):
-    """Texts that share most of their words and one band, too many for pairs; some are copies of each other."""
+def edited(rng, base, share, tag):
+    """Words changed, put in or taken out, each with a third of the probability."""
+    out = []
+    for i, x in enumerate(base):
+        u = rng.random()
+        if u >= share / 3:
+            out.append(x if u >= 2 * share / 3 else f"{tag}c{i}")
+        if u < share and u >= 2 * share / 3:
+            out.append(f"{tag}n{i}")
+    return out
+
+
+@pytest.mark.parametrize("words", [300, 1000])
+@pytest.mark.parametrize("share", [0.03, 0.06, 0.09, 0.11, 0.13])
+def test_bands_meet_what_alignment_accepts(words, share):
+    """Of pairs that the test for a link accepts, at least nine in ten share a band, whatever the kind of edits."""
+    rng, met, accepted = random.Random(17), 0, 0
+    for k in range(60):
+        base = [f"p{k}w{i}" for i in range(words)]
+        other = edited(rng, base, share, f"q{k}") if k % 2 else [x if rng.random() >= share * 0.9 else f"q{k}{x}" for x in base]
+        x, y = (neardup.Sequence(neardup.word_hashes(t)) for t in (base, other))
+        if neardup.near(x, y):
+            accepted += 1
+            met += bool(set(neardup.bands(x.words).tolist()) & set(neardup.bands(y.words).tolist()))
+    assert accepted >= 30 and met >= 0.9 * accepted, (met, accepted)
+
+
+def test_ranges_never_exclude_a_link():
+    rng = random.Random(18)
+    for k in range(400):
+        base = [f"w{rng.randrange(60)}" for _ in range(rng.randint(1, 120))]
+        cut = rng.randrange(len(base) + 1)
+        other = [base[:cut] + base[cut + rng.randint(0, 12) :], edited(rng, base, 0.12, "t"), base + base[:cut]][k % 3] or base
+        x, y = (neardup.Sequence(neardup.word_hashes(t)) for t in (base, other))
+        a, b = (np.frombuffer(neardup.ranges(t.words), np.uint8).astype(np.int16) for t in (x, y))
+        fits = neardup.possible(np.array([len(base)]), a[None, :], len(other), b)[0]
+        assert fits or not neardup.near(x, y)
+
+
+def test_large_bands_are_split_without_loss(spark, monkeypatch):
+    """Texts that share most of their words and one band, in many blocks; some are copies of each other."""
+    monkeypatch.setattr(neardup, "BLOCK", 7)
     rng = random.Random(12)
     body = [f"b{i}" for i in range(100)]
     texts = [body + [f"t{k}w{i}" for i in range(60)] for k in range(100)]
     texts += [[x if rng.random() > 0.04 else "new" for x in t] for t in texts[:30]] + [t[: len(t) - 12] for t in texts[30:60]]
-    rows = [(hashlib.md5(" ".join(x).encode()).digest(), [1], len(x), i) for i, x in enumerate(texts)]
+    rows = [(hashlib.md5(" ".join(x).encode()).digest(), [1], len(x), ranges_of(x), i) for i, x in enumerate(texts)]
     docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
-    links, files = neardup._links(docs, spark.createDataFrame(rows, "fp binary, bands array<bigint>, words long, id long"))
-    root = {bytes(r["fp"]): r["root"] for r in neardup.components(links, files).collect()}
+    links = neardup._links(docs, spark.createDataFrame(rows, TEXTS))
+    root = {bytes(r["fp"]): r["root"] for r in neardup.components(links).collect()}
     seen = [neardup.Sequence(neardup.word_hashes(x)) for x in texts]
     pairs = [(a, b) for a in range(len(texts)) for b in range(a) if neardup.near(seen[a], seen[b])]
     lost = [(a, b) for a, b in pairs if rows[a][0] != rows[b][0] and (rows[a][0] not in root or root[rows[a][0]] != root.get(rows[b][0]))]
