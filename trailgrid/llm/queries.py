@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import audio, fixity, langid, mixing, neardup, packing, sharding, token_file, topk, toxicity
@@ -23,7 +23,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's shard of 16, by the law that shards hold near equal bytes."""
+    """Every document's shard of 16, by the law that shards hold near equal bytes; the slot map is stored and read back."""
     rows, _ = sharding.shard(table(spark, sf_dir, "documents"), shards=16)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
@@ -39,18 +39,20 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An audit of all pages as WARC records against a stored replica in which the records of pages with
-    page_id mod 97 = 13 have had one byte changed on disk."""
+    """An audit of all pages as WARC records against a stored replica: records of pages with page_id mod 97 = 13 have one
+    byte changed, those with page_id mod 20000 = 200 are lost, and behind those with page_id mod 20000 = 120 stands one
+    more record."""
     records = fixity.records(table(spark, sf_dir, "pages"))
-    rotten = F.when(F.col("page_id") % 97 == 13, F.overlay("record", F.lit("X").cast("binary"), F.lit(12), F.lit(1))).otherwise(F.col("record"))
-    replica = fixity.written(records.select("page_id", F.sha2("record", 256).alias("indexed"), rotten.alias("record")), "replica")
-    expected = fixity.hashed(records)
-    # the replica is read by the offsets of the archive's own index; equal records are told apart by their number
-    copy = F.row_number().over(Window.partitionBy("page_id", "indexed").orderBy(F.lit(1)))
-    offsets = expected.select("page_id", F.col("sha256").alias("indexed"), "offset").withColumn("copy", copy)
-    found = replica.select("page_id", "indexed", F.octet_length("record").cast("long").alias("n_bytes"), F.sha2("record", 256).alias("sha256")).withColumn("copy", copy)
-    same = found["page_id"].eqNullSafe(offsets["page_id"]) & (found["indexed"] == offsets["indexed"]) & (found["copy"] == offsets["copy"])
-    return fixity.audit(expected, found.join(offsets, same).select(found["page_id"], "n_bytes", "sha256", "offset"))
+    index = fixity.indexed(records)
+    page = F.col("page_id")
+    where = index.select(F.col("page_id").alias("_page"), F.col("sha256").alias("_sha"), "file", "offset").dropDuplicates(["_page", "_sha"])
+    put = records.join(where, page.eqNullSafe(F.col("_page")) & (F.sha2("record", 256) == F.col("_sha")))
+    rotten = F.when(page % 97 == 13, F.overlay("record", F.lit("X").cast("binary"), F.lit(12), F.lit(1))).otherwise(F.col("record"))
+    lost = F.coalesce(page % 20000 == 200, F.lit(False))
+    kept = put.where(~lost).select("file", F.struct(F.col("offset"), F.lit(0).alias("more")).alias("place"), rotten.alias("record"))
+    more = put.where(page % 20000 == 120).select("file", F.struct(F.col("offset"), F.lit(1).alias("more")).alias("place"), fixity.warc_record(-page - 1, F.lit("urn:more"), F.lit("more")).alias("record"))
+    replica = fixity.written(kept.unionByName(more), "replica")
+    return fixity.audit(index, fixity.read(replica))
 
 
 def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,10 +92,28 @@ with r as (
     || octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '')
     || chr(13) || chr(10) || chr(13) || chr(10) as record
   from pages),
-h as (select page_id, cast(octet_length(encode(record)) as bigint) as n_bytes, sha256(record) as sha256 from r)
-select page_id, cast(sum(n_bytes) over (order by page_id, sha256 rows unbounded preceding) - n_bytes as bigint) as "offset",
-  n_bytes, sha256, case when page_id % 97 = 13 then 'corrupt' else 'ok' end as status
-from h""",
+h as (select page_id, record, cast(octet_length(encode(record)) as bigint) as n_bytes, sha256(record) as sha256 from r),
+g as (select *, cast(sum(n_bytes) over (order by page_id, sha256 rows unbounded preceding) - n_bytes as bigint) as start from h),
+f as (select *, start // 67108864 as file from g),
+e as (select *, start - min(start) over (partition by file) as "offset" from f),
+p as (
+  select file, start, 0 as more, page_id, case when page_id % 97 = 13 then substr(record, 1, 11) || 'X' || substr(record, 13) else record end as record
+  from e where page_id % 20000 <> 200
+  union all
+  select file, start, 1, -page_id - 1, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+    || 'WARC-Record-ID: <urn:page:' || (-page_id - 1) || '>' || chr(13) || chr(10) || 'WARC-Target-URI: urn:more'
+    || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: 4'
+    || chr(13) || chr(10) || chr(13) || chr(10) || 'more' || chr(13) || chr(10) || chr(13) || chr(10)
+  from e where page_id % 20000 = 120),
+q as (
+  select file, page_id, sha256(record) as sha256, cast(octet_length(encode(record)) as bigint) as n_bytes,
+    cast(sum(octet_length(encode(record))) over (partition by file order by start, more rows unbounded preceding) - octet_length(encode(record)) as bigint) as found_offset
+  from p)
+select coalesce(e.page_id, q.page_id) as page_id, cast(coalesce(e.file, q.file) as bigint) as file, coalesce(e."offset", q.found_offset) as "offset",
+  coalesce(e.n_bytes, q.n_bytes) as n_bytes, coalesce(e.sha256, q.sha256) as sha256, q.found_offset,
+  case when q.page_id is null then 'missing' when e.page_id is null then 'extra' when e.sha256 <> q.sha256 then 'corrupt'
+    when e."offset" = q.found_offset then 'ok' else 'moved' end as status
+from e full join q on e.page_id = q.page_id and e.file = q.file""",
         "op8_topk": """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as v from embeddings
