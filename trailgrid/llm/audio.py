@@ -3,8 +3,9 @@
 Bytes are kept losslessly as 8-bit mono PCM in WAV form, one media value a row. Features come from the stored bytes:
 a polyphase resampler (by 2/5, from 16,000 to 6,400 samples a second), overlapped Hann frames of 25 ms every 10 ms,
 log energies of 20 mel bands, and segments by hysteresis on the frame energy: a segment begins above the upper
-threshold and ends below the lower one. Features are stored in tensors of the fixed shape 32 frames by 20 bands, with
-the time span of each, as :func:`tensors`; :func:`as_tensor_array` gives them Arrow's fixed-shape tensor type.
+threshold and ends below the lower one. Features are stored as Arrow record batches, one a document, whose log_mel
+column has Arrow's fixed-shape tensor type, 32 frames by 20 bands, beside the time span of each tensor; what the digests
+say of features is read back from them.
 
 Defined results: a null or empty text is one unit of 192 spaces; silence has no segment; equal texts have equal media
 and features, as each text is computed on its own; very long texts are worked through in runs of frames of bounded
@@ -112,11 +113,23 @@ def patches(mel: np.ndarray) -> tuple[np.ndarray, list[tuple[float, float]]]:
     return full.reshape(n, PATCH, BANDS), [(k * PATCH * HOP / rate, ((min(len(mel), (k + 1) * PATCH) - 1) * HOP + FRAME) / rate) for k in range(n)]
 
 
-def as_tensor_array(flat: pa.Array) -> pa.FixedShapeTensorArray:
-    """The list column of :func:`tensors` as Arrow's fixed-shape tensors."""
-    values = flat.flatten() if isinstance(flat, pa.ListArray) else flat.values
-    kind = pa.fixed_shape_tensor(pa.float32(), (PATCH, BANDS))
-    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(values, PATCH * BANDS))
+TENSOR = pa.fixed_shape_tensor(pa.float16(), (PATCH, BANDS))
+#: Fixed schema of the batches in which features are stored.
+FEATURES = pa.schema([("start_s", pa.float64()), ("end_s", pa.float64()), ("log_mel", TENSOR)])
+
+
+def to_batch(mel: np.ndarray) -> bytes:
+    """The tensors of a document with their time spans, as the bytes of an Arrow record batch."""
+    tensor, spans = patches(mel)
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(tensor.astype(np.float16).ravel()), PATCH * BANDS)
+    cells = [pa.array([s[i] for s in spans], pa.float64()) for i in (0, 1)] + [pa.ExtensionArray.from_storage(TENSOR, flat)]
+    return pa.RecordBatch.from_arrays(cells, schema=FEATURES).serialize().to_pybytes()
+
+
+def from_batch(raw: bytes) -> tuple[np.ndarray, list[tuple[float, float]]]:
+    """The tensors (n, PATCH, BANDS) and their spans, as :func:`to_batch` wrote them."""
+    batch = pa.ipc.read_record_batch(pa.py_buffer(raw), FEATURES)
+    return batch.column(2).to_numpy_ndarray(), list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
 
 
 def store(documents: DataFrame) -> DataFrame:
@@ -135,44 +148,47 @@ def store(documents: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(pack, "doc_id long, n_bytes long, media binary"), "media", "zstd")
 
 
+_STORED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, segments array<double>, tensors binary"
+
+
 def tensors(media: DataFrame) -> DataFrame:
-    """Feature tensors with their time spans: doc_id, patch, start_s, end_s, log_mel (PATCH * BANDS values)."""
+    """What the stored media of each document hold, its segments (starts and ends in turn) and its tensors as
+    :func:`to_batch` writes them."""
+    names = [x.split()[0] for x in _STORED.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, wav in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tensor, spans = patches(log_mel(np.frombuffer(from_wav(wav), np.uint8))[0])
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(tensor) + 1) * PATCH * BANDS, pa.int32()), pa.array(tensor.ravel()))
-                times = [pa.array([s[i] for s in spans], pa.float64()) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(spans), pa.int64()), pa.array(range(len(spans)), pa.int32()), *times, flat], ["doc_id", "patch", "start_s", "end_s", "log_mel"])
+            out = []
+            for wav in batch.column(2).to_pylist():
+                payload = from_wav(wav)
+                mel, energy = log_mel(np.frombuffer(payload, np.uint8))
+                spans = [t for span in segments(energy) for t in span]
+                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(wav), hashlib.sha256(wav).hexdigest(), spans, to_batch(mel)))
+            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], names)
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, patch int, start_s double, end_s double, log_mel array<float>")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, _STORED)
 
 
-def describe(payload: bytes) -> str:
-    """A digest of the features: frames, segments, their seconds, the mean band levels, and a hash of the tensors
-    in steps of 1/16."""
-    mel, energy = log_mel(np.frombuffer(payload, np.uint8))
-    spans = segments(energy)
-    tensor, _ = patches(mel)
-    steps = hashlib.blake2b(np.rint(tensor * 16).astype("<i2").tobytes(), digest_size=8).hexdigest()
-    level = ",".join(f"{x:.1f}" for x in mel.mean(axis=0, dtype=np.float64)[:: BANDS // 5])
-    return f"frames={len(mel)};tensors={len(tensor)};segments={len(spans)};active={sum(b - a for a, b in spans):.2f};mel={level};hash={steps}"
+def describe(spans: list[float], raw: bytes) -> str:
+    """A digest of stored features: tensors and the seconds that they span, segments and their seconds, some mean band
+    levels, and a hash of the tensors."""
+    tensor, times = from_batch(raw)
+    level = ",".join(f"{x:.1f}" for x in tensor.reshape(-1, BANDS)[:, :: BANDS // 5].mean(axis=0, dtype=np.float64))
+    steps = hashlib.blake2b(tensor.astype("<f2").tobytes(), digest_size=8).hexdigest()
+    active = sum(b - a for a, b in zip(spans[::2], spans[1::2], strict=True))
+    return f"tensors={len(tensor)};seconds={times[-1][1]:.3f};segments={len(spans) // 2};active={active:.2f};mel={level};hash={steps}"
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """What the stored media of each document hold, and their features."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    names = [x.split()[0] for x in schema.split(", ")]
+    """What the stored media of each document hold, and its features, both stored and read back."""
+    stored = written(tensors(media), "tensors", "zstd")
+    kept = [x.split()[0] for x in _STORED.split(", ")][:-2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for wav in batch.column(2).to_pylist():
-                payload = from_wav(wav)
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(wav), hashlib.sha256(wav).hexdigest(), describe(payload)))
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], names)
+            said = [describe(*x) for x in zip(*(c.to_pylist() for c in batch.columns[-2:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(said, pa.string())], [*kept, "feature"])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return stored.mapInArrow(run, ", ".join(_STORED.split(", ")[:-2]) + ", feature string")
