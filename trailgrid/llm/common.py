@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -65,6 +65,31 @@ def lookup(spark: SparkSession, pairs: dict[int, int], key: str, value: str) ->
     return spark.createDataFrame([(int(k), int(v)) for k, v in pairs.items()] or [(-1, 0)], f"{key} long, {value} long")
 
 
+def row_hash(rows: DataFrame) -> F.Column:
+    """A hash of all columns of a row."""
+    return F.xxhash64(*(F.to_json(c) if "map<" in kind else F.col(c) for c, kind in rows.dtypes))
+
+
+def repeated(rows: DataFrame) -> DataFrame | None:
+    """Values of ``hash`` that several rows have; None if there are none."""
+    found = written(rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "repeats")
+    return None if found.isEmpty() else found
+
+
+def numbered(rows: DataFrame, repeats: DataFrame | None) -> DataFrame:
+    """Adds ``number``, which tells apart rows whose ``hash`` is in ``repeats``, as they are alike: those of a partition
+    become one row, the partitions' numbers are strung together, and the rows come back. So however often a row is
+    repeated, no task holds more of it than one partition does."""
+    if repeats is None:
+        return rows.withColumn("number", F.lit(0).cast("long"))
+    once = rows.join(repeats, "hash", "left_anti").withColumn("number", F.lit(0).cast("long"))
+    many = rows.join(repeats, "hash", "left_semi").withColumn("part", F.spark_partition_id())
+    alike = many.groupBy("hash", "part").agg(F.count("*").alias("n"), F.first(F.struct(*rows.columns)).alias("row"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("hash").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    apart = alike.withColumn("before", before).select("row.*", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)).alias("number"))
+    return once.unionByName(apart)
+
+
 def crc32_id(column) -> F.Column:
     """crc32 of the id as text; null for a null id."""
     return F.crc32(column.cast("string").cast("binary"))

@@ -24,7 +24,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import numbered, repeated, row_hash, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -146,36 +146,17 @@ def edges(rows: DataFrame, goal: dict) -> dict:
     return {s: (start[s], one.get(s, -1)) for s in start}
 
 
-def _hash(documents: DataFrame) -> F.Column:
-    """A hash of all columns of a row."""
-    return F.xxhash64(F.lit("mixing"), *(F.to_json(c) if "map<" in kind else F.col(c) for c, kind in documents.dtypes))
-
-
-def numbered(rows: DataFrame, repeats: DataFrame | None) -> DataFrame:
-    """Adds u, a draw in 0 .. UNIT. Rows with a ``hash`` that is in ``repeats`` are alike and are numbered: those of a
-    partition become one row with their number, the partitions' numbers are strung together, and the rows come back with
-    a draw each."""
-
-    def drawn(df: DataFrame, number: F.Column) -> DataFrame:
-        return df.withColumn("u", F.shiftrightunsigned(F.xxhash64("hash", number), 24))
-
-    if repeats is None:
-        return drawn(rows, F.lit(0).cast("long"))
-    once = drawn(rows.join(repeats, "hash", "left_anti"), F.lit(0).cast("long"))
-    many = rows.join(repeats, "hash", "left_semi").withColumn("part", F.spark_partition_id())
-    alike = many.groupBy("hash", "part").agg(F.count("*").alias("n"), F.first(F.struct(*rows.columns)).alias("row"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("hash").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    apart = alike.withColumn("before", before).select("row.*", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)).alias("number"))
-    return once.unionByName(drawn(apart, F.col("number")).drop("number"))
+def _drawn(rows: DataFrame, repeats: DataFrame | None) -> DataFrame:
+    """Adds u, a draw in 0 .. UNIT for each row."""
+    return numbered(rows, repeats).withColumn("u", F.shiftrightunsigned(F.xxhash64("hash", "number"), 24)).drop("number")
 
 
 def plan(documents: DataFrame, weights=WEIGHTS, share: float = SHARE) -> tuple[DataFrame, list[tuple], DataFrame | None]:
     """The narrow rows (doc_id, source, size, hash, u), the parameters of each source: (source, source_size, target,
     lambda, mean, edge, one), and the hashes of repeated rows, if there are any."""
-    narrow = written(sized(documents.withColumn("hash", _hash(documents))).select("doc_id", "source", "size", "hash"), "narrow")
-    repeats = written(narrow.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "repeats")
-    repeats = None if repeats.isEmpty() else repeats
-    rows = written(numbered(narrow, repeats), "mixing")
+    narrow = written(sized(documents.withColumn("hash", row_hash(documents))).select("doc_id", "source", "size", "hash"), "narrow")
+    repeats = repeated(narrow)
+    rows = written(_drawn(narrow, repeats), "mixing")
     pairs = written(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "sizes")
     found = pairs.groupBy("source").agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("size")).cast("decimal(20,0)")).alias("words")).collect()
     stats = {r["source"]: (r["n"], int(r["words"])) for r in found}
@@ -213,6 +194,6 @@ def mix(documents: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFram
 def mixed(documents: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
     """The documents themselves, each as many times as the mix takes it, with the columns that they have."""
     _, parameters, repeats = plan(documents, weights, share)
-    kept = documents.select("doc_id", "source", "text", F.struct([F.col(c) for c in documents.columns]).alias("row"), _hash(documents).alias("hash"))
-    rated = _rounding(_with(numbered(sized(kept), repeats), parameters, _PARAMETERS).withColumn("r", rate())).withColumn("copies", copies())
+    kept = documents.select("doc_id", "source", "text", F.struct([F.col(c) for c in documents.columns]).alias("row"), row_hash(documents).alias("hash"))
+    rated = _rounding(_with(_drawn(sized(kept), repeats), parameters, _PARAMETERS).withColumn("r", rate())).withColumn("copies", copies())
     return rated.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")).select("row.*")
