@@ -4,7 +4,9 @@ import math
 import random
 import zlib
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -190,6 +192,29 @@ def test_slots_move_only_where_needed():
     assert set(m.at()[m.at() != before]) == {16} and (m.at(1) == before).all()
 
 
+def test_slot_map_is_stored_and_edited(spark, tmp_path):
+    """Reruns edit what is stored; groups of equal texts and repeated rows spread over the shards."""
+    folder = f"file://{tmp_path}/map"
+    rows = [(i, "equal text" if i % 2 else f"text {i} " + "x" * (i % 90), 1) for i in range(4000)] + [(7, "twin", 1)] * 600 + [(None, None, 2)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hash int").repartition(4)
+    first, m = sharding.shard(docs, 8, 512, folder)
+    got = first.collect()
+    size = lambda t: len((t or "").encode()) + 1
+    assert sorted((r["doc_id"] or -1, r["size"], r["text_crc32"]) for r in got) == sorted((i or -1, size(t), zlib.crc32((t or "").encode())) for i, t, _ in rows)
+    load = [sum(r["size"] for r in got if r["shard"] == k) for k in range(8)]
+    assert max(load) - min(load) < 0.02 * sum(load) / 8
+    for k in range(8):
+        assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got)))
+    assert len({r["shard"] for r in got if r["size"] == 11}) == 8 and len({r["shard"] for r in got if r["doc_id"] == 7}) == 8
+    stored = sharding.SlotMap.load(spark, folder)
+    assert len(stored.versions) == 2 and (stored.at() == m.at()).all()
+    assert all(stored.at()[r["virtual_slot"]] == r["shard"] for r in got)
+    again, m = sharding.shard(docs.where("doc_id % 3 <> 0"), 9, 512, folder)
+    assert len(m.versions) == 4 and (m.at(1) == stored.at()).all() and {r["shard"] for r in again.collect()} == set(range(9))
+    moved = m.at(2) != m.at(1)
+    assert set(m.at(2)[moved]) == {8}
+
+
 def test_near_duplicates_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     got = {r["doc_id"]: r["class_id"] for r in queries.op9_near_duplicates(spark, SF).collect()}
@@ -276,12 +301,72 @@ def test_top_k_in_many_chunks(spark, monkeypatch):
 
 
 def test_audit_finds_what_changed(spark):
-    pages = spark.createDataFrame([(i, f"u{i}", "x" * (i * 37 % 900)) for i in range(300)] + [(5, None, None)], "page_id long, url string, html string")
-    good = fixity.records(pages)
-    bad = good.where("page_id <> 299").withColumn("record", F.when(F.col("page_id") == 17, F.overlay("record", F.lit("Z").cast("binary"), F.lit(3), F.lit(1))).otherwise(F.col("record")))
-    rows = fixity.audit(fixity.hashed(good), fixity.hashed(bad), span=4096).where("status <> 'ok'").collect()
-    assert sorted((r["page_id"], r["status"]) for r in rows) == [(17, "corrupt"), (299, "missing")]
-    assert fixity.audit(fixity.hashed(good.limit(0)), fixity.hashed(good.limit(0))).count() == 0
+    """Changed, lost and added records in archives of several files, against a plain comparison."""
+    rows = [(i, f"u{i}", "x" * (i * 37 % 900) + "é" * (i % 3)) for i in range(300)] + [(5, None, None), (None, "n", "n"), (None, "n", "n"), (40, "u40", "x" * 580 + "é"), (400, "long", "y" * 300_000)]
+    pages = spark.createDataFrame([(*r, 1, "z", 7) for r in rows], "page_id long, url string, html string, file int, record string, offset long")
+    index = fixity.indexed(fixity.records(pages), size=40_000)
+    order = index.orderBy("file", "offset").collect()
+    bodies = {}
+    for r in fixity.records(pages).collect():
+        bodies[hashlib.sha256(bytes(r["record"])).hexdigest()] = bytes(r["record"])
+    assert len(order) == len(rows) and len({r["file"] for r in order}) > 3
+    at = {}
+    for r in order:
+        assert r["offset"] == at.get(r["file"], 0)
+        at[r["file"]] = r["offset"] + r["n_bytes"]
+    replica = []
+    for k, r in enumerate(order):
+        raw = bodies[r["sha256"]]
+        if r["page_id"] == 299 or r["page_id"] == 60:
+            continue
+        if r["page_id"] == 17:
+            raw = raw[:80] + b"Z" + raw[81:]
+        replica.append((r["file"], 2 * k, raw))
+        if r["page_id"] == 130:
+            replica.append((r["file"], 2 * k + 1, b"WARC/1.1\r\nWARC-Record-ID: <urn:page:999>\r\n\r\n"))
+    found = fixity.read(spark.createDataFrame(replica, "file long, place long, record binary").repartition(3))
+    got = fixity.audit(index, found, span=2048).collect()
+    there, want = {}, []
+    for file, _, raw in replica:
+        page = raw.partition(b"<urn:page:")[2].partition(b">")[0]
+        there.setdefault((file, int(page) if page != b"none" else None), []).append([hashlib.sha256(raw).hexdigest(), sum(len(x) for f, k, x in replica if f == file and k < _)])
+    for r in order:
+        same = there.get((r["file"], r["page_id"]), [])
+        hit = next((x for x in same if x[0] == r["sha256"]), None) or (same[0] if r["page_id"] == 17 else None)
+        if hit:
+            same.remove(hit)
+        status = "missing" if not hit else "corrupt" if hit[0] != r["sha256"] else "ok" if hit[1] == r["offset"] else "moved"
+        want.append((r["page_id"], r["offset"], hit[1] if hit else None, status))
+    want += [(p, x[1], x[1], "extra") for (_, p), left in there.items() for x in left]
+    assert sorted(((r["page_id"], r["offset"], r["found_offset"], r["status"]) for r in got), key=repr) == sorted(want, key=repr)
+    assert {r["status"] for r in got} == {"ok", "moved", "corrupt", "missing", "extra"}
+
+
+def test_audit_descends_only_where_roots_differ(spark):
+    pages = spark.createDataFrame([(i, f"u{i}", "x" * 500) for i in range(400)], "page_id long, url string, html string")
+    index = fixity.indexed(fixity.records(pages), size=50_000)
+    levels = fixity.tree(index, span=1024, fanout=4)
+    assert len(levels) > 6 and fixity.mismatching_ranges(levels, levels, fanout=4).count() == 0
+    other = index.withColumn("sha256", F.when(F.col("page_id") == 222, "0").otherwise(F.col("sha256")))
+    bad = fixity.mismatching_ranges(levels, fixity.tree(other, span=1024, fanout=4), fanout=4).collect()
+    where = index.where("page_id = 222").first()
+    assert [r["node"] for r in bad] == [where["file"] * fixity.RANGES + where["offset"] // 1024]
+    empty = index.limit(0)
+    assert fixity.audit(empty, empty).count() == 0
+    assert {r["status"] for r in fixity.audit(index, empty).collect()} == {"missing"} and {r["status"] for r in fixity.audit(empty, index).collect()} == {"extra"}
+
+
+@pytest.mark.parametrize("name", ["op6_fixity", "op8_topk"])
+def test_queries_equal_their_sql(spark, name):
+    sf, con = "/root/testdata/sf0.01", duckdb.connect()
+    for t in ("pages", "embeddings"):
+        con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
+    want = con.execute(queries.oracle_sql()[name]).fetchnumpy()
+    got = queries.queries()[name](spark, sf)
+    assert sorted(want) == sorted(got.columns)
+    cells = zip(*(want[c].tolist() for c in got.columns), strict=True)
+    clean = lambda row: tuple(None if x is None or x != x else x for x in row)
+    assert sorted(map(repr, map(clean, cells))) == sorted(map(repr, map(tuple, got.collect())))
 
 
 def test_audio():
@@ -290,7 +375,50 @@ def test_audio():
     y = audio.resample(np.sin(np.arange(16000) * 2 * np.pi * 440 / 16000).astype(np.float32))
     assert len(y) == 6400 and abs(np.abs(np.fft.rfft(y)).argmax() - 440) <= 1
     assert audio.segments(np.array([0, 0, 5, 0.5, 5, -5, 0, 0.0])) == [(0.02, 0.065)]
-    assert audio.describe(payload) == audio.describe(payload)
+    mel, _ = audio.log_mel(np.frombuffer(payload, np.uint8))
+    tensor, spans = audio.from_batch(audio.to_batch(mel))
+    assert tensor.shape == (-(-len(mel) // 32), 32, 20) and np.abs(tensor.reshape(-1, 20)[: len(mel)] - mel).max() < 0.01
+    assert spans[0][0] == 0 and all(b[0] - a[0] == pytest.approx(0.32) for a, b in zip(spans, spans[1:]))
+    assert pa.ipc.read_record_batch(pa.py_buffer(audio.to_batch(mel)), audio.FEATURES).schema.field("log_mel").type == pa.fixed_shape_tensor(pa.float16(), (32, 20))
+
+
+def test_audio_query_against_plain_code(spark):
+    """Every column of the query's rows, the features by direct sums instead of phases and transforms."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in queries.op7_audio(spark, SF).collect()}
+    assert got.keys() == texts.keys()
+    short = sorted(texts, key=lambda i: len(texts[i]))[:25]
+    angle = np.exp(-2j * np.pi * np.outer(np.arange(audio.FFT // 2 + 1), np.arange(audio.FRAME)) / audio.FFT)
+    for i, text in texts.items():
+        raw, r = text.encode(), got[i]
+        payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        wav = audio.to_wav(payload)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(wav), hashlib.sha256(wav).hexdigest())
+        if i not in short:
+            continue
+        x = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+        n = len(x) * 2 // 5
+        frames = 1 + max(0, -(-(n - audio.FRAME) // audio.HOP))
+        y = np.concatenate([audio.resample(x.astype(np.float32)), np.zeros((frames - 1) * audio.HOP + audio.FRAME - n)])
+        mel = np.array([np.log(np.abs(angle @ (y[k * 64 : k * 64 + 160] * np.hanning(160))) ** 2 @ audio._BANK + 1e-6) for k in range(frames)])
+        full = np.full((-(-frames // 32) * 32, 20), np.log(1e-6))
+        full[:frames] = mel
+        level = [float(v) for v in r["feature"].partition("mel=")[2].partition(";")[0].split(",")]
+        assert np.abs(full[:, ::4].mean(axis=0) - level).max() < 0.06
+        assert f"tensors={len(full) // 32};" in r["feature"]
+
+
+def test_resampling_against_direct_sums():
+    """Samples between are zeros, then the whole filter, then every fifth: as the phases do it."""
+    x = np.random.default_rng(3).normal(size=1000).astype(np.float32)
+    taps = audio._FILTER[:, ::-1].T.reshape(-1).astype(float)
+    put = np.zeros(2 * len(x))
+    put[::2] = x
+    whole = np.convolve(put, taps)
+    got = audio.resample(x)
+    best = min(range(len(taps)), key=lambda d: np.abs(whole[d::5][: len(got)][20:-20] - got[20:-20]).max())
+    assert np.abs(whole[best::5][: len(got)][20:-20] - got[20:-20]).max() < 1e-4
 
 
 def test_toxicity_stands_gaps():
@@ -307,8 +435,6 @@ def test_languages():
     words = {"aa": ["tor", "wel", "mip"], "bb": ["zuq", "xol", "gry"]}
     model = langid.train([(k, " ".join(rng.choices(words[k], k=30))) for k in words for _ in range(60)], epochs=2, examples=2000)
     run = langid._predict(model)
-    import pyarrow as pa
-
     (out,) = run(iter([pa.RecordBatch.from_arrays([pa.array(["Tor wel!", "xol gry zuq", "123", None])], ["text"])]))
     assert out.column("lang_pred").to_pylist() == ["aa", "bb", "und", "und"] and out.column("rejected").to_pylist()[2:] == [True, True]
 
