@@ -47,6 +47,11 @@ def canonical(path: Column) -> Column:
     return F.array_join(segments(path), "\\")
 
 
+def place(path: Column) -> Column:
+    """For scopes: without verbatim prefixes, segments joined by single backslashes, A to Z in lower case."""
+    return ascii_lower(canonical(without_verbatim(path)))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower case for A to Z alone."""
     return F.translate(text, _UPPER, _UPPER.lower())
@@ -119,6 +124,27 @@ def reason_names(reason: Column) -> Column:
     return F.array_compact(F.array(*(F.when(reason.bitwiseAND(F.lit(m)) != 0, F.lit(n)) for m, n in REASONS)))
 
 
+def rfc3339(at: Column) -> Column:
+    """A time as text in UTC, to the second, with fractions where there are any."""
+    utc = F.to_utc_timestamp(at, F.current_timezone())
+    micros = F.unix_micros(at) % 1_000_000
+    micros = F.when(micros < 0, micros + 1_000_000).otherwise(micros)
+    part = F.when(micros == 0, F.lit("")).otherwise(F.concat(F.lit("."), F.regexp_replace(F.lpad(micros.cast("string"), 6, "0"), "0+$", "")))
+    return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), part, F.lit("Z"))
+
+
+def unix_ms(at: Column) -> Column:
+    """Milliseconds since 1970."""
+    return F.unix_millis(at)
+
+
+def low_file_id(identifier: Column) -> Column:
+    """The low 64 bits of a 128-bit file id, which is 16 bytes, the lowest first; as a signed long."""
+    high_first = F.reverse(F.substring(F.hex(identifier), 1, 16))
+    pairs = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.reverse(F.substring(high_first, i * 2 + 1, F.lit(2)))), "")
+    return F.conv(pairs, 16, -10).cast("long")
+
+
 def reason_hex(reason: Column) -> Column:
     """0x and eight digits."""
     return F.format_string("0x%08x", reason.cast("long"))

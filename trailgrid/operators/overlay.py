@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailgrid.functions.paths import drive
+
 _ROW = ("path", "has_deleted_entries")
 
 
 def merge(base: DataFrame, overlay: DataFrame) -> DataFrame:
-    """One row a path, the overlay's where both have it. A union and an aggregation with partial sums: no join."""
+    """One row a path, the overlay's where both have it. A union and an aggregation with partial sums: no join. Where
+    the base has a drive, so have the rows; it follows from the path where the overlay has none."""
     both = base.select(*_ROW, F.lit(0).alias("rank")).unionByName(overlay.select(*_ROW, F.lit(1).alias("rank")))
-    return both.groupBy("path").agg(F.max(F.struct("rank", F.col("has_deleted_entries").alias("d"))).alias("row")).select("path", F.col("row.d").alias("has_deleted_entries"))
+    merged = both.groupBy("path").agg(F.max(F.struct("rank", F.col("has_deleted_entries").alias("d"))).alias("row")).select("path", F.col("row.d").alias("has_deleted_entries"))
+    return merged.withColumn("drive", drive(F.col("path"))) if "drive" in base.columns else merged
 
 
 def merge_prefiltered(base: DataFrame, overlay: DataFrame, keep: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailgrid.functions.paths import folded, terminal
+from trailgrid.functions.paths import drive, folded, terminal
 from trailgrid.operators.overlay import merge
 from trailgrid.plans.querylang import Rule, parse, predicate
 from trailgrid.plans.rules import RuleSet
@@ -51,22 +51,25 @@ class QueryPlan:
 
 
 def run(rows: DataFrame, plan: QueryPlan, rules: RuleSet | None = None, order: list[str] | None = None) -> DataFrame:
-    """Rows of an index (path, has_deleted_entries, and what is stored of segs, term and drive) that a plan selects,
-    with is_filtered. Everything is one predicate over the scan; a limit takes the first rows by ``order``."""
+    """Rows of an index (path, has_deleted_entries, and what is stored of segs, term, ext, place and drive) that a plan
+    selects, with is_filtered. Everything is one predicate over the scan; a limit takes the first rows, drives in the
+    order of the plan's list and each drive's rows by ``order``."""
     have = set(rows.columns)
     segs = F.col("segs") if "segs" in have else folded(F.col("path"))
     term = F.col("term") if "term" in have else terminal(segs)
-    out = rows
-    if "drive" in have and (plan.drives != "*" or plan.scopes):
+    own = F.col("drive") if "drive" in have else drive(F.col("path"))
+    out, letters = rows, []
+    if plan.drives != "*" or plan.scopes:
         letters = drive_letters(plan.drives, [], [s.root for s in plan.scopes])
-        out = out.where(F.col("drive").isin(letters)) if letters else out
+        out = out.where(own.isin(letters)) if letters else out
     out = out.where(deleted_filter(F.col("has_deleted_entries"), plan.include_deleted, plan.only_deleted))
-    out = out.where(in_scope(F.col("path"), list(plan.scopes))) if plan.scopes else out
-    out = out.where(predicate(plan.groups(), segs, term, plan.compat))
+    out = out.where(in_scope(F.col("path"), list(plan.scopes), F.col("place") if "place" in have else None)) if plan.scopes else out
+    out = out.where(predicate(plan.groups(), segs, term, plan.compat, ext=F.col("ext") if "ext" in have else None))
     out = out.withColumn("is_filtered", rules.filtered(F.col("path")) if rules else F.lit(False))
     out = out.where(filtered_filter(F.col("is_filtered"), plan.show_filtered, plan.only_filtered))
     if plan.limit:
-        out = out.orderBy(*(order or [c for c in ("drive", "row_index") if c in have] or ["path"])).limit(plan.limit)
+        by_drive = [F.array_position(F.array(*map(F.lit, letters)), own)] if letters else [own] if "drive" in have else []
+        out = out.orderBy(*by_drive, *(order or (["row_index"] if "row_index" in have else ["path"]))).limit(plan.limit)
     return out.select(*(c for c in ("drive",) if c in have), "path", "has_deleted_entries", "is_filtered")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -14,6 +15,13 @@ from trailgrid.functions.paths import normalized
 
 EXTENSION = ".trail_rules"
 _FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+#: Places whose rules files are ignored by default.
+IGNORED = (
+    "**/$RECYCLE.BIN/**", "**/AppData/Roaming/Code/User/History/**", "**/AppData/Roaming/Cursor/User/History/**",
+    "**/AppData/Roaming/Windsurf/User/History/**", "**/.config/Code/User/History/**", "**/.config/Cursor/User/History/**",
+    "**/.config/Windsurf/User/History/**", "**/.vscode/**/History/**", "**/CARGO_HOME/registry/src/**",
+    "**/.cargo/registry/src/**", "**/cargo/registry/src/**",
+)
 
 
 @dataclass(frozen=True)
@@ -106,9 +114,9 @@ class RuleSet:
         return out
 
     def table(self, spark) -> DataFrame:
-        """The rules as rows: rank, order, include, source_path, line_number, kind, pattern."""
-        rows = [(i, m.order, m.include, m.source, m.line, m.kind, m.pattern) for i, m in enumerate(self.matchers)]
-        return spark.createDataFrame(rows, "rank long, order long, include boolean, source_path string, line_number int, kind string, pattern string")
+        """The rules as rows: rank, order, include, source_path, line_number, kind, pattern, regex (of globs)."""
+        rows = [(i, m.order, m.include, m.source, m.line, m.kind, m.pattern, to_regex(m.pattern) if m.kind == "glob" else None) for i, m in enumerate(self.matchers)]
+        return spark.createDataFrame(rows, "rank long, order long, include boolean, source_path string, line_number int, kind string, pattern string, regex string")
 
 
 def applies(file: RuleFile, profile: str | None) -> bool:
@@ -118,11 +126,24 @@ def applies(file: RuleFile, profile: str | None) -> bool:
 
 def ignored(path: str, globs: list[str]) -> bool:
     """Whether a rules file is to be ignored."""
-    return any(re.search(to_regex(g).replace("(?is)", "(?is)", 1), path.replace("\\", "/")) for g in globs)
+    return any(re.search(to_regex(g), path.replace("\\", "/")) for g in globs)
 
 
-def resolve(files: list[RuleFile], profile: str | None = None, ignore: list[str] = ()) -> RuleSet:
+def profile_name(text: str | None) -> str | None:
+    """A profile's name as it stands in file names; None for the default one."""
+    name = (text or "").strip()
+    if name.lower() in ("", "default"):
+        return None
+    if "." in name:
+        raise ValueError(f"{name!r}: a dot would begin another part of the file's name")
+    if any(unicodedata.category(c) == "Cc" or c in "\\/:" for c in name):
+        raise ValueError(f"{name!r}: no control characters, slashes or colons in a profile's name")
+    return name
+
+
+def resolve(files: list[RuleFile], profile: str | None = None, ignore: list[str] | tuple[str, ...] = IGNORED) -> RuleSet:
     """The rules of all files that apply, in the order (order, file, line), equal rules once."""
+    profile = profile_name(profile)
     files = sorted((f for f in files if not ignored(f.path, list(ignore))), key=lambda f: f.path)
     if profile is not None and not any(f.profile == profile for f in files):
         raise ValueError(f"no rules file for profile {profile!r}")
@@ -163,14 +184,29 @@ def absolute(pattern: str, file: RuleFile, line: int) -> str:
 
 
 def last_match_join(paths: DataFrame, rules: DataFrame, default_include: bool = True) -> DataFrame:
-    """The same decision for rules that are rows: the few rules go to every path, and each path keeps the last that
-    matches. Rules are driver-made and bounded, so they are broadcast."""
-    p = paths.withColumn("_p", normalized(F.col("path")))
+    """The same decision for rules that are rows (:meth:`RuleSet.table`), subtrees and globs: each path keeps the last
+    rule that matches it."""
+    last = F.try_element_at(_hits("_rules", "_p"), F.lit(-1))["include"]
+    return _with_rules(paths, rules).withColumn("is_filtered", ~F.coalesce(last, F.lit(default_include))).drop("_p", "_rules")
+
+
+def files_matching(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """path, source_path: the rules files of which some rule matches a path, each once."""
+    found = F.array_distinct(F.transform(_hits("_rules", "_p"), lambda r: r["source_path"]))
+    return _with_rules(paths, rules).select("path", F.explode(found).alias("source_path"))
+
+
+def _with_rules(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """Paths with their normalized form and all rules in order. Rules come from files that the driver has parsed line by
+    line, so they are few and go to every path as one array."""
     below = F.when(F.endswith("pattern", F.lit("/")), F.col("pattern")).otherwise(F.concat("pattern", F.lit("/")))
-    ordered = rules.where("kind = 'subtree'").agg(F.sort_array(F.collect_list(F.struct("rank", "include", "pattern", below.alias("below")))).alias("rules"))
-    hits = F.filter("rules", lambda r: (F.col("_p") == r["pattern"]) | F.startswith(F.col("_p"), r["below"]))
-    last = F.try_element_at(hits, F.lit(-1))["include"]
-    return p.join(F.broadcast(ordered)).withColumn("is_filtered", ~F.coalesce(last, F.lit(default_include))).drop("_p", "rules")
+    ordered = rules.agg(F.sort_array(F.collect_list(F.struct("rank", "include", "source_path", "pattern", below.alias("below"), "regex"))).alias("_rules"))
+    return paths.withColumn("_p", normalized(F.col("path"))).join(F.broadcast(ordered))
+
+
+def _hits(rules: str, path: str) -> Column:
+    p = F.col(path)
+    return F.filter(rules, lambda r: F.when(r["regex"].isNotNull(), F.rlike(p, r["regex"])).otherwise((p == r["pattern"]) | F.startswith(p, r["below"])))
 
 
 def profiles(files: list[RuleFile]) -> dict[str, list[str]]:
@@ -181,6 +217,20 @@ def profiles(files: list[RuleFile]) -> dict[str, list[str]]:
     return out
 
 
+def profile_names(files: list[RuleFile]) -> list[str]:
+    """The names of all profiles that have files, in order."""
+    return sorted({f.profile for f in files if f.profile})
+
+
+def listed(files: list[RuleFile], include: bool | None = None, text: str = "", profile: str | None = None) -> list[tuple[str, int, str]]:
+    """(file, line, rule) of all rules files, those of a directive, with a text in them, or of a profile alone."""
+    return [
+        (f.path, line.line, line.raw)
+        for f in sorted(files, key=lambda f: f.path) if profile is None or f.profile == profile_name(profile)
+        for line in f.lines if include in (None, line.include) and text.lower() in line.raw.lower()
+    ]
+
+
 def edit(text: str, raw: str, remove: bool = False) -> str:
     """Adds a rule line at the end, or takes out every line with exactly that text; doing it twice changes nothing."""
     lines = text.splitlines()

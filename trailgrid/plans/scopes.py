@@ -26,9 +26,17 @@ class Scope:
         return [x for x in re.split(r"[/\\]", plain.translate(_FOLD)) if x]
 
 
-def in_scope(path: Column, scopes: list[Scope]) -> Column:
-    """Whether a path is in any scope; everything is, if there is none. The test on the text's beginning lets Parquet
-    skip row groups; the one on segments decides."""
+def in_scope(path: Column, scopes: list[Scope], place: Column | None = None) -> Column:
+    """Whether a path is in any scope; everything is, if there is none. ``place``: the stored path in the form of
+    :func:`trailgrid.functions.paths.place`, on whose beginning a scan can skip row groups."""
+    if place is not None:
+
+        def stored(scope: Scope) -> Column:
+            root = "\\".join(scope.parts())
+            below = F.startswith(place, F.lit(root + "\\")) if root else F.lit(True)
+            return (place == root) | below if scope.descendants else place == root
+
+        return any_of([stored(s) for s in scopes], True)
     segs = F.transform(segments(without_verbatim(path)), ascii_lower)
 
     def one(scope: Scope) -> Column:
@@ -50,8 +58,8 @@ def drive_letters(pattern: str, available: list[str] = (), roots: list[str] = ()
         if c.isspace() or c in ",;":
             continue
         if not (c.isascii() and c.isalpha()):
-            raise ValueError(f"Invalid drive letter character at position {i}: '{c}'")
+            raise ValueError(f"{text!r}: {c!r} at position {i} is no drive letter")
         out.append(c.upper())
     if not out:
-        raise ValueError(f"No drive letters found in: '{text}'")
+        raise ValueError(f"{text!r} names no drive")
     return list(dict.fromkeys(out))

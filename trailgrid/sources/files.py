@@ -16,10 +16,26 @@ def rule_files(folder: str) -> list[RuleFile]:
     for name in sorted(os.listdir(folder)):
         if name.endswith(EXTENSION):
             with open(os.path.join(folder, name), encoding="utf-8") as f:
-                out.append(parse_file(os.path.join(folder, name), f.read()))
+                out.append(parse_file(os.path.join(folder, name), f.read(), git_root(folder)))
     return out
 
 
+def git_root(folder: str) -> str | None:
+    """The nearest folder from ``folder`` upwards that holds a repository."""
+    at = os.path.abspath(folder)
+    while not os.path.exists(os.path.join(at, ".git")):
+        if os.path.dirname(at) == at:
+            return None
+        at = os.path.dirname(at)
+    return at
+
+
+def unknown(found: list[RuleFile], known: list[RuleFile]) -> list[RuleFile]:
+    """The files whose paths are not among those that are known already."""
+    have = {f.path for f in known}
+    return [f for f in found if f.path not in have]
+
+
 def walk(spark: SparkSession, root: str) -> DataFrame:
     """path, has_deleted_entries of a live tree, the root first."""
     rows = [(root, False)]
