@@ -55,6 +55,11 @@ def total(extents: DataFrame) -> DataFrame:
     return extents.groupBy("file").agg(F.max_by(F.col("logical_offset") + F.col("length"), F.col("logical_offset")).alias("logical_size"))
 
 
+def totals(paths: DataFrame) -> DataFrame:
+    """n_paths, n_entries of resolved paths (frn, path)."""
+    return paths.agg(F.count("*").alias("n_paths"), F.count_distinct("frn").alias("n_entries"))
+
+
 def containing(probes: DataFrame, extents: DataFrame, bucket: int) -> DataFrame:
     """The extent that holds each probe's position: an as-of search as an equi-join on buckets of ``bucket`` bytes.
     ``probes``: file, probe; ``extents``: file, offset, length, not overlapping."""

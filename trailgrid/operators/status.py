@@ -17,6 +17,11 @@ def summary(ready: DataFrame) -> DataFrame:
     return ready.agg(F.count("*").alias("n_drives"), F.count("ready_at").alias("n_ready"), F.min("ready_at").alias("oldest"), F.max("ready_at").alias("newest"))
 
 
+def by_drive(status: DataFrame) -> DataFrame:
+    """Drives in the order of their letters."""
+    return status.orderBy(F.upper("drive"))
+
+
 def age_seconds(at: Column, now: Column) -> Column:
     """Whole seconds, never below 0."""
     return F.greatest(F.lit(0).cast("long"), F.floor((F.unix_micros(now) - F.unix_micros(at)) / 1_000_000))
@@ -44,13 +49,3 @@ def captured(target: Column, level: Column, prefix: str, noisy: list[str] = ())
 def correlated(log: DataFrame, correlation_id: str) -> DataFrame:
     """Events of one request."""
     return log.where(F.col("correlation_id") == correlation_id)
-
-
-def columns(values: list[str], width: int) -> list[str]:
-    """Values laid out in columns, filled downwards, as lines of at most ``width``."""
-    if not values:
-        return []
-    cell = max(map(len, values)) + 2
-    n = max(1, width // cell)
-    rows = -(-len(values) // n)
-    return ["".join(values[r + c * rows].ljust(cell) for c in range(n) if r + c * rows < len(values)).rstrip() for r in range(rows)]
