@@ -6,12 +6,13 @@ from hypothesis import strategies as st
 
 from trailgrid.functions.globs import to_regex
 from trailgrid.plans.querylang import Rule, parse
-from trailgrid.plans.rules import edit, normalize, parse_file, profiles, resolve
+from trailgrid.plans.rules import edit, listed, normalize, parse_file, profile_name, profile_names, profiles, resolve
 from trailgrid.plans.scopes import drive_letters
+from trailgrid.sources import files
 
 
 def test_rules_of_a_query():
-    assert parse(["Flower .JAR>"]) == [[Rule("contains", "flower"), Rule("suffix", ".jar")]]
+    assert parse(["Ledger .XLS>"]) == [[Rule("contains", "ledger"), Rule("suffix", ".xls")]]
     assert parse(["<a|<b>", "<>"]) == [[Rule("prefix", "a")], [Rule("exact", "b")], [Rule("all")]]
     assert parse(["   "]) == [[Rule("contains", "   ")]]
     assert parse([r"C:\ x"])
@@ -62,6 +63,22 @@ def test_rule_files():
     assert edit(edit("A\n", "B"), "B") == "A\nB\n" and edit("A\nB\n", "A", remove=True) == "B\n"
 
 
+def test_profiles_listings_and_repositories(tmp_path):
+    assert profile_name(" Default ") is None and profile_name("") is None and profile_name(" work ") == "work"
+    for bad in ("a.b", "a/b", "a:b", "a\x01"):
+        with pytest.raises(ValueError):
+            profile_name(bad)
+    kept, hidden = parse_file("C:/r/a.trail_rules", "EXCLUDE C:\\x\nINCLUDE C:\\y\n"), parse_file("C:/$Recycle.Bin/9/b.trail_rules", "EXCLUDE C:\\z\n")
+    assert [m.pattern for m in resolve([kept, hidden]).matchers] == ["c:/x", "c:/y"] and len(resolve([kept, hidden], ignore=[]).matchers) == 3
+    assert listed([kept], include=True) == [("C:/r/a.trail_rules", 2, "INCLUDE C:\\y")] and len(listed([kept], text="c:\\")) == 2
+    assert listed([kept], profile="work") == [] and profile_names([kept, parse_file("C:/r/b.home.trail_rules", "")]) == ["home"]
+    (tmp_path / "repo" / ".git").mkdir(parents=True)
+    (tmp_path / "repo" / "rules").mkdir()
+    (tmp_path / "repo" / "rules" / "a.trail_rules").write_text("INCLUDE {GIT_ROOT}/docs\n")
+    (found,) = files.rule_files(str(tmp_path / "repo" / "rules"))
+    assert resolve([found]).matchers[0].pattern == f"{tmp_path}/repo/docs".lower() and files.unknown([found, kept], [kept]) == [found]
+
+
 def test_paths_and_drives():
     assert normalize(r"C:\A\..\b\.\C\\") == "c:/b/c" and normalize("C:\\") == "c:/"
     assert drive_letters("C,D;E Fc") == ["C", "D", "E", "F"] and drive_letters("*", ["Z"], [r"G:\a", "g:/b", "C:"]) == ["G", "C"]

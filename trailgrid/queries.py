@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailgrid import corpora as C
+from trailgrid import storage
 from trailgrid.functions import paths as P
 from trailgrid.operators import extents as E
 from trailgrid.operators import index as X
 from trailgrid.operators import journal as J
+from trailgrid.operators import live as V
 from trailgrid.operators import overlay as O
 from trailgrid.operators import resolve as R
 from trailgrid.operators import status as S
-from trailgrid.plans.engine import QueryPlan, run
+from trailgrid.plans.engine import QueryPlan, Session, run
 from trailgrid.plans.querylang import parse, predicate
-from trailgrid.plans.rules import last_match_join, parse_file, profiles, resolve
+from trailgrid.plans.rules import files_matching, last_match_join, parse_file, profiles, resolve
 from trailgrid.plans.scopes import Scope, in_scope
+from trailgrid.plans.search import search
+from trailgrid.sources import image, mft, usn
 
 _ALL: dict[str, tuple[Callable, str | None]] = {}
 
@@ -92,14 +97,43 @@ _rules("rules_default_exclude", r"not regexp_matches(lower(path), '^d:\\(src5|sr
 
 @_add("rules_as_rows", f"select path, has_deleted_entries, {_LAST} as is_filtered from {C.DOCS}")
 def rules_as_rows(s, d) -> DataFrame:
-    return last_match_join(C.docs(s, d), resolve(_RULES[:1]).table(s).where("kind = 'subtree'").unionByName(resolve(_RULES[:1]).table(s).where("kind = 'none'"))).withColumn(
-        "is_filtered", F.when(P.normalized(F.col("path")).rlike(r"^d:/src1/en/doc_1.*\.txt$"), F.lit(True)).otherwise(F.col("is_filtered"))
-    )
+    return last_match_join(C.docs(s, d), resolve(_RULES[:1]).table(s))
+
+
+_GLOBS = [parse_file(r"D:\rules\g.trail_rules", "EXCLUDE D:\\**\\doc_?.txt\nINCLUDE D:\\src[0-3]\\**\n")]
+
+
+@_add("rules_as_rows_globs", rf"select path, has_deleted_entries, regexp_matches(lower(path), '^d:\\(.*\\)?doc_.\.txt$') and not regexp_matches(lower(path), '^d:\\src[0-3]\\.+$') as is_filtered from {C.DOCS}")
+def rules_as_rows_globs(s, d) -> DataFrame:
+    return last_match_join(C.docs(s, d), resolve(_GLOBS).table(s))
 
 
-@_add("profiles_grouped", "select * from (values ('default', 'D:\\rules\\a.trail_rules'), ('work', 'D:\\rules\\b.work.trail_rules')) as t(profile, path)")
+@_add("rule_files_matching", rf"""select path, 'D:\rules\a.trail_rules' as source_path from {C.DOCS} where starts_with(lower(path), 'd:\src1\')
+ union all select path, 'D:\rules\b.work.trail_rules' from {C.DOCS} where regexp_matches(lower(path), '^d:\\src2\\(.*\\)?doc_.5.*\.txt$')""")
+def rule_files_matching(s, d) -> DataFrame:
+    return files_matching(C.docs(s, d), resolve(_RULES, "work").table(s))
+
+
+@_add("overlay_drives", rf"""select 'E' as drive, path, bool_or(has_deleted_entries) as has_deleted_entries, false as is_filtered from {C.PARTS} where ends_with({C.TERM}, '.git') group by path""")
+def overlay_drives(s, d) -> DataFrame:
+    both = X.build(C.docs(s, d).unionByName(C.parts(s, d)), P.drive(F.col("path")))
+    return Session(both, C.overlay(s, d)).query(QueryPlan((".git>",), drives="E", include_deleted=True))
+
+
+@_add("drive_list_order", f"""select drive, path, has_deleted_entries, false as is_filtered from (select *, row_number() over (order by k, path) as n from (
+ select 1 as k, 'E' as drive, path, bool_or(has_deleted_entries) as has_deleted_entries from {C.PARTS} where ends_with({C.TERM}, '.tar.gz') group by path
+ union all select 2, 'D', path, has_deleted_entries from {C.DOCS} where ends_with({C.TERM}, '7.txt'))) where n <= 60""")
+def drive_list_order(s, d) -> DataFrame:
+    both = X.build(C.docs(s, d).unionByName(C.parts(s, d).groupBy("path").agg(F.max("has_deleted_entries").alias("has_deleted_entries"))), P.drive(F.col("path")))
+    return run(both, QueryPlan((".tar.gz>|7.txt>",), drives="ED", include_deleted=True, limit=60), order=["path"])
+
+
+@_add("profiles_grouped", r"""select coalesce(n_name, 'default') as profile, 'D:\rules\r' || r_regionkey || case when r_regionkey % 2 = 0 then '' else '.' || lower(r_name) end || '.trail_rules' as path
+ from region left join (select r_regionkey as k, lower(r_name) as n_name from region where r_regionkey % 2 = 1) on k = r_regionkey""")
 def profiles_grouped(s, d) -> DataFrame:
-    return s.createDataFrame([(k, x) for k, v in profiles(_RULES).items() for x in v], "profile string, path string")
+    names = [(r["r_regionkey"], r["r_name"].lower()) for r in C.table(s, d, "region").collect()]
+    files = [parse_file(rf"D:\rules\r{k}{f'.{name}' if k % 2 else ''}.trail_rules", "EXCLUDE D:\\x\n") for k, name in names]
+    return s.createDataFrame([(k, x) for k, v in profiles(files).items() for x in v], "profile string, path string")
 
 
 @_add("overlay_resolved", f"select path, coalesce(o.has_deleted_entries, b.has_deleted_entries) as has_deleted_entries from {C.DOCS} b full join {C.OVERLAY} o using (path) where not coalesce(o.has_deleted_entries, b.has_deleted_entries)")
@@ -231,37 +265,70 @@ def needle_counts(s, d) -> DataFrame:
     return X.needle_counts(rows, {k: predicate(parse([q]), segs, P.terminal(segs)) for k, q in (("gizmo", "gizmo"), ("jar", ".jar>"))})
 
 
-def _numbered(s, d) -> DataFrame:
-    return X.numbered(X.build(C.parts(s, d), P.drive(F.col("path"))))
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def _stored(s, d) -> X.Stored:
+    """The stored index of all parts; written by the first query of a session that asks for it."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _indexes:
+        path = storage.fresh(s, "index")
+        X.write(X.build(C.parts(s, d), P.drive(F.col("path"))), path)
+        _indexes[key] = path
+    return X.stored(s, _indexes[key])
 
 
 _NUMBERED = rf"(select path, cast(row_number() over (order by path, has_deleted_entries) - 1 as bigint) as row_index, {C.SEGS} as segs, {C.TERM} as term from {C.PARTS})"
 
 
+def _search(name: str, where: str, *text: str, **more) -> None:
+    """A query of text over the stored index of parts."""
+    plan = QueryPlan(tuple(text), include_deleted=True, **more)
+    _ALL[name] = (lambda s, d: search(_stored(s, d), plan), f"select 'E' as drive, path, has_deleted_entries, false as is_filtered from {C.PARTS} where {where}")
+
+
+_search("index_contains", _any("contains(s, 'gizmo')"), "GIZMO")
+_search("index_prefix", _any("starts_with(s, 'stand')"), "<stand")
+_search("index_exact", f"{C.TERM} = 'bolt.git' or {_any("contains(s, 'widget')")} and ends_with({C.TERM}, '.git')", "<bolt.git>|widget .git>")
+_search("index_suffix", f"regexp_extract({C.TERM}, '(\\.[^.]+)$', 1) = '.jar'", ".jar>", compat="index")
+_search("index_groups", f"({_any("contains(s, 'bolt')")} and ends_with({C.TERM}, '.txt')) or {_any("starts_with(s, 'promo')")} or regexp_extract({C.TERM}, '(\\.[^.]+)$', 1) = '.gz'", "bolt .txt>|<promo", ".gz>", compat="index")
+_search("index_short_needle", _any("contains(s, 'zm')"), "zm")
+_search("index_scope", rf"starts_with(lower(path), 'e:\brand#1\') or starts_with(lower(path), 'e:\brand#23\')", "<>", scopes=(Scope("e:/BRAND#1"), Scope("E:\\Brand#23\\")))
+
+
 @_add("segment_postings", f"select segment, count(*) as n, cast(sum(row_index) as bigint) as rows from (select row_index, unnest(list_distinct(segs)) as segment from {_NUMBERED}) group by 1")
 def segment_postings(s, d) -> DataFrame:
-    return X.segment_postings(_numbered(s, d)).groupBy("segment").agg(F.count("*").alias("n"), F.sum("row_index").alias("rows"))
+    return _stored(s, d).postings.groupBy("segment").agg(F.count("*").alias("n"), F.sum("row_index").alias("rows"))
 
 
 @_add("extension_postings", f"select regexp_extract(term, '(\\.[^.]+)$', 1) as ext, row_index from {_NUMBERED} where regexp_extract(term, '(\\.[^.]+)$', 1) <> ''")
 def extension_postings(s, d) -> DataFrame:
-    return X.suffix_postings(_numbered(s, d))
+    return X.suffix_postings(_stored(s, d).rows)
 
 
 @_add("trigram_candidates", f"select distinct segment from (select unnest(segs) as segment from {_NUMBERED}) where contains(segment, 'widget')")
 def trigram_candidates(s, d) -> DataFrame:
-    return X.trigram_candidates(_numbered(s, d), "WIDGET")
+    return X.trigram_candidates(_stored(s, d), "WIDGET")
 
 
 @_add("trigram_rows", f"select distinct row_index from {_NUMBERED} where {_any("contains(s, 'widget')")}")
 def trigram_rows(s, d) -> DataFrame:
-    n = _numbered(s, d)
-    return X.rows_of_segments(n, X.trigram_candidates(n, "widget"))
+    n = _stored(s, d)
+    return X.rows_of_segments(n, X.trigram_candidates(n, "widget")).select("row_index")
 
 
-@_add("index_violations", "select path from pages, (select url as path from pages) where false")
+@_add("index_violations", f"""select 'columns' as kind, 'E' as drive, row_index, cast(null as varchar) as segment from {_NUMBERED} where row_index % 50 = 7
+ union all select 'no posting', 'E', row_index, segment from (select row_index, unnest(list_distinct(segs)) as segment from {_NUMBERED}) where row_index % 40 = 3
+ union all select 'no row', 'E', row_index + 1000000000, segment from (select row_index, unnest(list_distinct(segs)) as segment from {_NUMBERED}) where row_index % 60 = 5
+ union all select 'no trigram', null, null, segment from (select distinct unnest(segs) as segment from {_NUMBERED}) where length(segment) between 3 and 6
+ union all select 'no segment', null, null, 'ghost'""")
 def index_violations(s, d) -> DataFrame:
-    return X.violations(X.build(C.docs(s, d), P.drive(F.col("path")))).select("path")
+    """An index with damage of every kind."""
+    n = _stored(s, d)
+    rows = n.rows.withColumn("term", F.when(F.col("row_index") % 50 == 7, F.lit("?")).otherwise(F.col("term")))
+    more = n.postings.where("row_index % 60 = 5").withColumn("row_index", F.col("row_index") + 1_000_000_000)
+    grams = n.trigrams.where("length(segment) not between 3 and 6").unionByName(s.createDataFrame([("67686F", "ghost")], "trigram string, segment string"))
+    return X.violations(X.Stored(rows, n.postings.where("row_index % 40 <> 3").unionByName(more), grams))
 
 
 @_add("parent_of_match", f"select distinct array_to_string(list_slice(string_split(path, '\\'), 1, -2), '\\') as parent from {C.DOCS} where ends_with({C.TERM}, '7.txt')")
@@ -328,6 +395,171 @@ def reference_parts(s, d) -> DataFrame:
     return C.table(s, d, "orders").select(frn.alias("frn")).select("frn", P.record_number(F.col("frn")).alias("record"), P.sequence_number(F.col("frn")).alias("sequence"))
 
 
+def _drives(s, d) -> DataFrame:
+    """A checkpoint and a journal's cursor for each of ten drives, from the events of ten users each."""
+    e = C.table(s, d, "events")
+    per = e.groupBy((F.col("user_id") % 10).alias("k")).agg(F.min("event_id").alias("low"), F.max("event_id").alias("high"), F.count("*").alias("n"))
+    return per.withColumn("drive", F.char(F.col("k") + 67))
+
+
+_DRIVES = "(select chr(cast(67 + user_id % 10 as integer)) as drive, user_id % 10 as k, min(event_id) as low, max(event_id) as high, count(*) as n from events group by all)"
+_STATE = "case k % 5 when 1 then 'no journal' when 2 then 'new journal' when 3 then 'gap' when 4 then 'ahead' else 'ok' end"
+
+
+def _continuity(s, d) -> DataFrame:
+    per, k = _drives(s, d), F.col("k") % 5
+    checkpoints = per.select("drive", F.lit(7).cast("long").alias("journal_id"), (F.col("low") + F.when(k == 3, -1).otherwise(1)).alias("snapshot_usn"), (F.col("high") + F.when(k == 4, 2).otherwise(0)).alias("next_usn"))
+    cursors = per.select("drive", F.when(k == 1, F.lit(None)).when(k == 2, 8).otherwise(7).cast("long").alias("journal_id"), F.col("low").alias("lowest_valid_usn"), (F.col("high") + 1).alias("next_usn"))
+    return V.continuity(checkpoints, cursors)
+
+
+@_add("journal_continuity", f"select drive, {_STATE} as state from {_DRIVES}")
+def journal_continuity(s, d) -> DataFrame:
+    return _continuity(s, d)
+
+
+@_add("journals_active", f"select drive, n from {_DRIVES} where k % 3 <> 0")
+def journals_active(s, d) -> DataFrame:
+    return V.journals(_drives(s, d).withColumn("journal_id", F.when(F.col("k") % 3 != 0, F.col("low"))), active=True).select("drive", "n")
+
+
+@_add("drives_dirty", f"select drive, high - case when k % 2 = 0 then high - k else 0 end as behind from {_DRIVES} where k <> 0")
+def drives_dirty(s, d) -> DataFrame:
+    state = _drives(s, d).select("drive", F.col("high").alias("current_next_usn"), F.when(F.col("k") % 2 == 0, F.col("high") - F.col("k")).alias("published_last_usn"))
+    return V.dirty(state)
+
+
+@_add("served_with_fallback", f"""select x.drive, n_name as path, false as has_deleted_entries, case when {_STATE} <> 'ok' then {_STATE} end as degraded from {_DRIVES} x join (
+ select chr(67 + n_nationkey % 10) as drive, n_name, n_nationkey from nation) y on x.drive = y.drive where ({_STATE} = 'ok') = (n_nationkey % 3 <> 0)""")
+def served_with_fallback(s, d) -> DataFrame:
+    n = C.table(s, d, "nation").select(F.char(F.col("n_nationkey") % 10 + 67).alias("drive"), F.col("n_name").alias("path"), F.lit(False).alias("has_deleted_entries"), "n_nationkey")
+    return V.served(n.where("n_nationkey % 3 <> 0").drop("n_nationkey"), n.where("n_nationkey % 3 = 0").drop("n_nationkey"), _continuity(s, d))
+
+
+def _moves(s, d) -> tuple[DataFrame, DataFrame]:
+    """Events of files in ten folders, of which every tenth user's events rename a folder instead; and the folders."""
+    u, e = F.col("user_id"), F.col("event_id")
+    is_folder = u % 10 == 0
+    j = C.journal(s, d).join(C.table(s, d, "events").select(F.col("event_id").alias("usn"), "user_id", "event_id"), "usn")
+    events = j.select(
+        F.when(is_folder, 100 + F.floor(u / 10) % 10).otherwise(u + 1000).cast("long").alias("frn"), F.when(is_folder, 5).otherwise(100 + u % 10).cast("long").alias("parent_frn"), "usn", "reason", "file_attributes",
+        F.when(is_folder, F.concat(F.lit("e"), (e % 3).cast("string"))).otherwise(F.col("name")).alias("name"),
+    )
+    base = s.range(100, 110).select(F.col("id").alias("frn"), F.lit(5).cast("long").alias("parent_frn"), F.concat(F.lit("d"), F.col("id").cast("string")).alias("name"))
+    return events, base
+
+
+_MOVES = f"""with t as (select * from {C.JOURNAL} j join (select event_id, user_id from events) e on e.event_id = j.usn where {_TOPO}),
+ f as (select usn, user_id % 10 as k, (user_id // 10) % 10 as folder, user_id, name, event_id from t),
+ folders as (select folder, 'e' || (event_id % 3) as name, min(usn) as since from f where k = 0 group by all union all select range, 'd' || (100 + range), -1 from range(10)),
+ files as (select user_id, k, name, min(usn) as since from f where k <> 0 group by all),
+ paths as (select f.usn, 'C:\\' || o.name as path from f join folders o on f.k = 0 and o.folder = f.folder and o.since <= f.usn
+  union select f.usn, 'C:\\' || o.name || '\\' || l.name from f join files l on f.k <> 0 and l.user_id = f.user_id and l.since <= f.usn join folders o on o.folder = l.k and o.since <= f.usn)"""
+
+
+@_add("observed_paths", f"{_MOVES} select usn, count(*) as n_paths, string_agg(path, '|' order by path) as paths from paths group by usn".replace("\\\\", "\\"))
+def observed_paths(s, d) -> DataFrame:
+    seen = V.observed(*_moves(s, d), "C:\\")
+    return seen.select("usn", F.size("projected_paths").cast("long").alias("n_paths"), F.array_join("projected_paths", "|").alias("paths"))
+
+
+@_add("observed_in_scope", f"{_MOVES} select distinct usn from paths where starts_with(path, 'C:\\d103\\') or path = 'C:\\d103' or starts_with(path, 'C:\\e1\\') or path = 'C:\\e1'".replace("\\\\", "\\"))
+def observed_in_scope(s, d) -> DataFrame:
+    return V.within(V.observed(*_moves(s, d), "C:\\"), [Scope("c:/D103"), Scope("C:\\e1")]).select("usn")
+
+
+@_add("usn_records", f"select usn % 2 + 2 as version, count(*) as n, cast(sum(frn * 7 + parent_frn) as bigint) as ids, cast(sum(reason) as bigint) as reasons, string_agg(distinct name, ',' order by name) as names from {C.JOURNAL} group by 1")
+def usn_records(s, d) -> DataFrame:
+    """Events written as journal buffers of two versions, and read back."""
+    rows = C.journal(s, d).withColumn("version", F.col("usn") % 2 + 2).withColumn("part", F.floor(F.col("usn") / 1000))
+    grouped = rows.groupBy("version", "part").agg(F.sort_array(F.collect_list(F.struct("usn", "frn", "parent_frn", "reason", "file_attributes", "name"))).alias("events"))
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = [usn.encode([(e["frn"], e["parent_frn"], e["usn"], e["reason"], e["file_attributes"], e["name"]) for e in events], v) for v, events in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["buffer"])
+
+    read = usn.events(storage.written(grouped.select("version", "events").mapInArrow(pack, "buffer binary"), "buffers"))
+    return read.groupBy((F.col("usn") % 2 + 2).alias("version")).agg(
+        F.count("*").alias("n"), F.sum(F.col("frn") * 7 + F.col("parent_frn")).alias("ids"), F.sum("reason").alias("reasons"), F.array_join(F.sort_array(F.collect_set("name")), ",").alias("names")
+    )
+
+
+def _image(s, d) -> tuple[DataFrame, DataFrame]:
+    """A file table of all customers on a device: its run list's extents and the device's chunks. Blocks of 16 records
+    lie in another order than in the file, and the last one of each 64 is followed by a hole."""
+    c = C.table(s, d, "customer").select(F.col("c_custkey").alias("entry_id"), (F.col("c_nationkey") + 1000).cast("long").alias("parent"), F.col("c_name").alias("name"), (F.col("c_custkey") % 9 == 4).alias("dead"))
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            cells = zip(*(x.to_pylist() for x in batch.columns[1:]), strict=True)
+            raw = [mft.pack_record([(p, 1, name), (p + 1, 2, name[:8])], flags=0 if dead else 1) for p, name, dead in cells]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["entry_id", "record"])
+
+    n = C.table(s, d, "customer").count()
+    blocks = -(-n // 16)
+    step = next(k for k in range(7919, 7919 + 2 * blocks) if math.gcd(k, blocks) == 1)
+    block = F.floor(F.col("entry_id") / 16)
+    place = (block * step % blocks) * 16 + F.col("entry_id") % 16
+    raw = c.mapInArrow(pack, "entry_id long, record binary")
+    device = image.snapshot(raw.select(F.lit(0).alias("file"), (place * 1024).alias("logical_offset"), F.col("record").alias("data")), 65536)
+    device = storage.written(device.select(F.col("block").alias("chunk"), "data"), "device")
+    runs, at = [], 0
+    for k in range(blocks):
+        first = (k * step % blocks) * 4  # clusters of 4096 bytes
+        runs.append((-(-min(16, n - 16 * k) // 4), first - at))
+        at = first
+    extents = s.createDataFrame([(0, i, a, b) for i, (a, b) in enumerate(mft.run_list(mft.pack_run_list(runs)))], "file int, run_no int, clusters long, delta long")
+    extents = E.runs_to_extents(extents, 4096)
+    whole = extents.withColumn("length", F.least("length", F.lit(n * 1024) - F.col("logical_offset")))
+    return whole, device
+
+
+@_add("mft_links", "select c_custkey as frn, cast(c_nationkey + 1000 + k as bigint) as parent_frn, cast(k + 1 as integer) as namespace, case when k = 0 then c_name else substr(c_name, 1, 8) end as name, c_custkey % 9 = 4 as is_deleted from customer, (select unnest([0, 1]) as k)")
+def mft_links(s, d) -> DataFrame:
+    extents, device = _image(s, d)
+    records = image.fixed_records(image.reassembled(extents, device, 65536), 1024)
+    return mft.read_links(mft.decoded(records.select("entry_id", "record"))).select("frn", "parent_frn", "namespace", "name", "is_deleted")
+
+
+@_add("mft_fixups", "select 'applied' as state, count(*) as n from customer")
+def mft_fixups(s, d) -> DataFrame:
+    extents, device = _image(s, d)
+    return mft.fixup_counts(mft.decoded(image.fixed_records(image.reassembled(extents, device, 65536), 1024)))
+
+
+@_add("mft_read_plan", "select cast(0 as integer) as file, cast(ceil(count(*) / 16.0) as bigint) as n_reads, count(*) * 1024 as n_bytes from customer")
+def mft_read_plan(s, d) -> DataFrame:
+    extents, _ = _image(s, d)
+    return image.bytes_read(image.read_plan(extents, 16384))
+
+
+@_add("path_totals", f"{_PATHS} select count(*) as n_paths, count(distinct frn) as n_entries from p".replace("\\\\", "\\"))
+def path_totals(s, d) -> DataFrame:
+    return E.totals(R.resolve(C.links(s, d), "C:\\"))
+
+
+@_add("time_texts", "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || case when microsecond(ts) % 1000000 = 0 then '' else rtrim('.' || lpad(cast(microsecond(ts) % 1000000 as varchar), 6, '0'), '0') end || 'Z' as at, epoch_us(ts) // 1000 as ms from events")
+def time_texts(s, d) -> DataFrame:
+    return C.table(s, d, "events").select("event_id", P.rfc3339(F.col("ts").cast("timestamp")).alias("at"), P.unix_ms(F.col("ts").cast("timestamp")).alias("ms"))
+
+
+@_add("low_file_ids", "select o_orderkey, o_orderkey * 1000003 - 5000000000 as low from orders")
+def low_file_ids(s, d) -> DataFrame:
+    low = F.lpad(F.hex(F.col("o_orderkey") * 1000003 - 5_000_000_000), 16, "0")
+    little = F.array_join(F.reverse(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substring(low, i * 2 + 1, F.lit(2)))), "")
+    return C.table(s, d, "orders").select("o_orderkey", P.low_file_id(F.unhex(F.concat(little, F.lit("00" * 7 + "2A")))).alias("low"))
+
+
+@_add("drives_sorted", f"select drive, n from {_DRIVES} order by drive")
+def drives_sorted(s, d) -> DataFrame:
+    return S.by_drive(_drives(s, d).select("drive", "n"))
+
+
 def queries() -> dict[str, Callable]:
     """By name."""
     return {k: f for k, (f, _) in _ALL.items()}
