@@ -202,9 +202,14 @@ def accepted(documents: DataFrame) -> DataFrame:
     schema = documents.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tidy()
-        for batch in batches:
-            (judged,) = run(iter([pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("text"))], ["text"])]))
-            yield batch.filter(pa.array([not x for x in judged.column(2).to_pylist()], pa.bool_()))
+        own: list[pa.RecordBatch] = []
+
+        def texts() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own.append(batch)
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("text"))], ["text"])
+
+        for judged in run(texts()):  # a batch for each batch, with one word table for the task
+            yield own.pop().filter(pa.array([not x for x in judged.column(2).to_pylist()], pa.bool_()))
 
     return documents.mapInArrow(keep, schema)

@@ -5,23 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labels that can be told apart; a column with more distinct values is no label.
+#: Labels that are learned, the most frequent ones, and bytes of text of all of them together.
 MOST_LABELS = 1000
+BYTES = 64_000_000
 
 
 def labelled_sample(rows: DataFrame, per_label: int, bytes_per_label: int, seed: int = 7) -> list[tuple[object, str]]:
-    """(label, text) of about ``per_label`` rows and at most about ``bytes_per_label`` of text for each label.
+    """(label, text) of about ``per_label`` rows and at most about ``bytes_per_label`` of text for each label, of the
+    ``MOST_LABELS`` most frequent labels, and at most about ``BYTES`` of text in all.
 
     ``rows``: label, doc_id, text, none of them null. A row is in or out by a hash of its id and the rate of its
     label, so the sample is the same in every run and is found without a shuffle of texts.
     """
     size = F.octet_length("text").cast("long")
-    found = rows.groupBy("label").agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).limit(MOST_LABELS + 1).collect()
-    if len(found) > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels")
+    found = rows.groupBy("label").agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).orderBy(F.desc("n"), "label").limit(MOST_LABELS).collect()
     if not found:
         return []
-    rate = [(r["label"], float(min(1.0, per_label / r["n"], bytes_per_label / max(1, r["bytes"])))) for r in found]
+    most = min(bytes_per_label, BYTES / len(found))
+    rate = [(r["label"], float(min(1.0, per_label / r["n"], most / max(1, r["bytes"])))) for r in found]
     rates = rows.sparkSession.createDataFrame(rate, f"label {rows.schema['label'].dataType.simpleString()}, rate double")
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11).cast("double") / float(1 << 53)
     taken = rows.join(F.broadcast(rates), "label").withColumn("draw", draw).where("draw < rate").select("label", "draw", "text")
