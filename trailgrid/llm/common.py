@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -13,25 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trailgrid.storage import delete, fresh, shared_folder  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the given directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is
-    unset and the master is local."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or _own_folders.get(spark.sparkContext.applicationId)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = _own_folders[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="trailgrid-")
-    return found.rstrip("/")
-
-
-_own_folders: dict[str, str] = {}
+#: Places of the tables that this driver has written and not deleted.
+_made: list[str] = []
 
 
 def written(df: DataFrame, label: str, compression: str = "snappy", files: int | None = None) -> DataFrame:
@@ -39,16 +28,23 @@ def written(df: DataFrame, label: str, compression: str = "snappy", files: int |
     decided in it stays as it is if an executor is lost. ``files``: at most so many, for tables that are known to be
     small. :func:`drop_written` deletes them all."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/trailgrid/{label}-{uuid.uuid4().hex}"
+    path = fresh(spark, label)
+    _made.append(path)
     (df.coalesce(files) if files else df).write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession) -> None:
-    """Deletes every table that :func:`written` left in the shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/trailgrid")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop_written(spark: SparkSession, since: int = 0) -> int:
+    """Deletes the tables that :func:`written` has made, but for the first ``since`` of them; returns how many are left.
+    What still reads them must have been written elsewhere."""
+    while len(_made) > since:
+        delete(spark, _made.pop())
+    return len(_made)
+
+
+def made() -> int:
+    """How many tables there are, for :func:`drop_written`."""
+    return len(_made)
 
 
 def bases(counts: Iterable[tuple[int, int]]) -> dict[int, int]:
