@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from trailgrid.llm import audio, fixity, langid, mixing, neardup, packing, queries, sharding, token_file, topk, toxicity
+from trailgrid.llm import audio, fixity, langid, mixing, neardup, packing, queries, samples, sharding, token_file, topk, toxicity
 from trailgrid.llm.tokens import Encoder, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -439,6 +439,52 @@ def test_languages():
     assert out.column("lang_pred").to_pylist() == ["aa", "bb", "und", "und"] and out.column("rejected").to_pylist()[2:] == [True, True]
 
 
+def test_language_scores_against_brute_force():
+    """Every subword by itself: its bucket, the mean of the logits, the softmax."""
+    rng = np.random.default_rng(12)
+    model = langid.Model(["a", "b", "c"], rng.normal(size=(langid.BUCKETS, 3)).astype(np.float32), temperature=0.7)
+    texts = ["Das ist ein Test", "a", "été où ça", "x1y 22 zz", "İstanbul ΣΑΣ", "word " * 400]
+    p = model.scores(langid._averages(model, langid.WordTable(model.word_rows), [langid.words(x) for x in texts]))
+    mask = (1 << 64) - 1
+    for text, got in zip(texts, p, strict=True):
+        total, n = np.zeros(3), 0
+        for word in langid.words(text):
+            marked = f"<{word}>"
+            for size in (2, 3, 4):
+                for at in range(len(marked) - size + 1):
+                    h = 0
+                    for k, c in enumerate(marked[at : at + size]):
+                        h = (h * 0x100000001B3 + ord(c) + k + 1) & mask
+                    total += model.logits[((h ^ h >> 29) * 0x9E3779B97F4A7C15 & mask) >> 49]
+                    n += 1
+        z = np.exp(total / n / 0.7)
+        assert np.abs(z / z.sum() - got).max() < 1e-4
+
+
+def test_languages_that_were_not_learned_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null and lang is not null").orderBy("doc_id").collect()
+    held = [r for r in docs if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    model = langid.train([(r["lang"], r["text"]) for r in docs if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1])
+    table = langid.WordTable(model.word_rows)
+    score = lambda texts: model.scores(langid._averages(model, table, [langid.words(x) for x in texts]))
+    p = score([r["text"] for r in held])
+    assert np.mean([model.labels[i] == r["lang"] for i, r in zip(p.argmax(axis=1), held, strict=True)]) > 0.99
+    assert np.mean(p.max(axis=1) < model.threshold) <= 0.01
+    rng = random.Random(2)
+    junk = [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(3, 9))) for _ in range(k)) for k in (40, 200)]
+    other = ["tämä on suomenkielinen lause jossa on monta sanaa ja se kertoo talosta järven rannalla missä kalat uivat hitaasti", "это предложение написано по русски и содержит много слов о доме на берегу озера"]
+    assert (score(junk + other).max(axis=1) < model.threshold).all()
+
+
+def test_samples_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(samples, "MOST_LABELS", 3)
+    monkeypatch.setattr(samples, "BYTES", 3000)
+    rows = spark.createDataFrame([(f"l{k}", i, "x" * 50) for k in range(6) for i in range(100 - 10 * k)], "label string, doc_id long, text string")
+    got = samples.labelled_sample(rows, 1000, 10**6)
+    assert {label for label, _ in got} == {"l0", "l1", "l2"} and 0 < sum(len(t) for _, t in got) < 6000
+    assert got == samples.labelled_sample(rows.repartition(3), 1000, 10**6)
+
+
 def test_toxicity_stands_put_in_letters_and_finds_every_insult():
     rng = random.Random(3)
     common = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(400)]
