@@ -1,14 +1,19 @@
-"""A corpus pipeline of five stages over ``documents``: each stage reads what its predecessor wrote."""
+"""A corpus pipeline of five stages over ``documents``: each stage reads what its predecessor wrote.
 
-from __future__ import annotations
+Odd inputs: documents without a letter, null and empty texts among them, go with the first stage. Null ids, labels,
+sources and languages stay as they are; a null id is larger than others where the least one names a class. Rows that are
+alike in every column are one document to near-duplicate detection, like other copies. Very long texts are read whole. Columns
+beside those of documents are carried up to packing. An empty table gives an empty result.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from trailgrid.llm import langid, mixing, neardup, packing, toxicity
-from trailgrid.llm.common import shared_folder, table
+from trailgrid.llm.common import drop_written, made, table
 from trailgrid.llm.tokens import tokenizer_path
+from trailgrid.storage import delete, fresh
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +49,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``, each written as Parquet in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        path = f"{shared_folder(spark)}/trailgrid/pipeline-{uuid.uuid4().hex}/{k}-{name}"
+        before, path = made(), fresh(spark, f"pipeline-{k}-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        drop_written(spark, before)  # what the stage needed on its way
+        if last:
+            delete(spark, last)
+        last = path
     return docs
