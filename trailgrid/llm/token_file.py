@@ -117,7 +117,8 @@ def read_documents(blocks: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 ids = decode_levels(list(zip(row["chunks"], row["bitmaps"], row["ranks"], strict=True)))
-                assert len(ids) == row["n_tokens"] == sum(row["lengths"])
+                if not len(ids) == row["n_tokens"] == sum(row["lengths"]):
+                    raise ValueError(f"shard {row['shard']}, block {row['block']}: {len(ids)} ids, {row['n_tokens']} were written")
                 raw, ends = ids.tobytes(), np.cumsum(row["lengths"])
                 starts = ends - row["lengths"]
                 crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
