@@ -187,6 +187,27 @@ def test_paths_as_of_each_event(spark):
     assert sorted(r["usn"] for r in V.within(V.observed(spark.createDataFrame(rows, EVENTS), base, "C:\\"), [Scope("c:/sound")]).collect()) == [3, 4]
 
 
+def test_watch_sees_paths_and_keeps_links(spark, tmp_path):
+    base = spark.createDataFrame([(10, 5, "music")], "frn long, parent_frn long, name string")
+    folder, seen = str(tmp_path / "in"), []
+    see = lambda df: seen.extend((r["usn"], r["projected_paths"]) for r in df.collect())
+    for k, rows in enumerate([[(11, 10, 1, 0x100, 32, "song")], [(10, 5, 2, 0x2000, 16, "sound"), (11, 10, 3, 0x1, 32, "song")], [(11, 10, 4, 0x200, 32, "song")]]):
+        spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(folder)
+        scopes = [Scope("C:\\sound")] if k == 2 else None
+        SJ.watch(SJ.read_events(spark, folder), base, "C:\\", str(tmp_path / "c"), see, scopes, f"file://{tmp_path}/w").awaitTermination(60)
+    assert seen == [(1, ["C:\\music\\song"]), (2, ["C:\\music", "C:\\sound"]), (4, ["C:\\music\\song", "C:\\sound\\song"])]
+
+
+def test_warm_drives_answer(spark):
+    rows = X.build(paths(spark, "D:\\a.txt", "E:\\b.txt", "E:\\c.md"), P.drive(F.col("path")))
+    session = Session(rows)
+    assert session.warm(["E", "D"]) == {"E": 2, "D": 1}
+    warm = session.query(QueryPlan((".txt>",), drives="E"))
+    assert found(warm) == ["E:\\b.txt"] and "InMemory" in warm._jdf.queryExecution().toString()
+    session.cool()
+    assert found(session.query(QueryPlan((".txt>",), drives="E"))) == ["E:\\b.txt"] and not session.held
+
+
 def test_answers_of_some_drives(spark):
     def broken():
         raise OSError("no medium")

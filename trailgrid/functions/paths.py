@@ -78,8 +78,8 @@ def without_verbatim(path: Column) -> Column:
 
 
 def drive(path: Column) -> Column:
-    """The drive letter of an absolute path; null otherwise."""
-    return F.upper(F.nullif(F.regexp_extract(path, "^([A-Za-z]):", 1), F.lit("")))
+    """The drive letter of an absolute path, verbatim or not; null otherwise."""
+    return F.upper(F.nullif(F.regexp_extract(path, r"^(?:\\\\\?\\)?([A-Za-z]):", 1), F.lit("")))
 
 
 def trigrams(text: Column) -> Column:

@@ -38,6 +38,16 @@ def ring(log: DataFrame, by: str, most: int = 2048) -> DataFrame:
     return log.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
+def replayed(log: DataFrame, by: str, seen: DataFrame, most: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """What a reader of each stream gets who has read up to ``seen`` (the stream, last event_id), and how many events the
+    ring has lost for it meanwhile: (events, the stream and n_lost)."""
+    kept = ring(log, by, most).drop("rank")
+    new = kept.join(seen.select(by, F.col("event_id").alias("_last")), by, "left").where(F.col("_last").isNull() | (F.col("event_id") > F.col("_last"))).drop("_last")
+    first = kept.groupBy(by).agg(F.min("event_id").alias("_first"))
+    lost = log.join(seen.select(by, F.col("event_id").alias("_last")), by).join(first, by).where((F.col("event_id") > F.col("_last")) & (F.col("event_id") < F.col("_first")))
+    return new, lost.groupBy(by).agg(F.count("*").alias("n_lost"))
+
+
 def captured(target: Column, level: Column, prefix: str, noisy: list[str] = ()) -> Column:
     """Own targets, and warnings or worse of others, without noisy ones."""
     keep = F.startswith(target, F.lit(prefix)) | level.isin("WARN", "ERROR")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,12 +76,14 @@ def run(rows: DataFrame, plan: QueryPlan, rules: RuleSet | None = None, order: l
 
 @dataclass
 class Session:
-    """An index and its overlay, kept for many queries."""
+    """An index and its overlay, kept for many queries. :meth:`warm` holds rows in the executors' memory and disks, a
+    drive at a time, until :meth:`cool`."""
 
     base: DataFrame
     overlay: DataFrame | None = None
     rules: RuleSet | None = None
     cached: dict[str, DataFrame] = field(default_factory=dict)
+    held: dict[str, DataFrame] = field(default_factory=dict)
 
     def rows(self, mode: str = "resolved") -> DataFrame:
         """Base rows with the overlay's in their place."""
@@ -88,9 +91,28 @@ class Session:
             self.cached[mode] = self.base if self.overlay is None else merge(self.base, self.overlay)
         return self.cached[mode]
 
+    def warm(self, drives: list[str]) -> dict[str, int]:
+        """Reads the rows of drives one after the other and keeps them; returns how many each has."""
+        have = "drive" in self.base.columns
+        for d in drives:
+            if d not in self.held:
+                own = F.col("drive") if have else drive(F.col("path"))
+                self.held[d] = self.rows().where(own == d).persist()
+        return {d: self.held[d].count() for d in drives}
+
+    def cool(self) -> None:
+        """Gives back what :meth:`warm` holds."""
+        for rows in self.held.values():
+            rows.unpersist()
+        self.held.clear()
+
     def query(self, plan: QueryPlan) -> DataFrame:
-        """The rows of a plan; by path if there is an overlay."""
-        return run(self.rows(), plan, self.rules, ["path"] if self.overlay is not None else None)
+        """The rows of a plan, from warm drives if it names such alone; by path if there is an overlay."""
+        letters = drive_letters(plan.drives, [], [s.root for s in plan.scopes])
+        rows = self.rows()
+        if letters and all(d in self.held for d in letters):
+            rows = reduce(DataFrame.unionByName, (self.held[d] for d in letters))
+        return run(rows, plan, self.rules, ["path"] if self.overlay is not None else None)
 
     def visit(self, plan: QueryPlan, visitor: Callable[[object], bool | None]) -> int:
         """Gives rows to ``visitor`` one by one until it returns False; returns how many it saw."""

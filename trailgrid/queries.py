@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailgrid import corpora as C
@@ -560,6 +560,97 @@ def drives_sorted(s, d) -> DataFrame:
     return S.by_drive(_drives(s, d).select("drive", "n"))
 
 
+_LOG = "(select event_id, ts, user_id, case user_id % 3 when 0 then 'trail.query' when 1 then 'trail.noise.poll' else 'other.lib' end as target, case event_type when 'error' then 'ERROR' when 'click' then 'WARN' else 'INFO' end as level, 'c' || (user_id % 7) as correlation_id from events)"
+
+
+def _log(s, d) -> DataFrame:
+    u, kind = F.col("user_id"), F.col("event_type")
+    target = F.when(u % 3 == 0, "trail.query").when(u % 3 == 1, "trail.noise.poll").otherwise("other.lib")
+    return C.table(s, d, "events").select("event_id", "ts", "user_id", target.alias("target"), F.when(kind == "error", "ERROR").when(kind == "click", "WARN").otherwise("INFO").alias("level"), F.concat(F.lit("c"), (u % 7).cast("string")).alias("correlation_id"))
+
+
+@_add("log_captured", f"select event_id from {_LOG} where (starts_with(target, 'trail') or level in ('WARN', 'ERROR')) and not starts_with(target, 'trail.noise')")
+def log_captured(s, d) -> DataFrame:
+    return _log(s, d).where(S.captured(F.col("target"), F.col("level"), "trail", ["trail.noise"])).select("event_id")
+
+
+@_add("log_correlated", f"select event_id, level from {_LOG} where correlation_id = 'c4'")
+def log_correlated(s, d) -> DataFrame:
+    return S.correlated(_log(s, d), "c4").select("event_id", "level")
+
+
+_RING = "(select user_id, event_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) where k <= 16)"
+_SEEN = "(select user_id, cast(quantile_disc(event_id, 0.25) as bigint) as last from events where user_id % 2 = 0 group by 1)"
+
+
+@_add("log_replayed", f"select user_id, event_id from {_RING} left join {_SEEN} using (user_id) where last is null or event_id > last")
+def log_replayed(s, d) -> DataFrame:
+    e = C.table(s, d, "events")
+    return S.replayed(e, "user_id", _log_seen(e), 16)[0].select("user_id", "event_id")
+
+
+def _log_seen(e: DataFrame) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    n = F.count("*").over(Window.partitionBy("user_id"))
+    return e.where("user_id % 2 = 0").withColumn("k", rank).withColumn("n", n).where(F.col("k") == F.greatest(F.ceil(F.col("n") * 0.25), F.lit(1))).select("user_id", "event_id")
+
+
+@_add("log_lost", f"select e.user_id, count(*) as n_lost from events e join {_SEEN} s on e.user_id = s.user_id join (select user_id, min(event_id) as first from {_RING} group by 1) r on e.user_id = r.user_id where event_id > last and event_id < first group by 1")
+def log_lost(s, d) -> DataFrame:
+    e = C.table(s, d, "events")
+    return S.replayed(e, "user_id", _log_seen(e), 16)[1]
+
+
+@_add("status_stale", "select user_id as drive, greatest(0, cast(floor((epoch_us(timestamp '2024-01-31 00:00:00') - epoch_us(max(ts))) / 1000000) as bigint)) as age from events where event_type = 'view' group by 1 having max(ts) < timestamp '2024-01-31 00:00:00' - interval 1000 second")
+def status_stale(s, d) -> DataFrame:
+    ready = C.table(s, d, "events").where("event_type = 'view'").groupBy(F.col("user_id").alias("drive")).agg(F.max("ts").cast("timestamp").alias("ready_at"))
+    return S.stale(ready, F.lit("2024-01-31 00:00:00").cast("timestamp"), 1000).where("age > 0").select("drive", "age")
+
+
+@_add("extent_distinct", f'select distinct file, "offset" // 3000 * 3000 as "offset", length from {C.EXTENTS} where file % 7 <> 0')
+def extent_distinct(s, d) -> DataFrame:
+    rows = C.extents(s, d).withColumn("offset", F.floor(F.col("offset") / 3000) * 3000).withColumn("length", F.when(F.col("file") % 7 == 0, 0).otherwise(F.col("length")))
+    return E.distinct(rows)
+
+
+@_add("extent_physical", f"select file, logical_offset, length, physical_offset from {_RUNS} where physical_offset is not null")
+def extent_physical(s, d) -> DataFrame:
+    return E.physical(E.runs_to_extents(C.runs(s, d), 4096))
+
+
+_ASCII = "translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@_add("match_ascii_fold", f"select path from (select 'C:\\' || case when n_nationkey % 3 <> 0 then 'K' else chr(8490) end || n_name as path from nation) where starts_with({_ASCII}, 'c:\\knation') and ends_with(path, '2')")
+def match_ascii_fold(s, d) -> DataFrame:
+    """The sign for kelvin is no k where A to Z alone are folded."""
+    k = F.when(F.col("n_nationkey") % 3 != 0, "K").otherwise("\u212a")
+    rows = C.table(s, d, "nation").select(F.concat(F.lit("C:\\"), k, "n_name").alias("path"))
+    segs = P.segments(F.col("path"))
+    return rows.where(predicate(parse(["<knation 2>"]), segs, P.terminal(segs), fold="ascii"))
+
+
+@_add("scope_verbatim", rf"select path, has_deleted_entries, false as is_filtered from (select '\\?\' || path as path, has_deleted_entries from {C.DOCS}) where starts_with(lower(path), '\\?\d:\src3\')")
+def scope_verbatim(s, d) -> DataFrame:
+    rows = C.docs(s, d).withColumn("path", F.concat(F.lit("\\\\?\\"), "path"))
+    return run(rows, QueryPlan(("<>",), include_deleted=True, scopes=(Scope("D:/src3"), Scope("\\\\?\\D:\\SRC3\\"))))
+
+
+@_add("rules_shared_orders", "select r_regionkey % 2 as order_value, count(*) as n from region group by 1 having count(*) > 1")
+def rules_shared_orders(s, d) -> DataFrame:
+    text = "".join(f"ORDER {r['r_regionkey'] % 2} EXCLUDE D:\\{r['r_name']}\n" for r in C.table(s, d, "region").orderBy("r_regionkey").collect()) * 2
+    found = resolve([parse_file(r"D:\rules\a.trail_rules", text)])  # each rule is there twice and counts once
+    rows = found.table(s).groupBy(F.col("order").alias("order_value")).agg(F.count("*").alias("n")).where("n > 1")
+    return rows if rows.count() == len(found.warnings) else rows.limit(0)
+
+
+@_add("device_snapshot", "select cast(0 as integer) as file, cast(ceil(count(*) / 64.0) as bigint) as n_blocks, count(*) * 1024 as n_bytes from customer")
+def device_snapshot(s, d) -> DataFrame:
+    extents, device = _image(s, d)
+    blocks = image.snapshot(image.reassembled(extents, device, 65536, holes=True), 65536)
+    return blocks.groupBy("file").agg(F.count("*").alias("n_blocks"), F.sum(F.octet_length("data")).cast("long").alias("n_bytes"))
+
+
 def queries() -> dict[str, Callable]:
     """By name."""
     return {k: f for k, (f, _) in _ALL.items()}

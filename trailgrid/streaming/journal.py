@@ -11,8 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from trailgrid.functions.paths import affects_topology, reason_names
 from trailgrid.operators.journal import apply, check_continuity, link_state
+from trailgrid.operators.live import observed as live_paths
+from trailgrid.operators.live import within
+from trailgrid.plans.scopes import Scope
 from trailgrid.sources import usn
-from trailgrid.storage import delete, exists, replace
+from trailgrid.storage import delete, exists, fresh, replace
 
 EVENT = usn.EVENT
 #: Least and usual milliseconds between two looks at the journal.
@@ -41,6 +44,28 @@ def live_links(events: DataFrame) -> DataFrame:
     return link_state(events)
 
 
+def watch(
+    events: DataFrame, base: DataFrame, root_prefix: str, checkpoint: str, see: Callable[[DataFrame], None],
+    scopes: list[Scope] | None = None, table: str | None = None, poll: int | None = None,
+) -> StreamingQuery:
+    """Gives each micro-batch's topology events to ``see`` with the paths of their entries just after them, those in
+    ``scopes`` alone. Publishes nothing: the links that events have brought stand in a :class:`LinkTable` of the watch."""
+    spark = base.sparkSession
+    store = LinkTable(spark, table or fresh(spark, "watch"))
+    if store.manifest() is None:
+        store.publish(base.select("frn", "parent_frn", "name", F.lit(False).alias("is_deleted")), -1)
+
+    def step(batch: DataFrame, number: int) -> None:
+        topology = batch.where(affects_topology(F.col("reason")))
+        see(within(live_paths(topology, store.links(), root_prefix), scopes or []))
+        changed = {r[0] for r in topology.select(_bucket()).distinct().collect()}
+        if changed:
+            store.publish(apply(store.links(changed), topology), number)
+
+    writer = events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if poll is None else writer.trigger(processingTime=f"{poll_ms(poll)} milliseconds")).start()
+
+
 def poll_ms(asked: int | None) -> int:
     """Milliseconds between two looks."""
     return max(FLOOR_MS, POLL_MS if asked is None else asked)
