@@ -36,34 +36,47 @@ STEP = 64
 GROUP = 100_000
 
 
+#: A change that no level can bring.
+_NEVER = 1 << 60
+
+
 class SumOfSquares:
     """The open windows of one partition: a level array and, for each level, the windows that stand there."""
 
     def __init__(self, window: int = WINDOW):
         self.window = window
         self.count = np.zeros(window + 1, np.int64)
+        self.taken = np.full(window + 1, _NEVER, np.int64)
+        self.put = np.ones(window + 1, np.int64)
+        self.taken[0] = self.put[window] = 0
         self.standing: list[list[list]] = [[] for _ in range(window)]
 
     def level_for(self, size: int) -> int:
         """The level, 0 for a new window, whose choice makes the sum of squares least; the fullest of equals."""
         top = self.window - size
-        change = np.where(self.count[: top + 1] > 0, 1 - 2 * self.count[: top + 1], np.iinfo(np.int32).max)
-        change[0] = 0
-        change[:-1] += 2 * self.count[size : self.window] + 1  # a full window closes and counts nowhere
+        # taking a window from a level changes the sum by 1 - 2n, putting one to a level by 2n + 1; a full window closes
+        # and counts nowhere
+        change = self.taken[: top + 1] + self.put[size:]
         return top - int(change[::-1].argmin())
 
+    def _count(self, level: int, more: int) -> None:
+        self.count[level] += more
+        n = self.count[level]
+        self.taken[level] = 1 - 2 * n if n else _NEVER
+        self.put[level] = 2 * n + 1
+
     def place(self, size: int, item) -> list | None:
         """Places an item; returns the window's items if that closed it."""
         level = self.level_for(size)
         items = []
         if level:
             items = self.standing[level].pop()
-            self.count[level] -= 1
+            self._count(level, -1)
         items.append(item)
         if level + size == self.window:
             return items
         self.standing[level + size].append(items)
-        self.count[level + size] += 1
+        self._count(level + size, 1)
         return None
 
     def open(self) -> list[list]:

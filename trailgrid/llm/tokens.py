@@ -1,7 +1,8 @@
 """Token ids by a public tokenizer file, word by word.
 
 Both byte-level vocabularies split a text by a pattern and then merge inside each piece, so a piece has the same ids
-wherever it stands. Pieces repeat, so each distinct piece is encoded once and the ids are joined as bytes. Texts with
+wherever it stands. Pieces repeat, so each distinct piece goes once to the library's merging step, its bytes written as
+the characters that the byte level stands for, and the ids are joined as bytes. Texts with
 characters outside tab, line feed, carriage return, printable ASCII and printable Latin-1 go through the library whole,
 where classes of characters could differ between pattern engines, and so do texts that hold an added token of the
 vocabulary, which the library cuts out before it splits.
@@ -27,9 +28,9 @@ _WORD_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -39,6 +40,22 @@ class Encoder:
         self.split = (_WORD_LEVEL if self.lower else _BYTE_LEVEL).findall
         self.most = most
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {byte: c for x in map(chr, range(256)) for byte, c in zip(x.encode(), "".join(y for y, _ in level.pre_tokenize_str(x)), strict=True)}
+        self.space = self.letters[32]
+        self.merge = self.tokenizer.model.tokenize
+        probes = [chr(c).lower() for c in range(33, 127)] + ["the", " the" if not self.lower else "they", "é", "ñandú", "0", "'s", "?!", "straße", "zqxj" * 9]
+        if [self.piece(x) for x in probes] != self.whole(probes):
+            raise ValueError(f"{path}: pieces of text do not have the ids that they have in texts")
+
+    def piece(self, text: str) -> bytes:
+        """The ids of a piece that the pattern has split off."""
+        if text.isascii() and text.isprintable():  # all but the space stand for themselves
+            text = text.replace(" ", self.space)
+        else:
+            text = text.encode().decode("latin-1").translate(self.letters)
+        return array("I", [x.id for x in self.merge(text)]).tobytes()
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """By the library alone, a slice at a time: its own results are many times the size of the ids."""
@@ -67,10 +84,10 @@ class Encoder:
         for x in pieces:
             if x:
                 new.update(x)
-        missing = list(new.difference(self.known))
-        if len(self.known) + len(missing) > self.most:
-            self.known, missing = {}, list(new)
-        self.known.update(zip(missing, self.whole(missing), strict=True))
+        if len(self.known) + len(new) > self.most:  # what is not met again goes with the next turn
+            self.known, self.older = {}, self.known
+        for x in new.difference(self.known):
+            self.known[x] = self.older.get(x) or self.piece(x)
         find = self.known.__getitem__
         rest = iter(self.whole([x for x, p in zip(texts, plain, strict=True) if not p]))
         return [next(rest) if x is None else b"".join(map(find, x)) for x in pieces]
