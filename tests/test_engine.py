@@ -1,4 +1,5 @@
 import io
+import random
 import struct
 
 import duckdb
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from trailgrid import commands
 from trailgrid import queries as Q
 from trailgrid.functions import paths as P
+from trailgrid.operators import extents as E
 from trailgrid.operators import index as X
 from trailgrid.operators import journal as J
 from trailgrid.operators import live as V
@@ -267,6 +269,38 @@ def test_pieces_of_a_device(spark):
             image.reassembled(spark.createDataFrame(lost, extents), chunks, chunk=100).collect()
 
 
+def test_stretches_and_blocks_change_nothing(spark):
+    rng = random.Random(3)
+    rows, runs = [], []
+    for file in range(3):
+        at = 0
+        for k in range(200):
+            at += rng.choice([0, 0, 0, 7, 30])
+            n = rng.randint(1, 40)
+            rows.append((file, at, n))
+            at += n
+            runs.append((file, k, rng.randint(0, 5), rng.choice([None, rng.randint(-9, 9)])))
+    rows += [(0, 10, 50), (0, 10, 3)]  # overlapping ones are not joined
+    extents = spark.createDataFrame(rows, "file int, offset long, length long")
+    whole = sorted(map(tuple, E.merge(extents).collect()))
+    want = []
+    for file in range(3):
+        own = []
+        for _, at, n in sorted(r for r in rows if r[0] == file):
+            if own and end == at:  # noqa: F821
+                own[-1][1] += n
+            else:
+                own.append([at, n])
+            end = at + n
+        want += [(file, *x) for x in own]
+    assert whole == sorted(want)
+    for width in (16, 100, 999):
+        assert sorted(map(tuple, E.merge(extents, width=width).collect())) == whole
+    table = spark.createDataFrame(runs, "file int, run_no int, clusters long, delta long")
+    one = sorted(map(tuple, E.runs_to_extents(table, 512).collect()), key=repr)
+    assert one == sorted(map(tuple, E.runs_to_extents(table, 512, block=13).collect()), key=repr) and len(one) > 400
+
+
 def test_journal_buffers():
     events = [(5, -3, 9, 0x80000100, 32, "ä.txt"), (1 << 40, 2, 10, 0x200, 16, "b")]
     assert list(usn.decode(usn.encode(events, 2) + usn.encode(events[:1], 3))) == events + events[:1]

@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 SECTOR = 512
 
 
-def runs_to_extents(runs: DataFrame, cluster: int) -> DataFrame:
+def runs_to_extents(runs: DataFrame, cluster: int, block: int = 1 << 16) -> DataFrame:
     """file, logical_offset, length, physical_offset from (file, run_no, clusters, delta): running sums of lengths
-    and of signed cluster deltas; a null delta is a hole. Runs without length are skipped."""
-    order = Window.partitionBy("file").orderBy("run_no")
-    before = F.coalesce(F.sum("clusters").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = F.sum(F.coalesce("delta", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    out = runs.select("file", (before * cluster).alias("logical_offset"), (F.col("clusters") * cluster).alias("length"), F.when(F.col("delta").isNotNull(), at * cluster).alias("physical_offset"))
+    and of signed cluster deltas; a null delta is a hole. Runs without length are skipped. Sums run within ``block`` runs,
+    and the blocks' sums are strung together, so a file of very many runs is many tasks."""
+    cut = runs.withColumn("block", F.floor(F.col("run_no") / block)).withColumn("move", F.coalesce("delta", F.lit(0)))
+    sums = cut.groupBy("file", "block").agg(F.sum("clusters").alias("c"), F.sum("move").alias("m"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("file", "block", *(F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(x) for x in ("c", "m")))
+    order = Window.partitionBy("file", "block").orderBy("run_no")
+    before = F.col("c") + F.coalesce(F.sum("clusters").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = F.col("m") + F.sum("move").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    out = cut.join(starts, ["file", "block"]).select("file", (before * cluster).alias("logical_offset"), (F.col("clusters") * cluster).alias("length"), F.when(F.col("delta").isNotNull(), at * cluster).alias("physical_offset"))
     return out.where("length > 0")
 
 
@@ -36,12 +41,23 @@ def align(extents: DataFrame, sector: int = SECTOR) -> DataFrame:
     return extents.withColumns({"offset": first, "length": (last - first).cast("long")})
 
 
-def merge(extents: DataFrame, by: str = "file") -> DataFrame:
-    """Joins extents where one ends exactly where the next begins: islands by a running sum of gaps."""
-    order = Window.partitionBy(by).orderBy("offset", "length")
-    gap = F.coalesce(F.lag(F.col("offset") + F.col("length")).over(order) != F.col("offset"), F.lit(True)).cast("int")
-    numbered = extents.withColumn("gap", gap).withColumn("island", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(by, "island").agg(F.min("offset").alias("offset"), F.sum("length").alias("length")).drop("island")
+def merge(extents: DataFrame, by: str = "file", width: int = 1 << 32) -> DataFrame:
+    """Joins extents where one ends exactly where the next begins: islands by a running sum of gaps. Islands are found in
+    stretches of ``width`` bytes; only the first and the last one of a stretch can go on in another, so only these meet by
+    file."""
+
+    def islands(rows: DataFrame, parts: list[str], order: list[str]) -> DataFrame:
+        ahead = Window.partitionBy(*parts).orderBy(*order)
+        gap = F.coalesce(F.lag(F.col("offset") + F.col("length")).over(ahead) != F.col("offset"), F.lit(True)).cast("int")
+        marked = rows.withColumn("gap", gap).withColumn("island", F.sum("gap").over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
+        return marked.groupBy(*parts, "island").agg(F.min("offset").alias("offset"), F.sum("length").alias("length"))
+
+    near = islands(extents.withColumn("stretch", F.floor(F.col("offset") / width)), [by, "stretch"], ["offset", "length"])
+    own = Window.partitionBy(by, "stretch")
+    near = near.withColumn("edge", (F.col("island") == F.min("island").over(own)) | (F.col("island") == F.max("island").over(own)))
+    whole = near.where("not edge").select(by, "offset", "length")
+    edges = near.where("edge").select(by, "stretch", F.col("island").alias("place"), "offset", "length")
+    return whole.unionByName(islands(edges, [by], ["stretch", "place"]).select(by, "offset", "length"))
 
 
 def cut(extents: DataFrame, most: int) -> DataFrame:
