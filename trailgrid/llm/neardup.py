@@ -295,25 +295,31 @@ def _links(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """Verified links (leader, fp) between different texts; ``texts``: fp, bands, words, ranges, id."""
     members = texts.select("fp", F.explode("bands").alias("key"))
     shared = written(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    keys = members.join(shared, "key").groupBy("fp").agg(F.collect_list("key").alias("keys"))  # up to BANDS of each text
+    # what grows with the corpus is merged at every size, never broadcast
+    keys = members.join(shared.hint("merge"), "key").groupBy("fp").agg(F.collect_list("key").alias("keys"))  # up to BANDS of each text
     seen = written(keys.join(texts, "fp"), "seen")
-    own = docs.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("fp"), F.col("doc_id").alias("id"), "text").where("text is not null")
-    needed = seen.select(F.col("fp").alias("_fp"), F.col("id").alias("_id"))
-    bodies = own.join(needed, (F.col("fp") == F.col("_fp")) & F.col("id").eqNullSafe(F.col("_id"))).select("fp", "text")
-    bodies = written(bodies.dropDuplicates(["fp"]), "bodies")  # rows repeated with the same id
-    heads = bodies.select(F.col("fp").alias("leader"), F.col("text").alias("head"))
-
-    def judged(pairs: DataFrame) -> DataFrame:
+    no_id = F.col("id").isNull().alias("no_id")
+    place = (F.col("fp"), F.coalesce("id", F.lit(0).cast("long")).alias("id"), no_id)
+    own = docs.where("text is not null").select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("fp"), F.col("doc_id").alias("id"), "text").select(*place, "text")
+    ids = seen.select(*place)
+
+    def judged(pairs: DataFrame, join: str | None = None) -> DataFrame:
+        """The pairs with what alignment says; only texts that are in a pair go to it. ``join``: how to find them among
+        all documents, if not as Spark sees fit by their number."""
+        needed = written(ids.join(pairs.select("fp").union(pairs.select("leader")).distinct(), "fp"), "needed")
+        bodies = own.join(needed.hint(join) if join else needed, ["fp", "id", "no_id"]).groupBy("fp", "id", "no_id").agg(F.first("text").alias("text"))  # rows repeated with the same id
+        bodies = written(bodies.select("fp", "text"), "bodies")
+        heads = bodies.select(F.col("fp").alias("leader"), F.col("text").alias("head"))
         both = pairs.join(bodies.withColumnRenamed("text", "body"), "fp").join(heads, "leader")
         return written(both.select("leader", "fp", "head", "body").mapInArrow(_verify, "leader binary, fp binary, near boolean"), "judged")
 
     # the leader of a band is its text that is in most shared bands
     placed = seen.select("fp", F.size("keys").alias("degree"), F.explode("keys").alias("key"))
     leaders = written(placed.groupBy("key").agg(F.max(F.struct("degree", "fp")).alias("first")).select("key", F.col("first.fp").alias("leader")), "leaders")
-    led = placed.join(leaders, "key").where("fp <> leader").select("leader", "fp").distinct()
+    led = placed.join(leaders.hint("merge"), "key").where("fp <> leader").select("leader", "fp").distinct()
     led = led.join(seen.select("fp", "words", "ranges"), "fp").join(seen.select(F.col("fp").alias("leader"), F.col("words").alias("m"), F.col("ranges").alias("x")), "leader")
     led = led.select("leader", "fp", F.col("m"), "words", "x", "ranges").mapInArrow(_bounded, "leader binary, fp binary")
-    tested = judged(written(led, "led"))
+    tested = judged(written(led, "led"), "merge")
     links = tested.where("near").select("leader", "fp")
     # then, in the bands that are not of one class yet, all but the largest class meet all others
     rooted = seen.join(components(links), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -323,8 +329,9 @@ def _links(docs: DataFrame, texts: DataFrame) -> DataFrame:
     mixed = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("largest"), F.count("*").alias("classes"), F.sum("size").alias("n_met")).where("classes > 1")
     mixed = written(mixed.select("key", F.col("largest.root").alias("largest"), (F.col("n_met") - F.col("largest.size")).alias("n_asking"), "n_met"), "mixed")
     rest = now.join(mixed, "key").join(rooted.select("fp", "words", F.col("bands").alias("keys"), "ranges"), "fp")
-    met = written(_pairs(rest.where("root <> largest"), rest), "pairs")
-    return links.unionByName(judged(met.join(tested, ["leader", "fp"], "left_anti")).where("near").select("leader", "fp"))
+    met = _pairs(rest.where("root <> largest"), rest)
+    left = written(met.join(tested, ["leader", "fp"], "left_anti"), "untested")
+    return links.unionByName(judged(left).where("near").select("leader", "fp"))
 
 
 def components(links: DataFrame) -> DataFrame:
