@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import slices, written
 
 UNIT = 192
 RATE, UP, DOWN = 16_000, 2, 5
@@ -136,7 +136,7 @@ def store(documents: DataFrame) -> DataFrame:
     """Writes doc_id, n_bytes and media, and reads them back."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes, media = [], []
             for text in batch.column(1).to_pylist():
                 raw = (text or "").encode("utf-8", "surrogatepass")
@@ -158,7 +158,7 @@ def tensors(media: DataFrame) -> DataFrame:
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for wav in batch.column(2).to_pylist():
                 payload = from_wav(wav)
@@ -187,7 +187,7 @@ def digests(media: DataFrame) -> DataFrame:
     kept = [x.split()[0] for x in _STORED.split(", ")][:-2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             said = [describe(*x) for x in zip(*(c.to_pylist() for c in batch.columns[-2:]), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(said, pa.string())], [*kept, "feature"])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +95,14 @@ def crc32_id(column) -> F.Column:
 CACHES: list[dict] = []
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches cut to at most ``rows`` rows without copying, as what Python makes of a batch's texts is many times their
+    size."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def tidy(keep: dict | None = None) -> None:
     """Gives memory of earlier tasks in this worker back to the system: caches but ``keep``, and freed pages."""
     for cache in CACHES:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, code_points, crc32_id, tidy
+from .common import WordTable, code_points, crc32_id, slices, tidy
 from .samples import labelled_sample
 
 PER_LABEL = 1200
@@ -172,17 +172,14 @@ def _predict(model: Model | None):
         tidy()
         table = WordTable(model.word_rows) if model else None
         for batch in batches:
-            label, score, reject = [], [], []
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for a in range(0, len(texts), 512):
-                parsed = [words(x) for x in texts[a : a + 512]]
-                p = model.scores(_averages(model, table, parsed)) if model else np.zeros((len(parsed), 1))
-                best = p.argmax(axis=1)
-                known = [bool(w) and model is not None for w in parsed]
-                top = np.round(p[np.arange(len(best)), best], 6)
-                label += [model.labels[b] if k else "und" for b, k in zip(best, known, strict=True)]
-                score += [float(s) if k else 0.0 for s, k in zip(top, known, strict=True)]
-                reject += [not k or s < model.threshold for s, k in zip(top, known, strict=True)]
+            parsed = [words(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            p = model.scores(_averages(model, table, parsed)) if model and parsed else np.zeros((len(parsed), 1))
+            best = p.argmax(axis=1)
+            known = [bool(w) and model is not None for w in parsed]
+            top = np.round(p[np.arange(len(best)), best], 6)
+            label = [model.labels[b] if k else "und" for b, k in zip(best, known, strict=True)]
+            score = [float(s) if k else 0.0 for s, k in zip(top, known, strict=True)]
+            reject = [not k or s < model.threshold for s, k in zip(top, known, strict=True)]
             out = [*batch.columns[:-1], pa.array(label, pa.string()), pa.array(score, pa.float64()), pa.array(reject, pa.bool_())]
             yield pa.RecordBatch.from_arrays(out, [*batch.schema.names[:-1], "lang_pred", "score", "rejected"])
 
@@ -193,7 +190,8 @@ def identify(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected for every document."""
     held = F.coalesce(crc32_id(F.col("doc_id").cast("long")) % 3 == 1, F.lit(False))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_predict(fit(documents)), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    run = _predict(fit(documents))
+    return rows.mapInArrow(lambda batches: run(slices(batches)), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def accepted(documents: DataFrame) -> DataFrame:
@@ -205,7 +203,7 @@ def accepted(documents: DataFrame) -> DataFrame:
         own: list[pa.RecordBatch] = []
 
         def texts() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 own.append(batch)
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("text"))], ["text"])
 

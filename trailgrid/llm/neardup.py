@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, tidy, written
+from .common import WordTable, slices, tidy, written
 
 SHINGLE = 5
 #: The least share of words and of shingles in order, either of which links two texts.
@@ -193,21 +193,19 @@ def near(x: Sequence, y: Sequence) -> bool:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tidy()
     table = WordTable(word_hashes)
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        for a in range(0, len(texts), 512):
-            prints, keys, sizes, numbers = [], [], [], []
-            # a text that Spark finds to have a letter or digit is never without a word here, whatever the Unicode versions
-            parsed = [(_words(x.lower()) or [x]) if has else [] for x, has in zip(texts[a : a + 512], batch.column(2).to_pylist()[a : a + 512], strict=True)]
-            got = table.of([w for x in parsed for w in x])
-            at = 0
-            for text, w in zip(texts[a : a + 512], parsed, strict=True):
-                prints.append(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest() if text else None)
-                sizes.append(len(w))
-                keys.append(bands(got[at : at + len(w)]).tolist() if w else None)
-                numbers.append(ranges(got[at : at + len(w)]) if w else None)
-                at += len(w)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 512), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(numbers, pa.binary())], ["doc_id", "fp", "bands", "words", "ranges"])
+    for batch in slices(batches):
+        texts, prints, keys, sizes, numbers, at = batch.column(1).to_pylist(), [], [], [], [], 0
+        # a text that Spark finds to have a letter or digit is never without a word here, whatever the Unicode versions
+        parsed = [(_words(x.lower()) or [x]) if has else [] for x, has in zip(texts, batch.column(2).to_pylist(), strict=True)]
+        got = table.of([w for x in parsed for w in x])
+        for text, w in zip(texts, parsed, strict=True):
+            own, at = got[at : at + len(w)], at + len(w)
+            prints.append(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest() if text else None)
+            sizes.append(len(w))
+            keys.append(bands(own).tolist() if w else None)
+            numbers.append(ranges(own) if w else None)
+        cells = [pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(numbers, pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *cells], ["doc_id", "fp", "bands", "words", "ranges"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +219,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept[text] = Sequence(word_hashes(_words(text.lower()) or [text]))
         return kept[text]
 
-    for batch in batches:
+    for batch in slices(batches):
         linked = [near(sequence(x.as_py()), sequence(y.as_py())) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["leader", "fp", "near"])
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bases, lookup, written
+from .common import bases, lookup, slices, written
 from .tokens import encoder
 
 WINDOW = 2048
@@ -144,7 +144,7 @@ def _measure(documents: DataFrame, tokenizer: str, end: bytes, window: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for ids in encode([x or "" for x in batch.column(1).to_pylist()]):
                 ids += end

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bases, written
+from .common import bases, slices, written
 from .tokens import encoder
 
 RANK_BITS = 512
@@ -92,7 +92,7 @@ def write_tokens(documents: DataFrame, tokenizer: str, end_id: int = 2, block_to
             parts.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode([x or "" for x in batch.column(1).to_pylist()]), strict=True):
                 doc_ids.append(doc_id)
                 parts.append(ids + end)
@@ -114,7 +114,7 @@ def read_documents(blocks: DataFrame) -> DataFrame:
     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 4):
             for row in batch.to_pylist():
                 ids = decode_levels(list(zip(row["chunks"], row["bitmaps"], row["ranks"], strict=True)))
                 if not len(ids) == row["n_tokens"] == sum(row["lengths"]):

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import slices, written
 
 CHUNK, GROUP, BLOCK = 2048, 512, 128
 #: Chunks whose bounds stand in one row.
@@ -164,7 +164,7 @@ def _packed(rows: DataFrame, size: int, numbers: Numbers) -> DataFrame:
             made += 1
             return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made], pa.int64()), *(pa.array([x], pa.binary()) for x in cells)], ["run", "ids", "rows", "matrix", "high", "low"])
 
-        for batch in batches:
+        for batch in slices(batches):
             held.extend(zip(*(c.to_pylist() for c in batch.columns), strict=True))
             while len(held) >= size:
                 yield out()
@@ -213,7 +213,7 @@ def _promising(groups: DataFrame, pages: DataFrame, n_pages: int, numbers: Numbe
     highest; else every chunk with a block whose bound reaches a query's k-th score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 8):
             for g, rows, matrix, floor, chunks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 q = numbers.read(matrix)
                 high, low = (np.concatenate([numbers.read(x[i]) for x in chunks]) for i in ("high", "low"))
@@ -258,7 +258,7 @@ def _meetings(asked: DataFrame, groups: DataFrame, chunks: DataFrame, k: int, nu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, g, ids = None, None, None
-        for batch in batches:
+        for batch in slices(batches, 8):
             for own, is_chunk, own_ids, rows, matrix, floor in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x, own_ids, rows = numbers.read(matrix), np.frombuffer(own_ids, "<i8"), np.frombuffer(rows, "<i8")
                 if is_chunk:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, code_points, crc32_id, tidy
+from .common import WordTable, code_points, crc32_id, slices, tidy
 from .samples import labelled_sample
 
 PER_LABEL = 1500
@@ -356,7 +356,7 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
         table: list[WordTable] = []
-        for batch in batches:
+        for batch in slices(batches):
             found = judge(batch.column(2).to_pylist(), table)
             out = [batch.column(0), batch.column(1), pa.array(found, pa.float64()), pa.array((found >= 0.5).astype(np.int32), pa.int32())]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "score", "predicted"])
@@ -373,7 +373,7 @@ def clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
         table: list[WordTable] = []
-        for batch in batches:
+        for batch in slices(batches):
             found = judge(batch.column(batch.schema.get_field_index("text")).to_pylist(), table)
             yield batch.filter(pa.array(found < 0.5))
 
