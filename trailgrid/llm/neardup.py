@@ -333,18 +333,31 @@ def _links(docs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """fp -> root, the smallest print that links reach, for all prints in links."""
-    edges = written(links.select(F.col("leader").alias("a"), F.col("fp").alias("b")).union(links.select("fp", "leader")).distinct(), "edges")
-    # what is joined is a table on both sides, so that Spark can split the rows of a text with very many links
-    roots = written(edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("fp"), F.least("a", "b").alias("root")), "roots")
-    while True:
-        offers = edges.join(roots, edges["b"] == roots["fp"]).groupBy("a").agg(F.min("root").alias("offer"))
-        hooked = roots.join(offers, roots["fp"] == offers["a"]).select("fp", F.least("root", "offer").alias("root"), F.col("root").alias("was"))
-        hooked = written(hooked, "hooked")
-        if hooked.where("root <> was").isEmpty():
-            return hooked.select("fp", "root")
-        jump = hooked.select(F.col("fp").alias("at"), F.col("root").alias("next"))
-        roots = written(hooked.join(jump, hooked["root"] == jump["at"]).select("fp", F.least("root", "next").alias("root")), "roots")
+    """fp -> root, the smallest print that links reach, for all prints in links.
+
+    In each round every print goes to its smallest neighbour, if that is smaller, and on to where such ways end; links are
+    then between the ends, and those within one end are gone."""
+    ends = F.greatest("leader", "fp").alias("high"), F.least("leader", "fp").alias("low")
+    edges, labels = written(links.select(*ends).distinct(), "edges"), None
+    while labels is None or not edges.isEmpty():
+        up = written(edges.groupBy(F.col("high").alias("fp")).agg(F.min("low").alias("root")), "up")
+        while True:
+            # what is joined is a table on both sides, so that Spark can split the rows of a print with very many links
+            ahead = up.select(F.col("fp").alias("root"), F.col("root").alias("next"))
+            jumped = up.join(ahead, "root", "left").select("fp", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+            jumped = written(jumped, "jumped")
+            up = jumped.drop("moved")
+            if jumped.where("moved").isEmpty():
+                break
+        over = lambda name: up.select(F.col("fp").alias(name), F.col("root").alias(f"{name}_root"))
+        left = edges.join(over("high"), "high", "left").join(over("low"), "low", "left")
+        left = left.select(F.coalesce("high_root", "high").alias("leader"), F.coalesce("low_root", "low").alias("fp")).where("leader <> fp")
+        edges = written(left.select(*ends).distinct(), "edges")
+        if labels is not None:  # prints of earlier rounds whose root goes on
+            on = labels.join(up.select(F.col("fp").alias("root"), F.col("root").alias("next")), "root", "left")
+            up = up.unionByName(on.select("fp", F.coalesce("next", "root").alias("root")))
+        labels = written(up, "labels")
+    return labels.unionByName(labels.select(F.col("root").alias("fp"), "root").distinct())
 
 
 def worded() -> F.Column:
