@@ -147,9 +147,9 @@ class Model:
 _ROWS = 4096
 
 
-def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 25) -> np.ndarray:
+def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 25, start: np.ndarray | None = None) -> np.ndarray:
     """Linear machine with squared hinge loss, by Newton steps over blocks of rows; the last weight is the bias."""
-    w = np.zeros(x.shape[1] + 1)
+    w = np.zeros(x.shape[1] + 1) if start is None else start
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-3
     for _ in range(rounds):
@@ -157,7 +157,8 @@ def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 25) -
         for first in range(0, len(x), _ROWS):
             a = np.concatenate([x[first : first + _ROWS], np.ones((len(x[first : first + _ROWS]), 1))], axis=1, dtype=np.float64)
             goal, c = y[first : first + _ROWS], cost[first : first + _ROWS]
-            c = np.where(goal * (a @ w) < 1, c, 0.0)
+            inside = goal * (a @ w) < 1
+            a, goal, c = a[inside], goal[inside], c[inside]
             left += (a * c[:, None]).T @ a
             right += a.T @ (c * goal)
         new = np.linalg.solve(left, right)
@@ -251,7 +252,9 @@ def train(sample: list[tuple[int, str]], rounds: int = 3) -> Model | None:
     for word in plain:
         every = [y for y in bent(word, alphabet) if y not in good]
         forms[word] = every[:: max(1, -(-len(every) * len(plain) // BENT))]
-    model = None
+    model = w = None
+    at_row: dict[str, int] = {}
+    kernels: list[np.ndarray] = []
     hard: list[str] = clean[:: max(1, len(clean) // CLEAN_WORDS)]
     for _ in range(rounds):
         if model is None:
@@ -265,10 +268,15 @@ def train(sample: list[tuple[int, str]], rounds: int = 3) -> Model | None:
             witness[word] = max(witness[word], bad[word])
         put_in = Counter({y: BENDING * witness[word] / len(forms[word]) for word in plain for y in forms[word]})
         names = [*witness, *put_in, *hard]
-        x = np.concatenate([(project(names[a : a + _ROWS], basis, place) @ root).astype(np.float32) for a in range(0, len(names), _ROWS)])
+        new = list(dict.fromkeys(x for x in names if x not in at_row))
+        for first in range(0, len(new), _ROWS):  # what earlier rounds had stays
+            part = new[first : first + _ROWS]
+            at_row.update(zip(part, range(len(at_row), len(at_row) + len(part)), strict=True))
+            kernels.append((project(part, basis, place) @ root).astype(np.float32))
+        x = np.concatenate(kernels)[[at_row[x] for x in names]]
         y = np.array([1.0] * (len(witness) + len(put_in)) + [-1.0] * len(hard))
         cost = np.array([20.0 * n / len(toxic) * 100 for n in (*witness.values(), *put_in.values())] + [float(min(good[x], CLEAN_TEXTS)) for x in hard])
-        w = _machine(x, y, cost)
+        w = _machine(x, y, cost, start=w)
         model = Model((basis @ (root @ w[:-1]))[place].astype(np.float64), float(w[-1]))
     held = held if {bool(label) for label, _ in held} == {True, False} else parsed
     margin = _margins(model, sorted({x for _, w in held for x in w}))
