@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -54,6 +55,32 @@ def test_odd_documents(spark, odd):
         assert len({r["sequence_id"] for r in pieces}) == max((r["sequence_id"] + 1 for r in pieces), default=0)
 
 
+def test_odd_documents_have_defined_values(spark, odd):
+    labels = spark.createDataFrame([(4, 1), (6, 0), (None, 1), (7, None)], "doc_id long, toxic int")
+    n = [r["doc_id"] for r in odd.collect()]
+    by = lambda df, *c: Counter((r["doc_id"], *(r[x] for x in c)) for r in df.collect())
+    found = by(langid.identify(odd), "lang_pred", "score", "rejected")
+    assert [k for k in found if k[1] == "und"] and all(k[2:] == (0.0, True) for k in found if k[1] == "und")
+    assert {k[0] for k in found if k[1] == "und"} == {1, 2, 3} and max(found.values()) == 3 and sum(found.values()) == len(n)
+    assert Counter(r["doc_id"] for r in langid.accepted(odd).collect()) == Counter(i for i in n if i not in (1, 2, 3))
+    scores = by(toxicity.score(odd, labels), "held_out", "score", "predicted")
+    assert max(scores.values()) == 3 and len({k[2] for k in scores if k[0] in (1, 2)}) == 1
+    assert all(k[1] == (k[0] is not None and zlib.crc32(str(k[0]).encode()) % 5 == 0) and k[3] == (k[2] >= 0.5) for k in scores)
+    spaces = hashlib.sha256(b" " * 192).hexdigest()
+    media = by(audio.digests(audio.store(odd)), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
+    assert media[1, 0, 192, spaces, zlib.crc32(b" " * 16)] == media[2, 0, 192, spaces, zlib.crc32(b" " * 16)] == 1
+    assert any(k[0] == 5 and k[1:3] == (60_000, 60_096) for k in media) and max(media.values()) == 3
+    tokens = sorted(token_file.read_documents(token_file.write_tokens(odd, tokenizer_path("word_bpe_49k.json"), shards=2)).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in tokens] == sorted(n, key=lambda i: (i is not None, i or 0))
+    end = zlib.crc32((2).to_bytes(4, "little"))
+    assert all((r["n_tokens"], r["ids_crc32"]) == (1, end) for r in tokens if r["doc_id"] in (1, 2))
+    assert all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(tokens, tokens[1:]))
+    pieces = by(packing.pack(odd, tokenizer_path("byte_bpe_50k.json")), "start", "length", "doc_tokens")
+    assert pieces[1, 0, 1, 1] == pieces[2, 0, 1, 1] == 1 and sum(k[2] * c for k, c in pieces.items() if k[0] == 5) == next(k[3] for k in pieces if k[0] == 5)
+    classes = {(r["doc_id"], r["class_id"]) for r in neardup.near_duplicates(odd).collect()}
+    assert {(4, 4), (6, 4), (1, 1), (2, 2), (None, None), (5, 5)} <= classes
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_words_are_encoded_as_whole_texts(name):
     """Against the library as it loads the file."""
@@ -656,6 +683,27 @@ def test_large_bands_are_split_without_loss(spark, monkeypatch):
     assert len(pairs) >= 50 and not lost, (len(lost), len(pairs))
 
 
+def test_components_of_chains_stars_and_rings(spark):
+    rng = random.Random(8)
+    groups = [[(i, i + 1) for i in range(60)], [(200, 100 + i) for i in range(150)], [(300 + i, 300 + (i + 7) % 50) for i in range(50)], [(500, 501)], [(600 + rng.randrange(40), 600 + rng.randrange(40)) for _ in range(45)]]
+    place = list(range(700))
+    rng.shuffle(place)
+    pairs = [(place[a].to_bytes(2, "big"), place[b].to_bytes(2, "big")) for g in groups for a, b in g if a != b]
+    got = {bytes(r["fp"]): bytes(r["root"]) for r in neardup.components(spark.createDataFrame(pairs, "leader binary, fp binary")).collect()}
+    root = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    assert got == {x: find(x) for x in root}
+    assert neardup.components(spark.createDataFrame([], "leader binary, fp binary")).count() == 0
+
+
 def test_equal_texts_without_a_word_are_one_class(spark):
     texts = ["?!", "?!", "?! ", "", "", "\U0001f600", "\U0001f600"]
     assert classes_of(spark, texts) == [0, 0, 2, 3, 4, 5, 5]
