@@ -29,30 +29,30 @@ def odd(spark):
 
 def test_odd_documents(spark, odd):
     labels = spark.createDataFrame([(4, 1), (6, 0), (None, 1)], "doc_id long, toxic int")
-    for docs in (odd, odd.limit(0)):
-        n = docs.count()
-        assert langid.identify(docs).count() == n
-        assert langid.accepted(docs).columns == docs.columns
-        assert toxicity.score(docs, labels).count() == n
-        assert toxicity.clean(docs, labels).columns == docs.columns
-        rows = sharding.shard(docs)[0].collect()
-        assert len(rows) == n
-        for k in {r["shard"] for r in rows}:
-            own = sorted(r["slot"] for r in rows if r["shard"] == k)
-            assert own == list(range(len(own)))
-        mix = mixing.mix(docs).collect()
-        assert len(mix) == n and all(r["taken"] <= 2 * r["size"] for r in mix)
-        assert mixing.mixed(docs).columns == docs.columns
-        assert audio.digests(audio.store(docs)).count() == n
-        classes = neardup.near_duplicates(docs).collect()
-        assert len(classes) == n
-        kept = neardup.deduplicated(docs)
-        assert kept.columns == docs.columns
-        assert sorted((r["doc_id"] or 0 for r in kept.collect())) == ([0, 1, 2, 3, 4, 5, 7] if n else [])
-        blocks = token_file.write_tokens(docs, tokenizer_path("word_bpe_49k.json"), shards=2)
-        assert token_file.read_documents(blocks).count() == n
-        pieces = packing.pack(docs, tokenizer_path("byte_bpe_50k.json")).collect()
-        assert len({r["sequence_id"] for r in pieces}) == max((r["sequence_id"] + 1 for r in pieces), default=0)
+    n = odd.count()
+    assert toxicity.clean(odd, labels).columns == odd.columns
+    rows = sharding.shard(odd)[0].collect()
+    assert len(rows) == n
+    for k in {r["shard"] for r in rows}:
+        own = sorted(r["slot"] for r in rows if r["shard"] == k)
+        assert own == list(range(len(own)))
+    mix = mixing.mix(odd).collect()
+    assert len(mix) == n and all(r["taken"] <= 2 * r["size"] for r in mix)
+    assert mixing.mixed(odd).columns == odd.columns
+    kept = neardup.deduplicated(odd)
+    assert kept.columns == odd.columns
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 7]
+
+
+def test_empty_tables(spark, odd):
+    docs, labels = odd.limit(0), spark.createDataFrame([], "doc_id long, toxic int")
+    word, byte = tokenizer_path("word_bpe_49k.json"), tokenizer_path("byte_bpe_50k.json")
+    for got in (
+        langid.identify(docs), langid.accepted(docs), toxicity.score(docs, labels), toxicity.clean(docs, labels), sharding.shard(docs)[0], mixing.mix(docs),
+        mixing.mixed(docs), audio.digests(audio.store(docs)), neardup.near_duplicates(docs), neardup.deduplicated(docs),
+        token_file.read_documents(token_file.write_tokens(docs, word, shards=2)), packing.pack(docs, byte),
+    ):
+        assert got.count() == 0
 
 
 def test_odd_documents_have_defined_values(spark, odd):
@@ -568,20 +568,50 @@ def test_covering_words_leave_filler():
     assert sorted(toxicity.covering(texts, ratio)) == ["bad", "worse"]
 
 
-def classes_of(spark, texts):
-    """class_id of each text, which has its place in the list as doc_id."""
-    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    return [c for _, c in sorted((r["doc_id"], r["class_id"]) for r in got)]
+def drifting():
+    """Six groups of forty texts, each a changed form of an earlier one."""
+    rng, texts = random.Random(4), []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for k in range(40):
+            base = list(rng.choice(texts[40 * g :]) if k else base)
+            at = rng.randrange(110)
+            base[at : at + 9] = [f"g{g}k{k}n{i}" for i in range(9)]
+            texts.append(base)
+    return texts
+
+
+def lined(repeats, own, changed):
+    """Two texts of a line many times and of words some of which differ."""
+    line = [f"line{repeats}x{i}" for i in range(10)]
+    return [line * repeats + [f"{repeats}w{i}" if i >= changed else f"{repeats}t{k}w{i}" for i in range(own)] for k in range(2)]
 
 
-def test_near_duplicates_cut_appended_and_put_in(spark):
+def cut():
     def words(k, n):
         return [f"{k}w{i}" for i in range(n)]
 
     a, b, c, d = words("a", 200), words("b", 200), words("c", 200), words("d", 200)
-    texts = [a, a[:168], b, b[:100] + words("new", 34) + b[100:], c, c + words("end", 38), d, d[:158]]
     # shingles in order 0.837, 0.821, 0.838; the last pair has 0.786 and 0.79 of the words: no link
-    assert classes_of(spark, map(" ".join, texts)) == [0, 0, 2, 2, 4, 4, 6, 7]
+    return [a, a[:168], b, b[:100] + words("new", 34) + b[100:], c, c + words("end", 38), d, d[:158]]
+
+
+WORDLESS = ["?!", "?!", "?! ", "", "", "\U0001f600", "\U0001f600"]
+
+
+@pytest.fixture(scope="module")
+def classes(spark):
+    """The classes of several groups of unlike texts, found together: for each text the place in its group of the one
+    that names its class."""
+    groups = {"cut": cut(), "drifting": drifting(), "many lines": lined(300, 150, 120), "lines": lined(50, 80, 60)}
+    groups = {k: [" ".join(x) for x in v] for k, v in groups.items()} | {"wordless": WORDLESS}
+    rows = [(1000 * k + i, x) for k, own in enumerate(groups.values()) for i, x in enumerate(own)]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    return {name: [got[1000 * k + i] - 1000 * k for i in range(len(own))] for k, (name, own) in enumerate(groups.items())}
+
+
+def test_near_duplicates_cut_appended_and_put_in(classes):
+    assert classes["cut"] == [0, 0, 2, 2, 4, 4, 6, 7]
 
 
 TEXTS = "fp binary, bands array<bigint>, words long, ranges binary, id long"
@@ -602,17 +632,8 @@ def test_matched_texts_meet_the_rest_of_their_band(spark):
     assert {frozenset((number[bytes(r["leader"])], number[bytes(r["fp"])])) for r in links.collect()} == {frozenset((0, 1)), frozenset((1, 2))}
 
 
-def test_drifting_copies_lose_no_link(spark):
-    rng = random.Random(4)
-    texts = []
-    for g in range(6):
-        base = [f"g{g}w{i}" for i in range(120)]
-        for k in range(40):  # a walk away from random earlier copies
-            base = list(rng.choice(texts[40 * g :]) if k else base)
-            at = rng.randrange(110)
-            base[at : at + 9] = [f"g{g}k{k}n{i}" for i in range(9)]
-            texts.append(base)
-    got = classes_of(spark, map(" ".join, texts))
+def test_drifting_copies_lose_no_link(classes):
+    texts, got = drifting(), classes["drifting"]
     seen = [neardup.Sequence(neardup.word_hashes(x)) for x in texts]
     keys = [set(neardup.bands(x.words).tolist()) for x in seen]
     pairs = [(a, b) for a in range(len(texts)) for b in range(a) if keys[a] & keys[b] and neardup.near(seen[a], seen[b])]
@@ -620,11 +641,8 @@ def test_drifting_copies_lose_no_link(spark):
     assert len(pairs) > 200 and not lost, (len(lost), len(pairs))
 
 
-def test_repeated_lines_count_in_full(spark):
-    line = [f"line{i}" for i in range(10)]
-    for repeats, own, changed in ((300, 150, 120), (50, 80, 60)):
-        texts = [line * repeats + [f"w{i}" if i >= changed else f"t{k}w{i}" for i in range(own)] for k in range(2)]
-        assert classes_of(spark, map(" ".join, texts)) == [0, 0]
+def test_repeated_lines_count_in_full(classes):
+    assert classes["many lines"] == classes["lines"] == [0, 0]
 
 
 def edited(rng, base, share, tag):
@@ -704,8 +722,7 @@ def test_components_of_chains_stars_and_rings(spark):
     assert neardup.components(spark.createDataFrame([], "leader binary, fp binary")).count() == 0
 
 
-def test_equal_texts_without_a_word_are_one_class(spark):
-    texts = ["?!", "?!", "?! ", "", "", "\U0001f600", "\U0001f600"]
-    assert classes_of(spark, texts) == [0, 0, 2, 3, 4, 5, 5]
-    docs = spark.createDataFrame([*enumerate(texts), (7, None)], "doc_id long, text string")
+def test_equal_texts_without_a_word_are_one_class(spark, classes):
+    assert classes["wordless"] == [0, 0, 2, 3, 4, 5, 5]
+    docs = spark.createDataFrame([*enumerate(WORDLESS), (7, None)], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in neardup.deduplicated(docs).collect()) == [0, 2, 3, 4, 5, 7]
