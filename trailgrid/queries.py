@@ -24,6 +24,7 @@ from trailgrid.plans.rules import files_matching, last_match_join, parse_file, p
 from trailgrid.plans.scopes import Scope, in_scope
 from trailgrid.plans.search import search
 from trailgrid.sources import image, mft, usn
+from trailgrid.streaming import journal as SJ
 
 _ALL: dict[str, tuple[Callable, str | None]] = {}
 
@@ -120,6 +121,15 @@ def overlay_drives(s, d) -> DataFrame:
     return Session(both, C.overlay(s, d)).query(QueryPlan((".git>",), drives="E", include_deleted=True))
 
 
+@_add("session_warm", _ALL["overlay_drives"][1])
+def session_warm(s, d) -> DataFrame:
+    """The same from a drive that the session holds."""
+    both = X.build(C.docs(s, d).unionByName(C.parts(s, d)), P.drive(F.col("path")))
+    session = Session(both, C.overlay(s, d))
+    session.warm(["E"])
+    return session.query(QueryPlan((".git>",), drives="E", include_deleted=True))
+
+
 @_add("drive_list_order", f"""select drive, path, has_deleted_entries, false as is_filtered from (select *, row_number() over (order by k, path) as n from (
  select 1 as k, 'E' as drive, path, bool_or(has_deleted_entries) as has_deleted_entries from {C.PARTS} where ends_with({C.TERM}, '.tar.gz') group by path
  union all select 2, 'D', path, has_deleted_entries from {C.DOCS} where ends_with({C.TERM}, '7.txt'))) where n <= 60""")
@@ -242,6 +252,19 @@ def journal_apply(s, d) -> DataFrame:
     return J.apply(old, C.journal(s, d))
 
 
+@_add("stream_links", _ALL["journal_apply"][1])
+def stream_links(s, d) -> DataFrame:
+    """Links after a stream of two turns over arriving events, as its table publishes them."""
+    place = storage.fresh(s, "stream")
+    events = C.journal(s, d)
+    old = C.table(s, d, "events").select(F.col("user_id").alias("frn"), (F.col("user_id") % 10).alias("parent_frn"), F.concat(F.lit("n"), (F.col("user_id") % 9).cast("string")).alias("name"), F.lit(False).alias("is_deleted")).distinct()
+    middle = events.agg(F.expr("percentile_approx(usn, 0.5)")).first()[0]
+    for part in (events.where(F.col("usn") <= middle), events.where(F.col("usn") > middle)):
+        part.coalesce(4).write.mode("append").parquet(f"{place}/in")
+        SJ.publish(SJ.read_events(s, f"{place}/in"), old, f"{place}/table", f"{place}/checkpoint", buckets=8).awaitTermination()
+    return SJ.LinkTable(s, f"{place}/table").links()
+
+
 _NAMES = "array_to_string(list_filter([" + ", ".join(f"case when (reason & {m}) <> 0 then '{n}' end" for m, n in P.REASONS) + "], lambda x: x is not null), ',')"
 
 

@@ -20,7 +20,7 @@ from trailgrid.storage import delete, exists, fresh, replace
 EVENT = usn.EVENT
 #: Least and usual milliseconds between two looks at the journal.
 FLOOR_MS, POLL_MS = 50, 500
-#: Folders of links; a micro-batch writes those anew that its entries are in.
+#: Folders of a new table of links; a micro-batch writes those anew that its entries are in.
 BUCKETS = 64
 
 
@@ -58,7 +58,7 @@ def watch(
     def step(batch: DataFrame, number: int) -> None:
         topology = batch.where(affects_topology(F.col("reason")))
         see(within(live_paths(topology, store.links(), root_prefix), scopes or []))
-        changed = {r[0] for r in topology.select(_bucket()).distinct().collect()}
+        changed = store.changed(topology)
         if changed:
             store.publish(apply(store.links(changed), topology), number)
 
@@ -71,17 +71,22 @@ def poll_ms(asked: int | None) -> int:
     return max(FLOOR_MS, POLL_MS if asked is None else asked)
 
 
-def _bucket() -> F.Column:
-    return F.pmod(F.xxhash64("frn"), F.lit(BUCKETS)).cast("int")
-
-
 class LinkTable:
     """Links by buckets of their entry, each bucket in the version that last changed it. A manifest names the versions
     and holds the checkpoint; it takes the place of the one before by a renaming, so links and checkpoint are published
     together. Buckets that a manifest no longer names are deleted after the next one."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.path = spark, path.rstrip("/")
+        self.n = (self.manifest() or {"n": buckets})["n"]
+
+    def bucket(self) -> F.Column:
+        """The bucket of an entry."""
+        return F.pmod(F.xxhash64("frn"), F.lit(self.n)).cast("int")
+
+    def changed(self, events: DataFrame) -> set[int]:
+        """The buckets that events change."""
+        return {r[0] for r in events.select(self.bucket()).distinct().collect()}
 
     def manifest(self) -> dict | None:
         """What was published last; None if nothing was."""
@@ -105,11 +110,10 @@ class LinkTable:
         the same version again."""
         before = self.manifest() or {"batch": None, "buckets": {}, "old": []}
         version = batch
-        links.withColumn("bucket", _bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v{version}")
-        changed = [r[0] for r in links.select(_bucket()).distinct().collect()]  # up to BUCKETS
-        buckets = before["buckets"] | {str(b): version for b in changed}
+        links.withColumn("bucket", self.bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v{version}")
+        buckets = before["buckets"] | {str(b): version for b in self.changed(links)}
         old = [f for f in self._folders(before["buckets"]) if f not in self._folders(buckets)]
-        now = {"batch": batch, "buckets": buckets, "old": old, "checkpoint": checkpoint}
+        now = {"batch": batch, "n": self.n, "buckets": buckets, "old": old, "checkpoint": checkpoint}
         self.spark.createDataFrame([(json.dumps(now),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest.new")
         replace(self.spark, f"{self.path}/manifest.new", f"{self.path}/manifest")
         for folder in before["old"]:
@@ -119,7 +123,7 @@ class LinkTable:
 
 def publish(
     events: DataFrame, base: DataFrame, table: str, checkpoint: str, after: Callable[[DataFrame, int], None] | None = None,
-    state: dict | None = None, cursor: Callable[[], dict] | None = None, poll: int | None = None,
+    state: dict | None = None, cursor: Callable[[], dict] | None = None, poll: int | None = None, buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Folds each micro-batch into the links of a :class:`LinkTable`, starting from ``base``: only buckets with changed
     entries are written anew. A batch that is run again gives the same links again.
@@ -128,7 +132,7 @@ def publish(
     the journal ends the stream with an error before anything is published. ``poll``: milliseconds between two looks;
     without it the stream ends when it has seen what is there."""
     spark = base.sparkSession
-    store = LinkTable(spark, table)
+    store = LinkTable(spark, table, buckets)
     if store.manifest() is None:
         store.publish(base.select("frn", "parent_frn", "name", "is_deleted"), -1, state)
 
@@ -138,7 +142,7 @@ def publish(
             check_continuity(known, cursor())
         seen = batch.agg(F.max("usn")).first()[0]
         topology = batch.where(affects_topology(F.col("reason")))
-        changed = {r[0] for r in topology.select(_bucket()).distinct().collect()}
+        changed = store.changed(topology)
         new = known | {"next_usn": max(known["next_usn"], seen)} if known and seen is not None else known
         if changed or new != known:
             store.publish(apply(store.links(changed), topology), number, new)
