@@ -260,9 +260,11 @@ def _meet(rows: list[np.ndarray], ends: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(met):
             continue
         outside = {fp[i] for i in asking}  # two that both ask meet once
+        number: dict[bytes, int] = {}  # arrays of bytes would not tell zeros at the end
+        of = np.array([number.setdefault(x, len(number)) for x in root[first:last]])
         x = np.frombuffer(b"".join(numbers[met]), np.uint8).reshape(-1, RANGES).astype(np.int16)
         for i in asking.tolist():
-            apart = root[met] != root[i]
+            apart = of[met - first] != of[i - first]
             fits = met[apart][possible(words[met][apart], x[apart], words[i], np.frombuffer(numbers[i], np.uint8).astype(np.int16))]
             for j in fits.tolist():
                 if fp[j] in outside and fp[j] < fp[i]:
@@ -338,7 +340,7 @@ def components(links: DataFrame) -> DataFrame:
     In each round every print goes to its smallest neighbour, if that is smaller, and on to where such ways end; links are
     then between the ends, and those within one end are gone."""
     ends = F.greatest("leader", "fp").alias("high"), F.least("leader", "fp").alias("low")
-    edges, labels = written(links.select(*ends).distinct(), "edges"), None
+    edges, labels = written(links.where("leader <> fp").select(*ends).distinct(), "edges"), None
     while labels is None or not edges.isEmpty():
         up = written(edges.groupBy(F.col("high").alias("fp")).agg(F.min("low").alias("root")), "up")
         while True:
