@@ -684,6 +684,19 @@ def test_ranges_never_exclude_a_link():
         assert fits or not neardup.near(x, y)
 
 
+def test_prints_that_end_in_zeros_meet_only_other_classes():
+    """The class of a text is known by all its bytes."""
+    words = [f"w{i}" for i in range(40)]
+    one, two, other = bytes(15) + b"\1", b"\1" + bytes(15), b"\1" + bytes(14) + b"\2"
+    rows = [(7, 0, 0, True, one, two), (7, 0, 0, False, one, two), (7, 0, 0, False, two, two), (7, 0, 0, False, other, other)]
+    key = np.array([7] + list(range(1, neardup.BANDS)), ">i8").tobytes()
+    cells = [[*r, 40, key, ranges_of(words)] for r in rows]
+    kinds = [pa.int64()] * 3 + [pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*cells), kinds, strict=True)], list(neardup._PLACED))
+    got = [tuple(r.values()) for b in neardup._meetings(iter([batch.slice(0, 2), batch.slice(2)])) for r in b.to_pylist()]
+    assert got == [(other, one)]
+
+
 def test_large_bands_are_split_without_loss(spark, monkeypatch):
     """Texts that share most of their words and one band, in many blocks; some are copies of each other."""
     monkeypatch.setattr(neardup, "BLOCK", 7)
