@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import slices, small_batches, written
 
 UNIT = 192
 RATE, UP, DOWN = 16_000, 2, 5
@@ -144,6 +144,7 @@ def store(documents: DataFrame) -> DataFrame:
                 media.append(to_wav(raw + b" " * (max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
+    small_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return written(rows.mapInArrow(pack, "doc_id long, n_bytes long, media binary"), "media", "zstd")
 

@@ -95,6 +95,14 @@ def crc32_id(column) -> F.Column:
 CACHES: list[dict] = []
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python 1024 at a time in this session, unless it has a number of its own: batches of whole
+    texts are held several times over, in the executor and in its workers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's own
+        spark.conf.set(key, "1024")
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Batches cut to at most ``rows`` rows without copying, as what Python makes of a batch's texts is many times their
     size."""

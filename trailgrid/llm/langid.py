@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, code_points, crc32_id, slices, tidy
+from .common import WordTable, code_points, crc32_id, slices, small_batches, tidy
 from .samples import labelled_sample
 
 PER_LABEL = 1200
@@ -188,6 +188,7 @@ def _predict(model: Model | None):
 
 def identify(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected for every document."""
+    small_batches(documents.sparkSession)
     held = F.coalesce(crc32_id(F.col("doc_id").cast("long")) % 3 == 1, F.lit(False))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"))
     run = _predict(fit(documents))
@@ -196,6 +197,7 @@ def identify(documents: DataFrame) -> DataFrame:
 
 def accepted(documents: DataFrame) -> DataFrame:
     """The documents that are not rejected, with their own columns; scored in one pass, without a join."""
+    small_batches(documents.sparkSession)
     run = _predict(fit(documents))
     schema = documents.schema
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, slices, tidy, written
+from .common import WordTable, slices, small_batches, tidy, written
 
 SHINGLE = 5
 #: The least share of words and of shingles in order, either of which links two texts.
@@ -369,6 +369,7 @@ def worded() -> F.Column:
 
 def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, fp), and for each print: class_id, the print that stays, and its number of links."""
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(docs.withColumn("worded", worded()).mapInArrow(_sketch, "doc_id long, fp binary, bands array<bigint>, words long, ranges binary"), "sketches")
     alike = F.first(F.struct("bands", "words", "ranges")).alias("x")  # equal texts have equal sketches

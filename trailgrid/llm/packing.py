@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bases, lookup, slices, written
+from .common import bases, lookup, slices, small_batches, written
 from .tokens import encoder
 
 WINDOW = 2048
@@ -207,6 +207,7 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = 1, window: int = WI
     """
     if window % STEP:
         raise ValueError(f"the window is a multiple of {STEP}")
+    small_batches(documents.sparkSession)
     measured = written(_measure(documents, tokenizer, np.uint32(end_id).astype("<u4").tobytes(), window), "measured")
     groups = max(1, measured.count() // GROUP)
     pieces = measured.coalesce(groups).mapInArrow(_pack_group(window), ", ".join(f"{x} long" for x in _COLUMNS))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bases, slices, written
+from .common import bases, slices, small_batches, written
 from .tokens import encoder
 
 RANK_BITS = 512
@@ -73,6 +73,7 @@ _FILE = "shard long, block long, start long, n_tokens long, doc_ids array<long>,
 def write_tokens(documents: DataFrame, tokenizer: str, end_id: int = 2, block_tokens: int = BLOCK_TOKENS, shards: int | None = None) -> DataFrame:
     """Encodes all documents and writes the file; returns its blocks, read back."""
     spark = documents.sparkSession
+    small_batches(spark)
     end = np.uint32(end_id).astype("<u4").tobytes()
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("chunks", pa.list_(pa.binary())), ("bitmaps", pa.list_(pa.binary())), ("ranks", pa.list_(pa.binary()))])

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import slices, small_batches, written
 
 CHUNK, GROUP, BLOCK = 2048, 512, 128
 #: Chunks whose bounds stand in one row.
@@ -280,6 +280,7 @@ def _meetings(asked: DataFrame, groups: DataFrame, chunks: DataFrame, k: int, nu
 def top_k(rows: DataFrame, queries: F.Column, k: int = 20, scale: float = 64.0) -> DataFrame:
     """query_id, rank, vec_id and score of the k best rows for every row that ``queries`` selects."""
     spark = rows.sparkSession
+    small_batches(spark)
     parts = F.col("embedding").cast("array<double>")
     good = F.coalesce(F.forall(parts, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     taken = rows.where(good & F.col("vec_id").isNotNull())

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, code_points, crc32_id, slices, tidy
+from .common import WordTable, code_points, crc32_id, slices, small_batches, tidy
 from .samples import labelled_sample
 
 PER_LABEL = 1500
@@ -359,6 +359,7 @@ def _judge(model: Model | None):
 
 def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for every document."""
+    small_batches(documents.sparkSession)
     judge = _judge(fit(documents, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,6 +377,7 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, with their own columns; judged in one pass, without a join."""
+    small_batches(documents.sparkSession)
     judge = _judge(fit(documents, labels))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
