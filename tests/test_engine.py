@@ -124,6 +124,15 @@ def test_index_round_trip(spark, tmp_path):
         X.read(spark, place)
 
 
+def test_damage_is_found_without_sending_tables_to_the_driver(spark, tmp_path):
+    place = f"file://{tmp_path}/i"
+    X.write(X.build(paths(spark, "C:\\one\\a.txt", "C:\\two"), P.drive(F.col("path"))), place)
+    index = X.stored(spark, place)
+    bad = X.violations(X.Stored(index.rows, index.postings.where("segment <> 'two'"), index.trigrams.where("segment <> 'one'")))
+    assert "BroadcastHashJoin" not in bad._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["kind"], r["segment"]) for r in bad.collect()) == [("no posting", "two"), ("no trigram", "one")]
+
+
 def test_ways_to_rows_are_pushed_down(spark, tmp_path):
     names = ["Flora.txt", "flow.tar.gz", "reflow.JAR", "Kelvin.md", "a.git"]
     rows = X.build(paths(spark, *(f"C:\\d{i}\\{n}" for i, n in enumerate(names * 3)), "D:\\flow\\x.jar"), P.drive(F.col("path")))

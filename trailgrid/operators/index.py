@@ -148,10 +148,15 @@ def violations(index: Stored) -> DataFrame:
 
     should = rows.select("drive", F.explode(F.array_distinct(segs)).alias("segment"), "row_index")
     grams = should.select("segment").distinct().select(F.explode(trigrams(F.col("segment"))).alias("trigram"), "segment")
-    lone = [("no trigram", grams.join(index.trigrams, ["trigram", "segment"], "left_anti")), ("no segment", index.trigrams.join(grams, ["trigram", "segment"], "left_anti"))]
+
+    def lacking(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        """By sorted sides: files of an index are so much smaller than their rows that Spark would send all of a side to the driver."""
+        return left.join(right.hint("merge"), on, "left_anti")
+
+    lone = [("no trigram", lacking(grams, index.trigrams, ["trigram", "segment"])), ("no segment", lacking(index.trigrams, grams, ["trigram", "segment"]))]
     out = of("columns", rows.where(odd).withColumn("segment", none))
-    out = out.unionByName(of("no posting", should.join(postings, ["drive", "segment", "row_index"], "left_anti")))
-    out = out.unionByName(of("no row", postings.join(should, ["drive", "segment", "row_index"], "left_anti")))
+    out = out.unionByName(of("no posting", lacking(should, postings, ["drive", "segment", "row_index"])))
+    out = out.unionByName(of("no row", lacking(postings, should, ["drive", "segment", "row_index"])))
     for kind, df in lone:
         out = out.unionByName(of(kind, df.select("segment").distinct().withColumns({"drive": none, "row_index": F.lit(None).cast("long")})))
     return out
