@@ -70,6 +70,17 @@ def test_overlay(spark):
     assert Session(base).visit(QueryPlan(("<>",)), lambda r: seen.append(r) or False) == 1 and len(seen) == 1
 
 
+def test_upsert_keeps_equal_rows(spark):
+    """Paths that occur more than once on either side, and unknown ones, as NOT IN and UNION ALL have them."""
+    over, rows = paths(spark, "a", "a", ("a", True), "b", (None, False)), paths(spark, "b", ("b", True), ("c", True), ("c", True))
+    upserted = lambda o, r: sorted(map(repr, map(tuple, O.upsert(O.surely_absent(o, r), r).collect())))
+    new = [("b", False), ("b", True), ("c", True), ("c", True)]
+    assert upserted(over, rows) == sorted(map(repr, [("a", False), ("a", False), ("a", True), *new]))
+    assert upserted(over, rows.unionByName(paths(spark, (None, False)))) == sorted(map(repr, [*new, (None, False)]))
+    assert upserted(over, rows.limit(0)) == sorted(map(repr, map(tuple, over.collect())))
+    assert sorted(map(tuple, commands.moved(paths(spark, "x"), "x", "x").collect())) == [("x", False)]
+
+
 def test_overlay_keeps_drives_and_their_order(spark):
     base = X.build(paths(spark, "D:\\a.txt", "E:\\b.txt", "E:\\c.txt"), P.drive(F.col("path")))
     session = Session(base, paths(spark, ("E:\\c.txt", True), "E:\\a.txt", "F:\\z.txt"))

@@ -53,7 +53,7 @@ def columns(values: list[str], width: int, gap: int = 2) -> list[str]:
 
 def moved(overlay: DataFrame, source: str, target: str) -> DataFrame:
     """The overlay after a file was renamed: the old path deleted, the new one there."""
-    return upsert(overlay, overlay.sparkSession.createDataFrame([(source, True), (target, False)], "path string, has_deleted_entries boolean"))
+    return upsert(overlay, overlay.sparkSession.createDataFrame([*{source: True, target: False}.items()], "path string, has_deleted_entries boolean"))
 
 
 def synced(overlay: DataFrame, path: str, is_there: bool) -> DataFrame:

@@ -40,8 +40,18 @@ def diff(base: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def upsert(overlay: DataFrame, rows: DataFrame) -> DataFrame:
-    """Overlay rows with those of ``rows`` in their place."""
-    return merge(overlay, rows)
+    """All of ``rows``, and the overlay's rows whose path none of them has, as often as they are there. Where the overlay
+    has a drive, so have the rows, by their path."""
+    left = overlay.select(*_ROW).join(rows.select("path").hint("merge"), "path", "left_anti")
+    out = left.unionByName(rows.select(*_ROW))
+    return out.withColumn("drive", drive(F.col("path"))) if "drive" in overlay.columns else out
+
+
+def surely_absent(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """Rows that SQL's NOT IN may keep: with an unknown path among ``others`` none, and those of unknown path only if there
+    are no others. Paths themselves are left to be compared."""
+    seen = others.agg(F.count("*").alias("_n"), F.count_if(F.col("path").isNull()).alias("_unknown"))
+    return rows.crossJoin(F.broadcast(seen)).where("_n = 0 or _unknown = 0 and path is not null").drop("_n", "_unknown")
 
 
 def refresh(base: DataFrame, overlay: DataFrame, current: DataFrame, in_scope: Column) -> DataFrame:
