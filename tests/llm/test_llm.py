@@ -512,6 +512,17 @@ def test_samples_are_bounded(spark, monkeypatch):
     assert got == samples.labelled_sample(rows.repartition(3), 1000, 10**6)
 
 
+def test_executors_learn_what_the_driver_would(spark):
+    import os
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang is not null and text is not null").select(F.col("lang").alias("label"), "doc_id", "text")
+    there, sample = samples.taught(docs, 10, 10**6, lambda x: (os.getpid(), x))
+    assert there != os.getpid() and sample == samples.labelled_sample(docs, 10, 10**6) != []
+    assert samples.taught(docs.limit(0), 10, 10**6, len) == 0
+    far, near = samples.taught(docs, 10, 10**6, langid.train), langid.train(sample)
+    assert far.labels == near.labels and np.allclose(far.logits, near.logits, atol=1e-3)
+
+
 def test_toxicity_stands_put_in_letters_and_finds_every_insult():
     rng = random.Random(3)
     common = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(400)]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordTable, code_points, crc32_id, slices, small_batches, tidy
-from .samples import labelled_sample
+from .samples import taught
 
 PER_LABEL = 1200
 BYTES_PER_LABEL = 5_000_000
@@ -164,7 +164,7 @@ def fit(documents: DataFrame) -> Model | None:
     """Learns from rows with a language and crc32(doc_id) mod 3 other than 1, by a bounded sample."""
     rows = documents.select(F.col("lang").cast("string").alias("label"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.where(F.col("label").isNotNull() & F.col("text").isNotNull() & (crc32_id(F.col("doc_id")) % 3 != 1))
-    return train(labelled_sample(rows, PER_LABEL, BYTES_PER_LABEL))
+    return taught(rows, PER_LABEL, BYTES_PER_LABEL, train)
 
 
 def _predict(model: Model | None):

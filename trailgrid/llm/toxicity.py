@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordTable, code_points, crc32_id, slices, small_batches, tidy
-from .samples import labelled_sample
+from .samples import labelled_sample, taught
 
 PER_LABEL = 1500
 BYTES_PER_LABEL = 6_000_000
@@ -334,7 +334,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model | None:
     ids = labelled_sample(known.withColumn("text", F.col("doc_id").cast("string")), 2 * PER_LABEL, 1 << 40, seed=3)
     few = documents.sparkSession.createDataFrame([(int(i), int(label)) for label, i in ids], "doc_id long, label int")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).dropna()
-    return train(labelled_sample(texts.join(F.broadcast(few), "doc_id"), PER_LABEL, BYTES_PER_LABEL))
+    return taught(texts.join(F.broadcast(few), "doc_id"), PER_LABEL, BYTES_PER_LABEL, train)
 
 
 def _judge(model: Model | None):
