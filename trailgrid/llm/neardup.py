@@ -10,11 +10,15 @@ first finds copies with a part cut, appended or put in, the second copies whose
 
 Equal texts are one text from the start. First a band's texts meet its leader, the text that is in most shared bands;
 what links join is a class. In a band that then has several classes, every text outside its largest class meets every
-text of another class. A meeting costs an alignment only where it can link: the numbers of words in 256 ranges of the
-word hash bound from above how many words two texts can have in common, so a pair that fails the bound cannot be
-linked. So of every two texts that share a band either a test has been made or they are of one class already; no text
-is left out, whatever the size of a band. Meetings are held by blocks of a band's texts, so a band of any size is many
-tasks; those of a band of k texts that are no copies cost k * k comparisons of 256 bytes. Classes are the connected
+text of another class. A meeting costs an alignment only where it can link: the numbers of words in ranges of the word
+hash, 256 of them and up to 4096 for longer texts, bound from above how many words two texts can have in common, so a
+pair that fails the bound cannot be linked. Alignments are made in two rounds: in the first a text is aligned with the
+eight that it may have most in common with, and what that links is one class; in the second with all that are still of
+another class. So in a large group of copies of copies a text is aligned with a few and not with each other one; pairs
+of different classes that the bound does not exclude are all aligned. Of every two texts that share a band either a test
+has been made or they are of one class already; no text is left out, whatever the size of a band. Meetings are held by
+blocks of a band's texts, so a band of any size is many tasks; those of a band of k texts that are no copies cost k * k
+comparisons of 256 bytes. Classes are the connected
 components of the links, found by hooking and pointer jumping over tables in the shared folder.
 
 Defined results: null and empty texts are copies of nothing; equal texts are always of one class, texts without a word
@@ -27,13 +31,14 @@ result; extra columns are kept by :func:`deduplicated` and ignored elsewhere.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordTable, slices, small_batches, tidy, written
@@ -42,10 +47,13 @@ SHINGLE = 5
 #: The least share of words and of shingles in order, either of which links two texts.
 SIMILARITY, SHINGLED = 0.88, 0.8
 BANDS = 24
-#: Ranges of the word hash whose numbers of words bound what two texts have in common.
-RANGES = 256
+#: Ranges of the word hash whose numbers of words bound what two texts have in common: the fewest, and the most for longer
+#: texts.
+RANGES, FINEST = 256, 4096
 #: Texts of a band that meet as many others in one place.
 BLOCK = 512
+#: Alignments that a text asks for in each round; None: all that are left.
+ROUNDS = (8, None)
 _words = re.compile(r"\w+").findall
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(1, 1 << 63, BANDS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -106,9 +114,20 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return _mix(sketch * np.uint64(3) + np.arange(BANDS, dtype=np.uint64)).astype(np.int64)
 
 
-def ranges(hashes: np.ndarray) -> bytes:
-    """Numbers of words by range of their hash, each up to 255."""
-    return np.minimum(np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes()
+def ranges(hashes: np.ndarray, n: int = RANGES) -> bytes:
+    """Numbers of words by range of their hash, each up to 255; ``n``, a power of two: how many ranges."""
+    return np.minimum(np.bincount((hashes >> np.uint64(65 - n.bit_length())).astype(np.int64), minlength=n), 255).astype(np.uint8).tobytes()
+
+
+def fineness(words: int) -> int:
+    """How many ranges a text of so many words has."""
+    return min(max(RANGES, 1 << (words - 1).bit_length()), FINEST)
+
+
+def folded(numbers: bytes, n: int = RANGES) -> np.ndarray:
+    """The numbers of words in ``n`` ranges, of at least as many. Numbers that stopped at 255 differ by less than the
+    words do, so what they bound holds."""
+    return np.frombuffer(numbers, np.uint8).reshape(n, -1).sum(axis=1, dtype=np.int16)
 
 
 def possible(m: np.ndarray, x: np.ndarray, n: int | np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -203,7 +222,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             prints.append(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest() if text else None)
             sizes.append(len(w))
             keys.append(bands(own).tolist() if w else None)
-            numbers.append(ranges(own) if w else None)
+            numbers.append(ranges(own, fineness(len(w))) if w else None)
         cells = [pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(numbers, pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column(0), *cells], ["doc_id", "fp", "bands", "words", "ranges"])
 
@@ -228,16 +247,17 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (leader, fp) that can be linked, of rows leader, fp, and the words and ranges of both."""
     for batch in batches:
         m, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns[2:4])
-        x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int16) for c in batch.columns[4:6])
+        x, y = (np.array([folded(v) for v in c.to_pylist()], np.int16).reshape(-1, RANGES) for c in batch.columns[4:6])
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(possible(m, x, n, y))) for c in batch.columns[:2]], ["leader", "fp"])
 
 
 _PLACED = ("key", "a", "b", "asks", "fp", "root", "words", "keys", "ranges")
 
 
-def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meetings(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
     """Pairs that can be linked, of rows in the order of the place (key, a, b) where texts meet. Those that ask meet
-    those that do not, if they are of another class and have not met in an earlier band."""
+    those that do not, if they are of another class and have not met in an earlier band. ``most``: of each text that asks,
+    so many pairs of a place, those that may have most in common, with the text that asks and that share."""
     kinds = (np.int64, np.int64, np.int64, bool, object, object, np.int64, object, object)
     held: list[np.ndarray] | None = None
     for batch in batches:
@@ -245,16 +265,26 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = own if held is None else [np.concatenate(x) for x in zip(held, own, strict=True)]
         place = np.stack(held[:3])
         ends = np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1  # the last place may go on in the next batch
-        yield from _meet(held, ends)
+        yield from _meet(held, ends, most)
         if len(ends):
             held = [x[ends[-1] :] for x in held]
     if held is not None and len(held[0]):
-        yield from _meet(held, np.array([len(held[0])]))
+        yield from _meet(held, np.array([len(held[0])]), most)
+
 
+def _share(m: int, x: bytes, n: int, y: bytes) -> float | None:
+    """The largest share of the longer text's words that two texts can have in common, by the finest ranges that both
+    have; None if they cannot be linked."""
+    fine = min(len(x), len(y))
+    one, other = folded(x, fine), folded(y, fine)
+    if fine > RANGES and not possible(np.array([m]), one[None, :], n, other)[0]:
+        return None
+    return (m + n - float(np.abs(one - other).sum())) / (2 * max(m, n))
 
-def _meet(rows: list[np.ndarray], ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+
+def _meet(rows: list[np.ndarray], ends: np.ndarray, most: int | None) -> Iterator[pa.RecordBatch]:
     key, _, _, asks, fp, root, words, keys, numbers = rows
-    one, other = [], []
+    out = []
     for first, last in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True) if len(ends) else ():
         asking, met = (np.flatnonzero(asks[first:last] == v) + first for v in (True, False))
         if not len(met):
@@ -262,25 +292,29 @@ def _meet(rows: list[np.ndarray], ends: np.ndarray) -> Iterator[pa.RecordBatch]:
         outside = {fp[i] for i in asking}  # two that both ask meet once
         number: dict[bytes, int] = {}  # arrays of bytes would not tell zeros at the end
         of = np.array([number.setdefault(x, len(number)) for x in root[first:last]])
-        x = np.frombuffer(b"".join(numbers[met]), np.uint8).reshape(-1, RANGES).astype(np.int16)
+        x = np.stack([folded(v) for v in numbers[met]])
         for i in asking.tolist():
             apart = of[met - first] != of[i - first]
-            fits = met[apart][possible(words[met][apart], x[apart], words[i], np.frombuffer(numbers[i], np.uint8).astype(np.int16))]
+            fits = met[apart][possible(words[met][apart], x[apart], words[i], folded(numbers[i]))]
+            found = []
             for j in fits.tolist():
                 if fp[j] in outside and fp[j] < fp[i]:
                     continue
                 own = np.frombuffer(keys[i], ">i8")
-                if own[(own == np.frombuffer(keys[j], ">i8")).argmax()] == key[first]:  # the first band that they share
-                    one.append(max(fp[i], fp[j]))
-                    other.append(min(fp[i], fp[j]))
-    if one:
-        yield pa.RecordBatch.from_arrays([pa.array(one, pa.binary()), pa.array(other, pa.binary())], ["leader", "fp"])
-
-
-def _pairs(asking: DataFrame, met: DataFrame) -> DataFrame:
-    """Pairs (leader, fp) of what asks and what is met in the same band, each pair once. Both have n_asking and n_met, the
-    numbers of either in the band. Each side is cut into blocks, and every block of one side meets every block of the
-    other."""
+                if own[(own == np.frombuffer(keys[j], ">i8")).argmax()] != key[first]:  # not the first band that they share
+                    continue
+                if (share := _share(int(words[i]), numbers[i], int(words[j]), numbers[j])) is not None:
+                    found.append((share, fp[j]))
+            out += [(max(fp[i], y), min(fp[i], y), fp[i], share) for share, y in (heapq.nlargest(most, found) if most else found)]
+    if out:
+        cells = [pa.array(c, pa.float64() if k == 3 else pa.binary()) for k, c in enumerate(zip(*out, strict=True))]
+        yield pa.RecordBatch.from_arrays(cells, ["leader", "fp", "asker", "share"]).select(range(4 if most else 2))
+
+
+def _pairs(asking: DataFrame, met: DataFrame, most: int | None, tested: DataFrame) -> DataFrame:
+    """Pairs (leader, fp) of what asks and what is met in the same band, each pair once, without those in ``tested``;
+    ``most``: so many of each text that asks. Both have n_asking and n_met, the numbers of either in the band. Each side
+    is cut into blocks, and every block of one side meets every block of the other."""
     blocks_a, blocks_b = F.ceil(F.col("n_asking") / BLOCK), F.ceil(F.col("n_met") / BLOCK)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
     of = lambda n: F.pmod(F.xxhash64("fp"), n.cast("long"))
@@ -288,7 +322,12 @@ def _pairs(asking: DataFrame, met: DataFrame) -> DataFrame:
     left = asking.select("key", of(blocks_a).alias("a"), every(blocks_b).alias("b"), F.lit(True).alias("asks"), *columns)
     right = met.select("key", every(blocks_a).alias("a"), of(blocks_b).alias("b"), F.lit(False).alias("asks"), *columns)
     placed = left.unionByName(right).repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
-    return placed.select(*_PLACED).mapInArrow(_meetings, "leader binary, fp binary")
+    kinds = "leader binary, fp binary" + (", asker binary, share double" if most else "")
+    found = placed.select(*_PLACED).mapInArrow(lambda batches: _meetings(batches, most), kinds).join(tested, ["leader", "fp"], "left_anti")
+    if most:
+        order = Window.partitionBy("asker").orderBy(F.desc("share"), "leader", "fp")
+        found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return found.select("leader", "fp").distinct()  # texts of several blocks that both ask
 
 
 def _links(docs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -322,16 +361,28 @@ def _links(docs: DataFrame, texts: DataFrame) -> DataFrame:
     tested = judged(written(led, "led"), "merge")
     links = tested.where("near").select("leader", "fp")
     # then, in the bands that are not of one class yet, all but the largest class meet all others
-    rooted = seen.join(components(links), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = written(rooted.select("fp", "root", "words", F.unhex(F.array_join(F.transform("bands", lambda k: F.lpad(F.hex(k), 16, "0")), "")).alias("bands"), "ranges", "keys"), "rooted")
-    now = rooted.select("fp", "root", F.explode("keys").alias("key"))
-    sizes = now.groupBy("key", "root").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("largest"), F.count("*").alias("classes"), F.sum("size").alias("n_met")).where("classes > 1")
-    mixed = written(mixed.select("key", F.col("largest.root").alias("largest"), (F.col("n_met") - F.col("largest.size")).alias("n_asking"), "n_met"), "mixed")
-    rest = now.join(mixed, "key").join(rooted.select("fp", "words", F.col("bands").alias("keys"), "ranges"), "fp")
-    met = _pairs(rest.where("root <> largest"), rest)
-    left = written(met.join(tested, ["leader", "fp"], "left_anti"), "untested")
-    return links.unionByName(judged(left).where("near").select("leader", "fp"))
+    roots = written(seen.join(components(links), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.col("keys").alias("shared")), "rooted")
+    cards = seen.select("fp", "words", F.unhex(F.array_join(F.transform("bands", lambda k: F.lpad(F.hex(k), 16, "0")), "")).alias("keys"), "ranges")
+    for most in ROUNDS:
+        now = roots.select("fp", "root", F.explode("shared").alias("key"))
+        sizes = now.groupBy("key", "root").agg(F.count("*").alias("size"))
+        mixed = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("largest"), F.count("*").alias("classes"), F.sum("size").alias("n_met")).where("classes > 1")
+        mixed = written(mixed.select("key", F.col("largest.root").alias("largest"), (F.col("n_met") - F.col("largest.size")).alias("n_asking"), "n_met"), "mixed")
+        if mixed.isEmpty():
+            break
+        places = now.join(mixed, "key").groupBy("fp", "root").agg(F.collect_list(F.struct("key", "largest", "n_asking", "n_met")).alias("places"))  # up to BANDS of each text
+        crowd = written(places.join(cards, "fp"), "crowd")
+        rest = lambda own: crowd.select("fp", "root", F.explode(own).alias("place"), *_PLACED[6:]).select("place.*", *_PLACED[4:])  # noqa: B023, E731
+        asking = rest(F.filter("places", lambda place: place["largest"] != F.col("root")))
+        found = judged(written(_pairs(asking, rest("places"), most, tested.select("leader", "fp")), "untested"))
+        new = found.where("near").select("leader", "fp")
+        links, tested = links.unionByName(new), tested.unionByName(found)
+        if most:  # what is linked now is one class in the next round
+            over = lambda name: crowd.select(F.col("fp").alias(name), F.col("root").alias(f"{name}_root"))  # noqa: B023, E731
+            joined = new.join(over("leader"), "leader").join(over("fp"), "fp").select(F.col("leader_root").alias("leader"), F.col("fp_root").alias("fp"))
+            on = components(joined).select(F.col("fp").alias("root"), F.col("root").alias("next"))
+            roots = written(crowd.join(on, "root", "left").select("fp", F.coalesce("next", "root").alias("root"), F.col("places.key").alias("shared")), "rooted")
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
