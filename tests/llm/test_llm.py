@@ -92,6 +92,25 @@ def test_words_are_encoded_as_whole_texts(name):
     assert e.encode(texts) == [np.array(plain.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
 
 
+def test_short_forms_are_cut_as_by_the_library():
+    plain, rng = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json")), random.Random(2)
+    parts = ["'", "''", "s", "t", "r", "v", "e", "l", "m", "d", "'re", "'LL", "'ve's", "É", "µ", "ª", "1", "²½", ".", "×", "\xad", " ", "\n", "\r\t"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(14))) for _ in range(10_000)]
+    expected = [np.array(x.ids, "<u4").tobytes() for x in plain.encode_batch_fast(texts, add_special_tokens=False)]
+    assert Encoder(tokenizer_path("word_bpe_49k.json")).encode(texts) == expected
+    small = Encoder(tokenizer_path("word_bpe_49k.json"), most=20)  # pieces are forgotten all the time
+    assert [x for a in range(0, 3000, 10) for x in small.encode(texts[a : a + 10])] == expected[:3000]
+
+
+def test_repeated_words_are_merged_once():
+    e, merged = Encoder(tokenizer_path("word_bpe_49k.json")), []
+    piece, e.piece = e.piece, lambda x: merged.append(x) or piece(x)
+    words = ["".join(x) for x in itertools.product("abcdefgh", repeat=6)]
+    texts = [" ".join(words[a : a + 512]) for a in range(0, len(words), 512)]
+    assert e.encode(texts) == e.encode(texts)
+    assert len(merged) == len(words)
+
+
 def test_codes_are_addressable():
     ids = np.random.default_rng(1).integers(0, 1 << 20, 5000)
     ids[::3] %= 256
